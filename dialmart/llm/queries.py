@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash
+from . import media, mixing, packing, simhash, tokenfile, warc
 
 #: The vocabulary file of op1 and op9, at the same place on every machine.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,11 +25,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    read = warc.read_archives(manifest).where("gap is null")
+    return read.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_copies(_table(spark, sf_dir, "documents"), (5, 2, 1), 3.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.store_media(_table(spark, sf_dir, "documents")))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, ranks = tokenfile.write_token_files(_table(spark, sf_dir, "documents"), VOCABULARY, 2)
+    return tokenfile.read_token_files(manifest, ranks, with_ids=False)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"), 3, 3, 42)
     shown = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
@@ -38,8 +53,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
+    "op7_media": op7_media,
+    "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        with rows as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+            from pages
+        ), firsts as (
+            select *, min(page_id) over (partition by payload_digest) as first_id from rows
+        )
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+        from firsts
+    """,
+}

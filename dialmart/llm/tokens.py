@@ -45,6 +45,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # two bytes hold every id
         self.letters = _byte_letters()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.cache: dict[str, bytes] = {}
