@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, simhash, tokenfile, warc
+from . import lines, media, mixing, packing, simhash, tokenfile, toxicity, warc
 
 #: The vocabulary file of op1 and op9, at the same place on every machine.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -36,10 +36,19 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store_media(_table(spark, sf_dir, "documents")))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"), 2)
+    return found.select("doc_id", "n_lines", "n_removed", "n_spans", F.md5(F.encode("kept", "UTF-8")).alias("kept_md5"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, ranks = tokenfile.write_token_files(_table(spark, sf_dir, "documents"), VOCABULARY, 2)
     return tokenfile.read_token_files(manifest, ranks, with_ids=False)
@@ -55,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_media": op7_media,
+    "op8_lines": op8_lines,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
@@ -73,4 +84,36 @@ ORACLES: dict[str, str] = {
             case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
         from firsts
     """,
+    "op8_lines": """
+        with split as (
+            select doc_id, text, string_split(text, chr(10)) as parts from documents
+        ), lines as (
+            select doc_id, unnest(parts) as body, unnest(range(len(parts))) as line from split where text is not null
+        ), full_lines as (
+            select *, row_number() over (partition by doc_id order by line) as place
+            from lines where trim(translate(body, chr(9) || chr(13) || chr(11) || chr(12), '    ')) <> ''
+        ), runs as (
+            select doc_id, place, body, lead(body) over (partition by doc_id order by place) as next_body
+            from full_lines
+        ), later as (
+            select doc_id, place from (
+                select doc_id, place, min(doc_id * 1000000 + place) over (partition by body, next_body) as first_place
+                from runs where next_body is not null
+            ) where first_place < doc_id * 1000000 + place
+        ), covered as (
+            select doc_id, place from later union select doc_id, place + 1 from later
+        ), marked as (
+            select l.doc_id, l.line, l.body, c.place is not null as gone
+            from lines l left join full_lines f using (doc_id, line)
+            left join covered c on c.doc_id = f.doc_id and c.place = f.place
+        ), edges as (
+            select *, gone and not coalesce(lag(gone) over (partition by doc_id order by line), false) as begins
+            from marked
+        )
+        select d.doc_id, count(e.line) as n_lines, count(*) filter (e.gone) as n_removed,
+            count(*) filter (e.begins) as n_spans,
+            case when d.text is not null then
+                md5(coalesce(string_agg(e.body, chr(10) order by e.line) filter (not e.gone), '')) end as kept_md5
+        from documents d left join edges e using (doc_id) group by d.doc_id, d.text
+    """,
 }
