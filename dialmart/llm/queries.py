@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, simhash, tokenfile, toxicity, warc
+from . import lines, media, mixing, packing, simhash, tokenfile, toxicity, vectors, warc
 
 #: The vocabulary file of op1 and op9, at the same place on every machine.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
+    "op4_embeddings": op4_embeddings,
     "op6_toxicity": op6_toxicity,
     "op7_media": op7_media,
     "op8_lines": op8_lines,
