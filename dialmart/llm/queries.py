@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, simhash, tokenfile, toxicity, vectors, warc
+from . import lines, media, mixing, packing, repeats, simhash, tokenfile, toxicity, vectors, warc
 
 #: The vocabulary file of op1 and op9, at the same place on every machine.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,18 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), 100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        (F.length("kept") + removed).alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -69,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_embeddings": op4_embeddings,
+    "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
     "op7_media": op7_media,
     "op8_lines": op8_lines,
