@@ -1,10 +1,4 @@
 """Registered queries over the driver's tables, with the SQL that checks them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import journey  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
