@@ -174,17 +174,21 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents that are not held out.
+def labelled_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, text, label) of labelled documents that are not held out, settings.max_train ids at most.
 
-    A doc_id with several labels counts as toxic if one of them says so.
+    A doc_id with several labels counts as toxic if one of them says so.  The ids are chosen by a
+    hash from the labels alone; as the setting bounds them they are broadcast, and no other text
+    moves.
     """
     known = (
-        labels.where(F.col("toxic").isin(0, 1) & ~held_out())
+        labels.where(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(settings.max_train)
     )
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -192,7 +196,7 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
     A row without a doc_id is scored like any other and not held out.
     """
-    model = train(labelled_rows(docs, labels), settings)
+    model = train(labelled_rows(docs, labels, settings), settings)
     return score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
