@@ -432,7 +432,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, full: int = FULL) ->
             .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
         )
         whole = whole.unionAll(late)
-    together = bare.unionAll(texts).repartition(n, "anchor").sortWithinPartitions("anchor", "seg")
+    # dealt by a hash of the anchor: both sides of the union may already be dealt by the anchor itself,
+    # each in its own number of partitions, and such an exchange would be planned away
+    together = bare.unionAll(texts).repartition(n, F.xxhash64("anchor")).sortWithinPartitions("anchor", "seg")
     ranges = together.mapInArrow(_transform_tasks(length, TRANSFORM), "doc_id long, lo long, hi long")
     return whole.unionAll(ranges)
 
