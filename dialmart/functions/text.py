@@ -144,7 +144,7 @@ def verify_quote(text: Column, quote: Column, least: float = 0.9) -> Column:
             if not b:
                 out.append(False)
                 continue
-            keep = lambda ws: [w for w in ws if w.isdigit() or w in ("not", "no", "never", "without")]
+            keep = lambda ws: [w for w in ws if any(c.isdigit() for c in w) or w in ("not", "no", "never", "without")]
             joined = " ".join(b)
             ok = f" {joined} " in f" {' '.join(a)} "
             for i in range(0, 0 if ok else len(a) - len(b) + 1):
