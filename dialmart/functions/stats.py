@@ -344,3 +344,85 @@ def char_error(reference: Column, given: Column) -> Column:
     """Edits between two texts without white space, by the length of the first."""
     bare = lambda t: F.regexp_replace(F.lower(t), r"\s+", "")
     return F.levenshtein(bare(reference), bare(given)) / F.greatest(F.length(bare(reference)), F.lit(1))
+
+
+def drift_verdict(n: Column, value: Column, low: Column, high: Column, least: int = 5) -> Column:
+    """skip below `least` samples, flag outside the limits, else ok."""
+    eps = 1e-9
+    return F.when(n < least, "skip").when((value < low - eps) | (value > high + eps), "flag").otherwise("ok")
+
+
+def half_up(value: Column) -> Column:
+    """The nearest whole number, halves up."""
+    return F.floor(value + 0.5).cast("int")
+
+
+def calibration(pairs: DataFrame, dim: str, system: str, human: str, least: int = 20, worst: float = 0.4, mae: float = 1.0) -> DataFrame:
+    """dim, n, mean absolute error, kappa and flagged, of system scores against human ones.
+
+    A kappa that is not defined is flagged too where there are errors and pairs enough.
+    """
+    k = weighted_kappa(pairs, [dim], system, human).select(F.col(dim).alias("_d"), "kappa")
+    e = pairs.where(F.col(system).isNotNull() & F.col(human).isNotNull()).groupBy(dim).agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col(system) - F.col(human))).alias("mae")
+    )
+    joined = e.join(k, F.col(dim).eqNullSafe(F.col("_d")), "left")
+    low = F.when(F.col("kappa").isNull(), (F.col("mae") > 0) & (F.col("n") >= least)).otherwise(F.col("kappa") < worst)
+    return joined.select(dim, "n", "mae", "kappa", (low | (F.col("mae") > mae)).alias("flagged"))
+
+
+def span_scores(gold: DataFrame, found: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
+    """precision, recall and f1 of found spans against gold ones; a span counts if it overlaps one of the other side."""
+    def hit(a: DataFrame, b: DataFrame) -> DataFrame:
+        other = b.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
+        cond = [a[k] == other[k] for k in keys] + [a[lo] < other["_hi"], other["_lo"] < a[hi]]
+        met = cond[0]
+        for c in cond[1:]:
+            met = met & c
+        return a.join(other, met, "left_semi").agg(F.count("*").alias("h"))
+
+    p = hit(found, gold).select(F.col("h").alias("hp")).crossJoin(found.agg(F.count("*").alias("np")))
+    r = hit(gold, found).select(F.col("h").alias("hr")).crossJoin(gold.agg(F.count("*").alias("nr")))
+    both = p.crossJoin(r)  # one row each
+    precision, recall = F.col("hp") / F.col("np"), F.col("hr") / F.col("nr")
+    return both.select(
+        precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / (precision + recall)).alias("f1")
+    )
+
+
+def frame_errors(reference: DataFrame, given: DataFrame, keys: Sequence[str], lo: str, hi: str, speaker: str, frame: float = 0.01) -> DataFrame:
+    """keys, speech, missed, false_alarm and confused frames, under the best pairing of two speakers.
+
+    Times are cut into frames; of the pairings of the given speakers with the reference's, the one
+    with most shared frames counts.
+    """
+    def frames(df: DataFrame, name: str) -> DataFrame:
+        first, last = F.round(F.col(lo) / frame).cast("long"), F.round(F.col(hi) / frame).cast("long") - 1
+        cut = df.where(last >= first).select(*keys, F.explode(F.sequence(first, last)).alias("_f"), F.col(speaker).alias("_s"))
+        return cut.groupBy(*keys, "_f").agg(F.min("_s").alias(name))
+
+    both = frames(reference, "ref").join(frames(given, "hyp"), [*keys, "_f"], "full")
+    counts = both.groupBy(*keys, "ref", "hyp").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    shared = counts.where("ref is not null and hyp is not null")
+    # of two speakers a side, straight or crossed: the larger sum of shared frames
+    first_r, first_h = F.min("ref").over(w), F.min("hyp").over(w)
+    straight = F.when((F.col("ref") == first_r) == (F.col("hyp") == first_h), F.col("n")).otherwise(0)
+    best = shared.select(*keys, "n", straight.alias("_straight")).groupBy(*keys).agg(
+        F.greatest(F.sum("_straight"), F.sum("n") - F.sum("_straight")).alias("right"), F.sum("n").alias("both")
+    )
+    total = counts.groupBy(*keys).agg(
+        F.sum(F.when(F.col("ref").isNotNull(), F.col("n")).otherwise(0)).alias("speech"),
+        F.sum(F.when(F.col("hyp").isNull(), F.col("n")).otherwise(0)).alias("missed"),
+        F.sum(F.when(F.col("ref").isNull(), F.col("n")).otherwise(0)).alias("false_alarm"),
+    )
+    return total.join(best, list(keys), "left").select(
+        *keys, "speech", "missed", "false_alarm", (F.coalesce("both", F.lit(0)) - F.coalesce("right", F.lit(0))).alias("confused")
+    )
+
+
+def regression_gates(now: DataFrame, base: DataFrame, key: str, value: str, tolerance: float = 0.02) -> DataFrame:
+    """key, both values and worse: below the baseline by more than the tolerance, or missing now."""
+    b = base.select(key, F.col(value).alias("baseline"))
+    joined = b.join(now.select(key, F.col(value).alias("now")), key, "left")
+    return joined.withColumn("worse", F.col("now").isNull() | (F.col("now") < F.col("baseline") - tolerance))
