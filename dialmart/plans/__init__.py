@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, with the SQL that checks them."""
 
-from . import dialog, journey, quality  # noqa: F401
+from . import dialog, journey, operations, quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
