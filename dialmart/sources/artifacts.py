@@ -97,3 +97,22 @@ def append_reviews(spark: SparkSession, new: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(error):
             raise
     new.write.mode("append").parquet(path)
+
+
+def expired_files(spark: SparkSession, folder: str, before: str) -> DataFrame:
+    """path and modificationTime of files last written before a time; deleting them is left to the caller."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select("path", "modificationTime", "length").where(F.col("modificationTime") < F.lit(before).cast("timestamp"))
+
+
+def not_reproduced(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """key and the columns in which two runs differ, or missing where only one has the row."""
+    columns = [c for c in first.columns if c != key]
+    a = first.select(key, F.struct(*columns).alias("_a"))
+    b = second.select(key, F.struct(*columns).alias("_b"))
+    both = a.join(b, key, "full")
+    differ = [F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in columns]
+    named = F.filter(F.array(*differ), lambda c: c.isNotNull())
+    missing = F.col("_a").isNull() | F.col("_b").isNull()
+    found = both.select(key, F.when(missing, F.array(F.lit("missing"))).otherwise(named).alias("differs"))
+    return found.where(F.size("differs") > 0)

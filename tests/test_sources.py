@@ -170,3 +170,29 @@ def test_stream_sessions_agree_with_the_batch_rule(spark, tmp_path):
     rows = sorted((r.first_at, r.ops, r.banker) for r in spark.table("closed").collect())
     want = [(0, 2, "b"), (61, 1, "b"), (62, 2, "c")]
     assert [(t0 + timedelta(minutes=m), n, b) for m, n, b in want] == rows[:3]
+
+
+def test_vocabularies(spark):
+    from dialmart.sources import vocabulary
+
+    assert vocabulary.rubric([{"id": "a", "weight": 0.6, "gate": True}, {"id": "b", "weight": 0.4}]) == ({"a": 0.6, "b": 0.4}, ["a"])
+    for bad in ([{"id": "a", "weight": 1.0}], [{"id": "a", "weight": 0.5, "gate": True}]):
+        with pytest.raises(ValueError):
+            vocabulary.rubric(bad)
+    kinds = vocabulary.code_kinds(spark, {"open": ["0201"], "look": ["17"]})
+    assert sorted(tuple(r) for r in kinds.collect()) == [("17", "look"), ("201", "open")]
+    with pytest.raises(ValueError):
+        vocabulary.code_kinds(spark, {"open": ["0201"], "look": ["201"]})
+    cases = [("109", "109", "center"), ("136", "83", "back"), ("083", "83", "own"), ("55", "83", "other"), ("308", "83", "other"), ("171", "171", "own")]
+    df = spark.createDataFrame(cases, "u string, o string, want string")
+    got = df.select(vocabulary.unit_class(F.col("u"), F.col("o"), ["109"], ["136"]).alias("c"), "want").collect()
+    assert all(r.c == r.want for r in got)
+
+
+def test_retention_and_reproduction(spark, tmp_path):
+    (tmp_path / "old.bin").write_bytes(b"x")
+    assert artifacts.expired_files(spark, str(tmp_path), "2200-01-01").count() == 1
+    assert artifacts.expired_files(spark, str(tmp_path), "1990-01-01").count() == 0
+    a = spark.createDataFrame([(1, 2, "x"), (2, 2, None), (3, 1, "y")], "k int, v int, w string")
+    b = spark.createDataFrame([(1, 2, "x"), (2, 3, "z")], "k int, v int, w string")
+    assert sorted((r.k, r.differs) for r in artifacts.not_reproduced(a, b, "k").collect()) == [(2, ["v", "w"]), (3, ["missing"])]
