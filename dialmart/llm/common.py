@@ -53,3 +53,15 @@ def n_partitions(spark: SparkSession) -> int:
 def text_bytes(column: str = "text") -> F.Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables that the operators left in the shared folder.
+
+    Results are lazy and read them, so call this only when all results have been written elsewhere.
+    """
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(f"{shared_dir(spark)}/dialmart")
+    if system.get_file_info(root).type == fs.FileType.Directory:
+        system.delete_dir(root)
