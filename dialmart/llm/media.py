@@ -58,7 +58,10 @@ def to_png(payload: bytes, level: int = 6) -> bytes:
     """The PNG of a payload of whole rows."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
     header = WIDTH.to_bytes(4, "big") + len(image).to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])
-    data = zlib.compress(_filtered(image).tobytes(), level)
+    plain = np.zeros((len(image), ROW + 1), np.uint8)
+    plain[:, 1:] = image
+    # text often deflates better without filters, so the shorter of both is kept
+    data = min((zlib.compress(rows.tobytes(), level) for rows in (plain, _filtered(image))), key=len)
     parts = [_chunk(b"IDAT", data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)]
     return b"".join([SIGNATURE, _chunk(b"IHDR", header), *parts, _chunk(b"IEND", b"")])
 
