@@ -411,19 +411,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, full: int = FULL) ->
         one.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1").select("anchor", "segs"),
         "met",
     )
-    bodies = _kept_segments(docs, length, met, True)
-    facts = one.join(met.select("anchor", "segs"), "anchor")
-    crowded = met.where(F.col("segs") > full).select("anchor")
-    columns = ["anchor", "seg", "doc_id", "start", "windows", "body"]
-    bare = facts.where(F.col("segs") <= full).select(
-        "anchor", "seg", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "windows", F.lit(None).cast("binary").alias("body")
+    facts = one.join(met.select("anchor", "segs"), "anchor").select(
+        "anchor", "seg", "segs", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "windows"
     )
-    texts = bodies.select(*_body_columns(columns))
+    bare = facts.where(F.col("segs") <= full).select("anchor", "seg", "doc_id", "start", "windows", F.lit(None).cast("binary").alias("body"))
+    # bodies that the filter lets through without facts are passed over where they meet
+    bodies = _kept_segments(docs, length, met.where(F.col("segs") <= full), True)
+    crowded = met.where(F.col("segs") > full).select("anchor")
     if crowded.limit(1).count():
-        bodies = materialize(bodies, "bodies")
-        texts = bodies.join(crowded, "anchor", "left_anti").select(*_body_columns(columns))
-        single = bodies.join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "seg"])
-        rows = facts.where(F.col("segs") > full).join(single, ["anchor", "seg"]).select("first.doc_id", "first.start", "windows", "body")
+        single = _kept_segments(docs, length, crowded, True).join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "seg"])
+        rows = facts.where(F.col("segs") > full).join(single, ["anchor", "seg"]).select("doc_id", "start", "windows", "body")
         split = materialize(rows.mapInArrow(_window_rows(length), "w1 long, w2 long, doc_id long, start long"), "windows")
         oldest = split.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
         late = (
@@ -432,6 +429,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, full: int = FULL) ->
             .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
         )
         whole = whole.unionAll(late)
+    texts = bodies.select(
+        "anchor", "seg", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("windows"), "body"
+    )
     # dealt by a hash of the anchor: both sides of the union may already be dealt by the anchor itself,
     # each in its own number of partitions, and such an exchange would be planned away
     together = bare.unionAll(texts).repartition(n, F.xxhash64("anchor")).sortWithinPartitions("anchor", "seg")
@@ -439,11 +439,6 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, full: int = FULL) ->
     return whole.unionAll(ranges)
 
 
-def _body_columns(columns: list[str]) -> list:
-    kinds = {"doc_id": "long", "start": "long", "windows": "int"}
-    return [F.lit(None).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in columns]
-
-
 def _cut(data: pd.Series, ranges: pd.Series, length: pd.Series) -> pd.DataFrame:
     kept, spans = [], []
     for raw, pairs, size in zip(data, ranges, length, strict=True):
