@@ -22,13 +22,18 @@ MIN_LINES = 2
 KEY = ["doc_id", "_text_hash"]
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """A row for each line that is not blank: document, place among these lines, place among all, hash."""
+def _positions(docs: DataFrame, min_words: int | None = None) -> DataFrame:
+    """A row for each line that is not blank: document, place among all, hash, and whether it has min_words words."""
     split = docs.where("doc_id is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), F.split("text", "\n").alias("lines")
     )
     lines = split.select(*KEY, F.posexplode("lines").alias("line", "body")).where(F.length(F.trim(_clean("body"))) > 0)
-    return lines.select(*KEY, "line", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(7)).alias("h2"))
+    hashed = [*KEY, "line", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(7)).alias("h2")]
+    if min_words is None:
+        return lines.select(*hashed)
+    # so many words have so many characters and spaces between them; only then are they counted
+    enough = F.size(F.split(F.trim(_clean("body")), " +")) >= min_words
+    return lines.select(*hashed, ((F.length("body") >= 2 * min_words - 1) & enough).alias("long"))
 
 
 def _clean(column: str) -> F.Column:
@@ -59,10 +64,10 @@ def _rank(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
     return joined.drop(a, b, "_a", "_b")
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, min_words: int | None = None) -> DataFrame:
     """The positions of docs, once each, with place: their number among the document's lines that are not blank."""
     by_doc = Window.partitionBy(*KEY).orderBy("line")
-    found = _positions(docs).dropDuplicates([*KEY, "line"])
+    found = _positions(docs, min_words).dropDuplicates([*KEY, "line"])
     return materialize(found.withColumn("place", F.row_number().over(by_doc)), "lines")
 
 
@@ -72,7 +77,7 @@ def run_ranks(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     Runs that a document's end cuts short are left out.
     """
     by_doc = Window.partitionBy(*KEY).orderBy("place")
-    ranked = materialize(_rank(lines, "h1", "h2", "line-ids"), "line-ids")
+    ranked = materialize(_rank(lines.select(*KEY, "line", "h1", "h2", "place"), "h1", "h2", "line-ids"), "line-ids")
     length = 1
     while length < min_lines:
         step = min(length, min_lines - length)  # the last round may overlap
@@ -83,22 +88,29 @@ def run_ranks(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return ranked
 
 
-def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that are not the first place of their keys."""
+    first = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "place", "_text_hash")).alias("first"), F.count("*").alias("_n"))
+    return (
+        rows.join(first.where("_n > 1"), keys)
+        .where((F.col("first.doc_id") < F.col("doc_id")) | (F.col("first.place") < F.col("place")))
+    )
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc_id, _text_hash and removed: the sorted numbers of a document's lines that a later copy holds.
 
     A line goes if a run of min_lines lines around it also starts earlier: in a document with a
-    smaller doc_id, or before in the same one.  Only documents that lose lines have a row.
+    smaller doc_id, or before in the same one.  With min_words, a line of so many words goes by
+    itself if it also stands earlier.  Only documents that lose lines have a row.
     """
-    lines = line_table(docs)
+    lines = line_table(docs, min_words)
     ranked = run_ranks(lines, min_lines)
-    order = F.struct("doc_id", "place", "_text_hash")
-    first = ranked.where("same > 1").groupBy("rank").agg(F.min(order).alias("first"))
-    later = (
-        ranked.where("same > 1")
-        .join(first, "rank")
-        .where((F.col("first.doc_id") < F.col("doc_id")) | (F.col("first.place") < F.col("place")))
-    )
-    covered = later.select(*KEY, F.explode(F.sequence(F.col("place"), F.col("place") + min_lines - 1)).alias("place")).distinct()
+    later = _later(ranked.where("same > 1"), ["rank"])
+    covered = later.select(*KEY, F.explode(F.sequence(F.col("place"), F.col("place") + min_lines - 1)).alias("place"))
+    if min_words is not None:
+        covered = covered.unionAll(_later(lines.where("long"), ["h1", "h2"]).select(*KEY, "place"))
+    covered = covered.distinct()
     # from places among the lines that are not blank to line numbers
     hit = lines.join(covered, [*KEY, "place"], "left_semi")
     return hit.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("removed"))
@@ -119,16 +131,16 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_spans": spans})
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """docs with kept (the text without later copies of line runs), n_lines, n_removed and n_spans.
 
     Lines are what stands between line feeds.  Blank ones are neither matched nor deleted, and runs
-    go over them.  A null text has no lines and stays null; rows without a doc_id are not compared
+    go over them.  With min_words, a line of so many words is a run by itself.  A null text has no lines and stays null; rows without a doc_id are not compared
     and keep their text.  Rows that repeat a doc_id with the same text are one document and get the
     same result; with another text, the smaller place comes first.  Extra columns are carried along.
     No rows give no rows.
     """
-    gone = repeated_lines(docs, min_lines).select(
+    gone = repeated_lines(docs, min_lines, min_words).select(
         F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("removed").alias("_removed")
     )
     joined = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
@@ -146,12 +158,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """docs with the kept text as text and its length as n_chars if there is such a column.
 
     Documents that lose every line that is not blank go; those that were blank before stay.
     """
-    found = dedup_lines(docs, min_lines)
+    found = dedup_lines(docs, min_lines, min_words)
     stays = (F.col("n_removed") == 0) | (F.length(F.trim(_clean("kept"))) > 0)
     new = {"text": F.col("kept")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return found.where(stays).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

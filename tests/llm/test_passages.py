@@ -1,4 +1,4 @@
-"""The pipeline's near copies, against brute force."""
+"""The pipeline's near copies and long single lines, against brute force."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from dialmart.llm import similar
+from dialmart.llm import lines, similar
 from tests.llm.test_core_ops import DOCS, ODD
 
 
@@ -51,3 +51,13 @@ def test_near_copies_odd_rows(spark):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 6, 7]
     assert similar.keep_one(odd.limit(0)).count() == 0
+
+
+def test_long_lines_go_by_themselves(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    short = " ".join(f"s{i}" for i in range(49))
+    docs = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{short}\nd\n{long}\ne"), (3, f"{long}\nf\n {long}\ng\n{long}"), (4, long), (None, long)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {1: docs[0][1], 2: f"c\n{short}\nd\ne", 3: f"f\n {long}\ng", None: long}
+    assert {r.n_removed for r in lines.dedup_lines(df, 2).collect()} == {0}
