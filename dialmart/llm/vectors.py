@@ -3,8 +3,8 @@
 Coarse inverted lists, residual subspace codes, asymmetric distances from lookup tables over
 several probed lists, and an exact cosine for what these let through.  Every vector stands in its
 own list and visits the lists that it probes; a pair is looked at where one's own list is probed
-by the other and the other way round, once from each side, so that both ends count the same
-links.  The code's error is kept with it, so the lookup distance never discards a pair that the
+by the other.  If that holds both ways, each side counts the pair as a visitor; if it holds one way,
+the visitor counts it for both, so that both ends count the same links.  The code's error is kept with it, so the lookup distance never discards a pair that the
 exact cosine would keep: only probing can miss one.  Lists meet their visitors block by block; a
 block pair gives each visitor a count and only enough links to hold its groups together.
 """
@@ -169,28 +169,29 @@ def _meet(assigned: DataFrame) -> DataFrame:
 
 
 def _links_of_block(ix: Index, which: int, members: dict, visitors: dict, threshold: float):
-    """Per visitor the copies it links to, and links that hold the groups of this block together."""
+    """Copies that visitors, then members link to, and links that hold the groups of this block together."""
     counts = np.zeros(len(visitors["id"]), np.int64)
+    back = np.zeros(len(members["id"]), np.int64)  # for pairs that meet in this list only
     links: list[tuple[np.ndarray, np.ndarray]] = []
     m = len(members["id"])
     if not m:
-        return counts, links
+        return counts, back, links
     far = np.sqrt(max(0.0, 2 - 2 * threshold)) + members["error"] + 1e-6
     step = max(1, PAIRS // m)
     group = np.arange(m)  # of members, by links through visitors so far
     for at in range(0, len(counts), step):
         x = visitors["unit"][at : at + step]
         r, c = np.nonzero(ix.lookup(x, which, members["codes"]) <= far)
-        both = (members["probes"][c] == visitors["home"][at + r, None]).any(1) & (
-            members["id"][c] != visitors["id"][at + r]
-        )
-        r, c = r[both], c[both]
+        other = members["id"][c] != visitors["id"][at + r]
+        r, c = r[other], c[other]
         close = np.empty(len(r), bool)
         for k in range(0, len(r), PAIRS // 16):
             cut = slice(k, k + PAIRS // 16)
             close[cut] = np.einsum("ij,ij->i", x[r[cut]], members["unit"][c[cut]]) >= threshold
         r, c = r[close], c[close]
         np.add.at(counts, at + r, members["n"][c])
+        lone = ~(members["probes"][c] == visitors["home"][at + r, None]).any(1)
+        np.add.at(back, c[lone], visitors["n"][at + r[lone]])
         if len(r):
             first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             root = c[np.repeat(first, np.diff(np.append(first, len(r))))]
@@ -203,7 +204,7 @@ def _links_of_block(ix: Index, which: int, members: dict, visitors: dict, thresh
                 if gi != gj:
                     links.append((members["id"][[i]], members["id"][[j]]))
                     group[group == gi] = gj
-    return counts, links
+    return counts, back, links
 
 
 def _compare(index_of, threshold: float):
@@ -225,9 +226,10 @@ def _compare(index_of, threshold: float):
 
     def found(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         members, visitors = whole(rows)
-        counts, links = _links_of_block(index_of(), rows[0].column(0)[0].as_py(), members, visitors, threshold)
+        counts, back, links = _links_of_block(index_of(), rows[0].column(0)[0].as_py(), members, visitors, threshold)
+        ids, counts = np.concatenate([visitors["id"], members["id"]]), np.concatenate([counts, back])
         hit = counts > 0
-        u = np.concatenate([visitors["id"][hit], *(link[0] for link in links)])
+        u = np.concatenate([ids[hit], *(link[0] for link in links)])
         v = np.concatenate([counts[hit], *(link[1] for link in links)])
         is_count = np.arange(len(u)) < hit.sum()
         return pa.RecordBatch.from_arrays(
