@@ -3,10 +3,16 @@
 Every window of `length` bytes is filed under its anchor, the least hash among its 32-byte grams,
 so equal windows always meet, whatever stands around them.  Consecutive windows with the same gram are
 a segment, and segments with equal bytes are one row with their first place and their number.
-Anchors that occur once are dropped; the segments of the others are laid end to end, and a
+Anchors that occur once are dropped.  A segment has a few keys, each of a string around the gram, such
+that every window holds one of these strings; segments without a key that another has are dropped
+too, as they share no window.  The bytes of the other segments are cut from the documents of their first places and laid end to end, and a
 breadth-first backward extension on the transform of that text finds the ends of the intervals of
 suffixes that share 1, 2, 3 ... bytes.  It stops at `length`: what no end divides shares that much,
 and of such windows all but the first go.
+
+An anchor with more segments than one transform should hold is dealt anew: its segments are cut
+again by the least hash of grams twice as long, as often as that is needed.  Grams as long as a
+window end this, since segments that share one are equal.
 """
 
 from __future__ import annotations
@@ -16,17 +22,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_partitions
+from .common import carried, materialize, n_partitions, returned
 
 LENGTH = 100
 GRAM = 32
 #: Bytes hashed at once, bytes in one transform.
-STEP, TRANSFORM = 1 << 18, 1 << 20
-#: Segments of one anchor that one task takes; those of fuller anchors meet window by window.
-FULL = 4_000
+STEP, TRANSFORM = 1 << 18, 1 << 18
+#: Segments of one anchor that one transform takes; those of fuller anchors are cut again by longer grams.
+FULL = 2_000
+#: Keys of a segment.
+KEYS = 3
 #: Bits of the filter that keeps most anchors that occur once out of the shuffle; its size is fixed.
 FILTER_BITS = 27
 
@@ -36,16 +45,11 @@ PLACE_BITS = 20
 BUCKET_BITS = 12
 
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-_TURN = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-
+_TURN = np.random.default_rng(8).integers(1, 1 << 63, 48, dtype=np.uint64) | np.uint64(1)
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of the window at each place of data (uint8) that has length bytes from there, and its gram's place.
 
-    Of equal least hashes the leftmost counts, so that a window that occurs twice has two places.
-    Hashes are compared by their upper bits, above those that hold a place here.
-    """
-    gram = min(GRAM, length)
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram bytes from each place of data (uint8) that has so many."""
     h = _BYTE[data]
     size = 1
     for turn in _TURN:
@@ -56,16 +60,32 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(31)
         h *= turn
         size += step
-    h ^= h >> np.uint64(29)
+    return h ^ (h >> np.uint64(29))
+
+
+def anchors(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of each window of so many grams, and its gram's place.
+
+    Of equal least hashes the leftmost counts, so that a window that occurs twice has two places.
+    Hashes are compared by their upper bits, above those that hold a place here.
+    """
     low = np.uint64((1 << PLACE_BITS) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    span, size = length - gram + 1, 1
+    least = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    size = 1
     while size < span:
         step = min(size, span - size)
         least = np.minimum(least[:-step], least[step:])
         size += step
     place = (least & low).astype(np.int64)
-    return (h >> np.uint64(64 - ANCHOR_BITS))[place], place
+    return (hashes >> np.uint64(64 - ANCHOR_BITS))[place], place
+
+
+def gram_sizes(length: int) -> list[int]:
+    """Sizes of the grams of each round of dealing, up to a whole window."""
+    sizes = [min(GRAM, length)]
+    while sizes[-1] < length:
+        sizes.append(min(2 * sizes[-1], length))
+    return sizes
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], bytes]]:
@@ -85,16 +105,17 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
         yield which, offsets, parts
 
 
-def segments(texts: list[bytes], length: int, wanted=None) -> Iterator[tuple]:
-    """(text index, start, windows, anchor, bytes) arrays and lists of the segments of texts.
+def segments(texts: list[bytes], length: int, gram: int, wanted=None) -> Iterator[tuple]:
+    """Segments of texts: (text index, start, windows, anchor, all bytes of this run, place there, keys).
 
-    wanted, if given, takes an array of anchors and says which to keep.
+    All but the bytes are arrays.  wanted, if given, takes an array of anchors and says which to keep.
     """
     for which, offsets, parts in _pieces(texts, length):
         joined = b"".join(parts)
         sizes = np.array([len(p) for p in parts])
         first = np.cumsum(sizes) - sizes
-        anchor, place = anchors(np.frombuffer(joined, np.uint8), length)
+        hashes = gram_hashes(np.frombuffer(joined, np.uint8), gram)
+        anchor, place = anchors(hashes, length - gram + 1)
         begins = np.zeros(len(anchor) + 1, bool)
         begins[1:-1] = place[1:] != place[:-1]
         begins[first] = True
@@ -103,13 +124,32 @@ def segments(texts: list[bytes], length: int, wanted=None) -> Iterator[tuple]:
         at = np.flatnonzero(begins[:-1])
         n = np.diff(np.append(at, len(anchor)))
         part = np.searchsorted(first, at, side="right") - 1
-        inside = at < closed[part]
-        at, n, part = at[inside], n[inside], part[inside]
-        a = anchor[at]
+        keep = at < closed[part]
         if wanted is not None:
-            keep = wanted(a)
-            at, part, n, a = at[keep], part[keep], n[keep], a[keep]
-        yield np.array(which)[part], at - first[part] + np.array(offsets)[part], n, a, joined, at
+            keep &= wanted(anchor[at])
+        at, n, part = at[keep], n[keep], part[keep]
+        keys = _keys(hashes, place[at], at, at + n + length - 1, length, gram)
+        yield np.array(which)[part], at - first[part] + np.array(offsets)[part], n, anchor[at], joined, at, keys
+
+
+def _keys(hashes: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """A row of hashes for each segment from lo to hi with its gram at a place; 0 for a string that goes beyond it.
+
+    The strings are so long, and begin so many bytes apart, that every window around the gram holds one.
+    """
+    step = -(-(length - gram + 1) // KEYS)
+    size, turn = length - step + 1, _TURN[-1]
+    out = np.zeros((len(place), KEYS), np.uint64)
+    for k in range(KEYS):
+        at = place - k * step
+        inside = (at >= lo) & (at + size <= hi)
+        at = at[inside]
+        key = np.zeros(len(at), np.uint64)
+        for more in (0, (size - gram) // 2, size - gram):  # grams that begin, halve and end the string
+            key = (key ^ hashes[at + more]) * turn
+            key ^= key >> np.uint64(32)
+        out[inside, k] = key | np.uint64(1)
+    return out
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -121,15 +161,22 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     for k in range(7):
         rank = rank << 9 | wide[k : k + n]
     size, order = 7, np.argsort(rank)
+    # suffixes that are equal so far have the place of the first of them as rank
+    new = np.r_[True, np.diff(rank[order]) != 0]
+    tied = np.arange(n)
+    rank = np.zeros(n, np.int64)
     while True:
-        at = rank[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[True, at[1:] != at[:-1]])
-        if size >= depth or new[order[-1]] == n:
+        first = tied[new][np.cumsum(new) - 1]
+        rank[order[tied]] = first + 1
+        tied = tied[~(new & np.r_[new[1:], True])]
+        if size >= depth or not len(tied):
             return order
-        rank = new * (n + 1)
-        rank[:-size] += new[size:]
-        order = np.argsort(rank)
+        own = order[tied]
+        onward = np.where(own + size < n, rank[np.minimum(own + size, n - 1)], 0)
+        key = rank[own] * (n + 1) + onward
+        by = np.argsort(key)
+        order[tied] = own[by]
+        new = np.r_[True, np.diff(key[by]) != 0]
         size *= 2
 
 
@@ -141,25 +188,35 @@ def interval_ends(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
     An interval is only extended when it has set a new end, so that each end is paid for once.
     """
     n = len(text)
-    before = text[order - 1]  # the transform
-    step = np.empty(n, np.int64)  # where the suffix that is one longer stands
-    step[np.argsort(before, kind="stable")] = np.arange(n)
+    before = text[order - 1].astype(np.int16)  # the transform
+    back = np.argsort(before, kind="stable").astype(np.int32)  # where the suffixes stand that are one shorter
+    symbols = before[back]
+    step = np.empty(n, np.int32)  # where the suffix that is one longer stands
+    step[back] = np.arange(n, dtype=np.int32)
     ends = np.zeros(n + 1, bool)
     ends[0] = ends[n] = True
     lo, hi = np.array([0]), np.array([n])
     for _ in range(length):
         size = hi - lo
-        where = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-        own = np.repeat(np.arange(len(lo)), size)
-        symbol = before[where]
-        part = symbol != 0  # nothing goes over the end of a part
-        longer, own, symbol = step[where[part]], own[part], symbol[part]
-        by = np.argsort(longer)
-        longer, own, symbol = longer[by], own[by], symbol[by]
+        numbers = np.arange(1, len(lo) + 1, dtype=np.int32)
+        if size.sum() > n // 16:  # look at all places, in the order of the longer suffixes
+            change = np.zeros(n + 1, np.int32)
+            change[lo] += numbers
+            change[hi] -= numbers
+            own = np.cumsum(change[:-1], dtype=np.int32)[back]
+            longer = np.flatnonzero((own != 0) & (symbols != 0))  # nothing goes over the end of a part
+            own = own[longer]
+        else:  # sort the few that are inside
+            where = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            own = np.repeat(numbers, size)
+            part = before[where] != 0
+            longer, own = step[where[part]], own[part]
+            by = np.argsort(longer)
+            longer, own = longer[by], own[by]
         if not len(longer):
             break
-        new = np.r_[True, (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])]
-        first = np.flatnonzero(new)
+        symbol = symbols[longer]
+        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (symbol[1:] != symbol[:-1])])
         new_lo, new_hi = longer[first], longer[np.append(first[1:], len(longer)) - 1] + 1
         fresh = ~ends[new_hi]
         ends[new_hi] = True
@@ -171,13 +228,14 @@ def interval_ends(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarra
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("bytes")
-    )
+    """doc_id, a hash of the text, and its bytes; documents stand in line by the first two."""
+    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("bytes"))
+    return rows.select("doc_id", F.xxhash64("bytes").alias("h"), "bytes")
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column(1).to_pylist()
+    return batch.column(batch.schema.get_field_index("bytes")).to_pylist()
 
 
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -200,7 +258,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def repeated_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor: the anchors of two segments at least.  docs has doc_id and bytes.
+    """anchor: the anchors of two segments at least.  docs has bytes.
 
     Tasks ship their anchors as packed arrays by bucket, twice if they have met them twice.
     """
@@ -210,7 +268,7 @@ def repeated_anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [a for _, _, _, a, _, _ in segments(_texts(batch), length)]
+            found = [s[3] for s in segments(_texts(batch), length, min(GRAM, length))]
             if not found:
                 continue
             every = np.sort(np.concatenate(found))
@@ -264,179 +322,199 @@ def _test(filter_bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (filter_bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-def _kept_segments(docs: DataFrame, length: int, found: DataFrame, with_bytes: bool) -> DataFrame:
-    """Segments whose anchor the filter lets through.
+SEGMENTS = "anchor long, seg long, doc_id long, h long, start long, windows int, keys array<long>"
 
-    anchor, seg (hash of the bytes) and either doc_id, start and windows, or the bytes, once for
-    each batch of rows.
-    """
+
+def _segment_batch(found: tuple, ids: np.ndarray, h: np.ndarray, add: np.ndarray, length: int) -> pa.RecordBatch:
+    from xxhash import xxh3_64_intdigest
+
+    which, start, n, anchor, joined, at, keys = found
+    ends = at + n + length - 1
+    seg = np.fromiter((xxh3_64_intdigest(joined[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)), np.uint64, len(at))
+    cuts = np.r_[0, np.cumsum((keys != 0).sum(1))].astype(np.int32)
+    keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[keys != 0].view(np.int64)))
+    cols = [pa.array(anchor.astype(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[which]), pa.array(h[which])]
+    cols += [pa.array(start + add[which]), pa.array(n, pa.int32()), keys]
+    return pa.RecordBatch.from_arrays(cols, ["anchor", "seg", "doc_id", "h", "start", "windows", "keys"])
+
+
+def _kept_segments(docs: DataFrame, length: int, found: DataFrame) -> DataFrame:
+    """The segments of docs whose anchor the filter lets through; seg is the hash of their bytes."""
     known = docs.sparkSession.sparkContext.broadcast(anchor_filter(found))
-    schema = "anchor long, seg long, " + ("body binary" if with_bytes else "doc_id long, start long, windows int")
+    gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
         wanted = lambda a: _test(known.value, a)
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            seen: set = set()
-            for which, start, n, anchor, joined, at in segments(_texts(batch), length, wanted):
-                ends = at + n + length - 1
-                body = [joined[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-                seg = np.fromiter(map(xxh3_64_intdigest, body), np.uint64, len(body))
-                cols = [pa.array(anchor.astype(np.int64)), pa.array(seg.view(np.int64))]
-                if with_bytes:
-                    keys = list(zip(anchor.tolist(), seg.tolist(), strict=True))
-                    new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-                    cols = [c.take(pa.array(new, pa.int64())) for c in cols] + [pa.array([body[i] for i in new], pa.binary())]
-                    names = ["anchor", "seg", "body"]
-                else:
-                    cols += [pa.array(ids[which]), pa.array(start), pa.array(n, pa.int32())]
-                    names = ["anchor", "seg", "doc_id", "start", "windows"]
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def later_windows(bodies: list[bytes], windows: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(segment, first window, last window) of runs of windows that also begin earlier in these segments."""
-    sizes = np.array([len(b) + 1 for b in bodies])
-    first = np.cumsum(sizes) - sizes
-    text = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + 1
-    text[first + sizes - 1] = 0
-    own = np.repeat(np.arange(len(bodies)), sizes)
-    place = np.arange(len(text)) - first[own]
+            ids, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for part in segments(_texts(batch), length, gram, wanted):
+                yield _segment_batch(part, ids, h, np.zeros(len(ids), np.int64), length)
+
+    return docs.mapInArrow(run, SEGMENTS)
+
+
+def _segments_of(bodies: DataFrame, length: int, gram: int) -> DataFrame:
+    """The segments that grams of another size cut segments into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, h, start = (np.asarray(batch.column(k)) for k in (2, 3, 4))
+            for part in segments(batch.column(6).to_pylist(), length, gram):
+                yield _segment_batch(part, ids, h, start, length)
+
+    return bodies.mapInArrow(run, SEGMENTS)
+
+
+BODIES = "anchor long, seg long, doc_id long, h long, start long, windows int, body binary"
+
+
+def _bodies(docs: DataFrame, facts: DataFrame, length: int) -> DataFrame:
+    """facts with the bytes of each segment, cut from the document of its first place.
+
+    A document that docs repeats gives its segments as often.
+    """
+    by_doc = facts.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(
+        F.collect_list("anchor").alias("anchor"), F.collect_list("seg").alias("seg"), F.collect_list("start").alias("start"), F.collect_list("windows").alias("windows")
+    )
+    rows = docs.join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                lists = [batch.column(k) for k in (3, 4, 5, 6)]
+                n = np.diff(np.asarray(lists[0].offsets))
+                anchor, seg, start, windows = (x.flatten() for x in lists)
+                texts = _texts(batch)
+                own = np.repeat(np.arange(len(texts)), n)
+                lo, ends = np.asarray(start), np.asarray(start) + np.asarray(windows) + length - 1
+                body = [texts[i][a:b] for i, a, b in zip(own.tolist(), lo.tolist(), ends.tolist(), strict=True)]
+                ids, h = (np.asarray(batch.column(k))[own] for k in (0, 1))
+                cols = [anchor, seg, pa.array(ids), pa.array(h), start, windows, pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "seg", "doc_id", "h", "start", "windows", "body"])
+
+    return rows.select("doc_id", "h", "bytes", "anchor", "seg", "start", "windows").mapInArrow(run, BODIES)
+
+
+def later_windows(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, age: np.ndarray, start: np.ndarray, length: int):
+    """(segment, first window, last window) arrays of runs of windows that also begin earlier in these segments.
+
+    data holds the segments' bytes one after the other; age is the rank of their documents.
+    """
+    n = len(sizes)
+    own = np.repeat(np.arange(n), sizes + 1)
+    first = np.cumsum(sizes + 1) - sizes - 1
+    place = np.arange(len(own)) - first[own]
+    text = np.zeros(len(own), np.int64)
+    text[place < sizes[own]] = data.astype(np.int64) + 1  # a zero ends each segment
     order = suffix_order(text, length)
     group = np.cumsum(interval_ends(text, order, length))
     whole = place[order] < windows[own[order]]
     at, group = order[whole], group[whole]
-    rank = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-    age = rank[own[at]] << 40 | (start[own[at]] + place[at])
+    when = age[own[at]] << 40 | (start[own[at]] + place[at])
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    oldest = np.repeat(np.minimum.reduceat(age, head), np.diff(np.append(head, len(age))))
-    late = np.sort(at[age > oldest])
+    oldest = np.repeat(np.minimum.reduceat(when, head), np.diff(np.append(head, len(when))))
+    late = np.sort(at[when > oldest])
     if not len(late):
-        return []
+        return late, late, late
     cut = np.flatnonzero(np.r_[True, np.diff(late) != 1])
     lo, hi = late[cut], late[np.append(cut[1:], len(late)) - 1]
-    return list(zip(own[lo].tolist(), place[lo].tolist(), place[hi].tolist(), strict=True))
+    return own[lo], place[lo], place[hi]
 
 
-def _transform_tasks(length: int, transform: int):
-    """Ranges of windows that begin earlier, from rows sorted by anchor and segment.
-
-    A segment's facts (first doc_id and start, windows) stand in a row without body and its bytes in
-    one or more others.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies, windows, docs, starts, held = [], [], [], [], 0
-
-        def found() -> pa.RecordBatch:
-            runs = later_windows(bodies, np.array(windows), np.array(docs), np.array(starts, np.int64), length)
-            rows = [(docs[i], starts[i] + lo, starts[i] + hi) for i, lo, hi in runs]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "lo", "hi"])
-
-        for _, rows in _by_key(batches):
-            facts, body = {}, {}
-            for r in rows:
-                for seg, doc, start, n, b in zip(*(r.column(k).to_pylist() for k in (1, 2, 3, 4, 5)), strict=True):
-                    if b is None:
-                        facts[seg] = (doc, start, n)
-                    else:
-                        body[seg] = b
-            for seg, (doc, start, n) in facts.items():
-                bodies.append(body[seg])
-                windows.append(n)
-                docs.append(doc)
-                starts.append(start)
-                held += len(body[seg])
-            if held > transform:
-                yield found()
-                bodies, windows, docs, starts, held = [], [], [], [], 0
-        if bodies:
-            yield found()
-
-    return run
+def _whole_anchors(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.Table]:
+    """Tables of whole anchors, in their order, that have enough bytes each."""
+    held: list[pa.RecordBatch] = []
+    now, size = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        ends = np.cumsum(pc.binary_length(batch.column(6)).to_numpy(zero_copy_only=False))
+        starts = np.flatnonzero(np.r_[key[0] != now, key[1:] != key[:-1]])
+        at, base = 0, 0
+        for s in starts.tolist():
+            upto = int(ends[s - 1]) if s else 0
+            if size + upto - base > enough:
+                if s > at:
+                    held.append(batch.slice(at, s - at))
+                yield pa.Table.from_batches(held)
+                held, size, at, base = [], 0, s, upto
+        held.append(batch.slice(at))
+        size += int(ends[-1]) - base
+        now = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _window_rows(length: int):
-    """A row for each window of segments of full anchors: 128 bits of hash, doc_id and start."""
+def _transform_tasks(length: int, transform: int):
+    """Ranges of windows that begin earlier, from rows of BODIES sorted by anchor and segment."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        anchor, seg, doc, h, start, windows = (table.column(k).to_numpy() for k in range(6))
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (seg[1:] != seg[:-1])]  # a repeated document gives rows again
+        body = table.column(6)
+        if not new.all():
+            body = body.filter(pa.array(new))
+            doc, h, start, windows = doc[new], h[new], start[new], windows[new]
+        body = pa.concat_arrays(body.chunks)
+        sizes = pc.binary_length(body).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, 4 * body.offset)
+        data = np.frombuffer(body.buffers()[2], np.uint8)[cuts[0] : cuts[-1]]
+        by = np.lexsort((h, doc))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(np.r_[0, (doc[by][1:] != doc[by][:-1]) | (h[by][1:] != h[by][:-1])])
+        own, lo, hi = later_windows(data, sizes, windows, rank, start, length)
+        cols = [doc[own], h[own], start[own] + lo, start[own] + hi]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "h", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                docs, starts, windows, bodies = (batch.column(k).slice(at, 512).to_pylist() for k in range(4))
-                raw = b"".join(
-                    xxh3_128_digest(b[t : t + length]) for b, n in zip(bodies, windows, strict=True) for t in range(n)
-                )
-                keys = np.frombuffer(raw, np.int64).reshape(-1, 2)
-                n = np.array(windows)
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                cols = [keys[:, 0].copy(), keys[:, 1].copy(), np.repeat(docs, n), np.repeat(starts, n) + place]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["w1", "w2", "doc_id", "start"])
+        for table in _whole_anchors(batches, transform):
+            yield found(table)
 
     return run
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, full: int = FULL) -> DataFrame:
-    """(doc_id, lo, hi): windows of length bytes, by first and last start, that also start earlier.
+    """(doc_id, h, lo, hi): windows of length bytes, by first and last start, that also start earlier.
 
-    Earlier is in a document with a smaller doc_id or before in the same one.  docs has doc_id and
-    bytes.  Ranges may touch and overlap.
+    Earlier is in a document that stands before by doc_id and h, or before in the same one.  docs has
+    doc_id, h and bytes.  Ranges may touch and overlap.
     """
     n = n_partitions(docs.sparkSession)
     found = materialize(repeated_anchors(docs, length), "anchors")
-    every = materialize(_kept_segments(docs, length, found, False), "segments")
-    one = materialize(
-        every.groupBy("anchor", "seg").agg(
-            F.min(F.struct("doc_id", "start")).alias("first"),
-            F.count("*").alias("copies"),
-            F.max("windows").alias("windows"),
-        ),
-        "distinct",
-    )
-    # the copies of a segment go as a whole
-    copied = one.where("copies > 1").select("anchor", "seg", "first")
-    whole = (
-        every.join(copied, ["anchor", "seg"])
-        .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-        .select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
-    )
-    # the rest meets by anchor; one segment alone has nothing to meet
-    met = materialize(
-        one.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1").select("anchor", "segs"),
-        "met",
-    )
-    facts = one.join(met.select("anchor", "segs"), "anchor").select(
-        "anchor", "seg", "segs", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "windows"
-    )
-    bare = facts.where(F.col("segs") <= full).select("anchor", "seg", "doc_id", "start", "windows", F.lit(None).cast("binary").alias("body"))
-    # bodies that the filter lets through without facts are passed over where they meet
-    bodies = _kept_segments(docs, length, met.where(F.col("segs") <= full), True)
-    crowded = met.where(F.col("segs") > full).select("anchor")
-    if crowded.limit(1).count():
-        single = _kept_segments(docs, length, crowded, True).join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "seg"])
-        rows = facts.where(F.col("segs") > full).join(single, ["anchor", "seg"]).select("doc_id", "start", "windows", "body")
-        split = materialize(rows.mapInArrow(_window_rows(length), "w1 long, w2 long, doc_id long, start long"), "windows")
-        oldest = split.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-        late = (
-            split.join(oldest.where("n > 1"), ["w1", "w2"])
-            .where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-            .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    every = materialize(_kept_segments(docs, length, found), "segments")
+    place = F.struct("doc_id", "h", "start")
+    out = None
+    for gram in gram_sizes(length):
+        one = every.groupBy("anchor", "seg").agg(
+            F.min(place).alias("first"), F.count("*").alias("copies"), F.max("windows").alias("windows"), F.any_value("keys").alias("keys")
         )
-        whole = whole.unionAll(late)
-    texts = bodies.select(
-        "anchor", "seg", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("windows"), "body"
-    )
-    # dealt by a hash of the anchor: both sides of the union may already be dealt by the anchor itself,
-    # each in its own number of partitions, and such an exchange would be planned away
-    together = bare.unionAll(texts).repartition(n, F.xxhash64("anchor")).sortWithinPartitions("anchor", "seg")
-    ranges = together.mapInArrow(_transform_tasks(length, TRANSFORM), "doc_id long, lo long, hi long")
-    return whole.unionAll(ranges)
+        one = materialize(one, "distinct")
+        # the copies of a segment go as a whole
+        copied = one.where("copies > 1").select("anchor", "seg", "first")
+        whole = every.join(copied, ["anchor", "seg"]).where(place != F.col("first"))
+        whole = whole.select("doc_id", "h", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
+        out = whole if out is None else out.unionAll(whole)
+        # the rest meets by anchor; one segment alone has nothing to meet
+        keys = one.select("anchor", "seg", F.explode("keys").alias("key"))
+        shared = keys.groupBy("key").count().where("count > 1").select("key")
+        shared = keys.join(shared, "key").select("anchor", "seg").distinct()
+        facts = one.select("anchor", "seg", "first.*", "windows").join(shared, ["anchor", "seg"], "left_semi")
+        facts = materialize(facts, "facts")
+        met = facts.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1")
+        facts = materialize(facts.join(met, "anchor"), "met")
+        last = gram == length
+        bodies = _bodies(docs, facts if last else facts.where(F.col("segs") <= full), length)
+        # dealt by a hash of the anchor, so that this exchange is never taken for one that is there already
+        together = bodies.repartition(n, F.xxhash64("anchor")).sortWithinPartitions("anchor", "seg")
+        out = out.unionAll(together.mapInArrow(_transform_tasks(length, TRANSFORM), "doc_id long, h long, lo long, hi long"))
+        crowded = facts.where(F.col("segs") > full)
+        if last or not crowded.limit(1).count():
+            break
+        longer = gram_sizes(length)[gram_sizes(length).index(gram) + 1]
+        every = materialize(_segments_of(_bodies(docs, crowded, length), length, longer).dropDuplicates(["anchor", "seg", "doc_id", "h", "start"]), "segments")
+    return out
 
 
 def _cut(data: pd.Series, ranges: pd.Series, length: pd.Series) -> pd.DataFrame:
@@ -466,18 +544,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, full: int = FULL) -> D
 
     A byte goes if a string of length bytes around it also starts earlier: in a document with a
     smaller doc_id or before in the same one; strings never reach over a document's end and are
-    judged on the input.  A null text is empty.  Rows without a doc_id are not compared and lose
-    nothing.  Rows that repeat a doc_id with the same text are one document and lose the same; ranges
-    found in different texts of one doc_id are cut from each.  No rows give no rows.
+    judged on the input.  A null or empty text has no bytes.  Rows without a doc_id are not compared and
+    lose nothing.  Rows that repeat a doc_id with the same text are one document and lose the same; of
+    different texts of one doc_id, that with the smaller hash comes first.  Columns of docs go through,
+    but for spans and kept, which are replaced.  No rows give no rows.
     """
     ranges = repeated_windows(_documents(docs), length, full)
-    by_doc = ranges.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_ranges"))
-    joined = docs.withColumn("_bytes", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")).join(
-        by_doc, F.col("doc_id") == F.col("_id"), "left"
-    )
+    by_doc = ranges.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
+    text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
+    rows = docs.select(carried(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("bytes"))
+    rows = rows.join(by_doc, (F.col("id") == F.col("doc_id")) & (F.xxhash64("bytes") == F.col("h")), "left")
     cut = F.pandas_udf(_cut, "kept binary, spans array<struct<start: long, end: long>>")
-    some = F.col("_ranges").isNotNull()  # only texts that lose bytes go through Python
-    done = joined.withColumn("_cut", cut(F.when(some, F.col("_bytes")), "_ranges", F.lit(length)))
-    return done.select(
-        *[F.col(c) for c in docs.columns], F.col("_cut.spans").alias("spans"), F.when(some, F.col("_cut.kept")).otherwise(F.col("_bytes")).alias("kept")
-    )
+    some = F.col("ranges").isNotNull()  # only texts that lose bytes go through Python
+    done = rows.withColumn("cut", cut(F.when(some, F.col("bytes")), "ranges", F.lit(length)))
+    return returned(done, docs.columns, {"spans": F.col("cut.spans"), "kept": F.when(some, F.col("cut.kept")).otherwise(F.col("bytes"))})
