@@ -2,13 +2,14 @@
 
 Every window of `length` bytes is filed under its anchor, the least hash among its 32-byte grams,
 so equal windows always meet, whatever stands around them.  Consecutive windows with the same gram are
-a segment, and segments with equal bytes are one row with their first place and their number.
-Anchors that occur once are dropped.  A segment has a few keys, each of a string around the gram, such
-that every window holds one of these strings; segments without a key that another has are dropped
-too, as they share no window.  The bytes of the other segments are cut from the documents of their first places and laid end to end, and a
-breadth-first backward extension on the transform of that text finds the ends of the intervals of
-suffixes that share 1, 2, 3 ... bytes.  It stops at `length`: what no end divides shares that much,
-and of such windows all but the first go.
+a segment.  Anchors that occur once are dropped.  Of segments with equal bytes the first place stays
+and the others go as a whole: those within a batch of documents at once, so that a passage that very
+many documents share is one row for each batch, and the rest where their anchors meet.
+
+The bytes of segments whose anchor has others are cut from the documents of their first places and
+laid end to end, and a breadth-first backward extension on the transform of that text finds the
+ends of the intervals of suffixes that share 1, 2, 3 ... bytes.  It stops at `length`: what no end
+divides shares that much, and of such windows all but the first go.
 
 An anchor with more segments than one transform should hold is dealt anew: its segments are cut
 again by the least hash of grams twice as long, as often as that is needed.  Grams as long as a
@@ -34,8 +35,6 @@ GRAM = 32
 STEP, TRANSFORM = 1 << 18, 1 << 18
 #: Segments of one anchor that one transform takes; those of fuller anchors are cut again by longer grams.
 FULL = 2_000
-#: Keys of a segment.
-KEYS = 3
 #: Bits of the filter that keeps most anchors that occur once out of the shuffle; its size is fixed.
 FILTER_BITS = 27
 
@@ -106,7 +105,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[i
 
 
 def segments(texts: list[bytes], length: int, gram: int, wanted=None) -> Iterator[tuple]:
-    """Segments of texts: (text index, start, windows, anchor, all bytes of this run, place there, keys).
+    """Segments of texts: (text index, start, windows, anchor, all bytes of this run, place there).
 
     All but the bytes are arrays.  wanted, if given, takes an array of anchors and says which to keep.
     """
@@ -128,28 +127,7 @@ def segments(texts: list[bytes], length: int, gram: int, wanted=None) -> Iterato
         if wanted is not None:
             keep &= wanted(anchor[at])
         at, n, part = at[keep], n[keep], part[keep]
-        keys = _keys(hashes, place[at], at, at + n + length - 1, length, gram)
-        yield np.array(which)[part], at - first[part] + np.array(offsets)[part], n, anchor[at], joined, at, keys
-
-
-def _keys(hashes: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """A row of hashes for each segment from lo to hi with its gram at a place; 0 for a string that goes beyond it.
-
-    The strings are so long, and begin so many bytes apart, that every window around the gram holds one.
-    """
-    step = -(-(length - gram + 1) // KEYS)
-    size, turn = length - step + 1, _TURN[-1]
-    out = np.zeros((len(place), KEYS), np.uint64)
-    for k in range(KEYS):
-        at = place - k * step
-        inside = (at >= lo) & (at + size <= hi)
-        at = at[inside]
-        key = np.zeros(len(at), np.uint64)
-        for more in (0, (size - gram) // 2, size - gram):  # grams that begin, halve and end the string
-            key = (key ^ hashes[at + more]) * turn
-            key ^= key >> np.uint64(32)
-        out[inside, k] = key | np.uint64(1)
-    return out
+        yield np.array(which)[part], at - first[part] + np.array(offsets)[part], n, anchor[at], joined, at
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -231,7 +209,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text, and its bytes; documents stand in line by the first two."""
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("bytes"))
-    return rows.select("doc_id", F.xxhash64("bytes").alias("h"), "bytes")
+    return rows.select("doc_id", F.hash("bytes").alias("h"), "bytes")
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -322,50 +300,135 @@ def _test(filter_bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (filter_bits[place >> np.uint64(3)] >> (7 - (place & np.uint64(7)).astype(np.uint8))) & 1 == 1
 
 
-SEGMENTS = "anchor long, seg long, doc_id long, h long, start long, windows int, keys array<long>"
+#: A segment, or a range of windows to go if seg is null; its bytes if they are at hand, and in facts its number
+#: among the segments of its anchor.
+SEGMENTS = "anchor long, seg long, doc_id long, h int, start long, windows int, body binary"
+FACTS = SEGMENTS + ", number int"
+RANGES = "doc_id long, h int, lo long, hi long"
 
 
-def _segment_batch(found: tuple, ids: np.ndarray, h: np.ndarray, add: np.ndarray, length: int) -> pa.RecordBatch:
-    from xxhash import xxh3_64_intdigest
+def _batch(anchor, seg, doc, h, start, windows, body=None, number=None) -> pa.RecordBatch:
+    n = len(doc)
+    seg = pa.nulls(n, pa.int64()) if seg is None else pa.array(seg, pa.int64())
+    body = pa.nulls(n, pa.binary()) if body is None else body
+    cols = [pa.array(anchor, pa.int64()), seg, pa.array(doc, pa.int64()), pa.array(h, pa.int32()), pa.array(start, pa.int64())]
+    cols += [pa.array(windows, pa.int32()), body]
+    names = ["anchor", "seg", "doc_id", "h", "start", "windows", "body"]
+    if number is not None:
+        cols, names = [*cols, pa.array(number, pa.int32())], [*names, "number"]
+    return pa.RecordBatch.from_arrays(cols, names)
+
 
-    which, start, n, anchor, joined, at, keys = found
-    ends = at + n + length - 1
-    seg = np.fromiter((xxh3_64_intdigest(joined[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)), np.uint64, len(at))
-    cuts = np.r_[0, np.cumsum((keys != 0).sum(1))].astype(np.int32)
-    keys = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[keys != 0].view(np.int64)))
-    cols = [pa.array(anchor.astype(np.int64)), pa.array(seg.view(np.int64)), pa.array(ids[which]), pa.array(h[which])]
-    cols += [pa.array(start + add[which]), pa.array(n, pa.int32()), keys]
-    return pa.RecordBatch.from_arrays(cols, ["anchor", "seg", "doc_id", "h", "start", "windows", "keys"])
+def _bodies_of(found: tuple, length: int) -> list[bytes]:
+    _, _, n, _, joined, at = found
+    return [joined[a:b] for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]
 
 
 def _kept_segments(docs: DataFrame, length: int, found: DataFrame) -> DataFrame:
-    """The segments of docs whose anchor the filter lets through; seg is the hash of their bytes."""
+    """The segments of docs whose anchor the filter lets through, the first of equal ones in a batch, and ranges for the others."""
+    from xxhash import xxh3_64_intdigest
+
     known = docs.sparkSession.sparkContext.broadcast(anchor_filter(found))
     gram = min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = lambda a: _test(known.value, a)
         for batch in batches:
-            ids, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for part in segments(_texts(batch), length, gram, wanted):
-                yield _segment_batch(part, ids, h, np.zeros(len(ids), np.int64), length)
+            ids, h, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), _texts(batch)
+            line = np.lexsort((h, ids))
+            parts = []
+            for part in segments([texts[i] for i in line.tolist()], length, gram, wanted):
+                body = _bodies_of(part, length)
+                parts.append((*part[:4], np.fromiter(map(xxh3_64_intdigest, body), np.uint64, len(body))))
+            if not parts:
+                continue
+            which, start, n, anchor, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, h = ids[line][which], h[line][which]
+            # rows stand in the order of their places, so the first of equal segments is the first row
+            key = seg * _TURN[0] ^ anchor
+            by = np.argsort(key, kind="stable")
+            head = np.r_[True, key[by][1:] != key[by][:-1]]
+            first = np.empty(len(by), np.int64)
+            first[by] = by[head][np.cumsum(head) - 1]
+            own = np.arange(len(by))
+            yield _batch(*(x[own == first] for x in (anchor.view(np.int64), seg.view(np.int64), doc, h, start, n)))
+            late = np.flatnonzero((doc != doc[first]) | (h != h[first]) | (start != start[first]))
+            if len(late):
+                doc, h, lo, hi = doc[late], h[late], start[late], start[late] + n[late]
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]) | (lo[1:] != hi[:-1])])
+                hi = hi[np.append(new[1:], len(late)) - 1]
+                yield _batch(doc[new] * 31 + h[new], None, doc[new], h[new], lo[new], hi - lo[new])
 
     return docs.mapInArrow(run, SEGMENTS)
 
 
 def _segments_of(bodies: DataFrame, length: int, gram: int) -> DataFrame:
-    """The segments that grams of another size cut segments into."""
+    """The segments that grams of another size cut segments into, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
         for batch in batches:
             ids, h, start = (np.asarray(batch.column(k)) for k in (2, 3, 4))
             for part in segments(batch.column(6).to_pylist(), length, gram):
-                yield _segment_batch(part, ids, h, start, length)
+                which, at, n, anchor, _, _ = part
+                body = _bodies_of(part, length)
+                seg = np.fromiter(map(xxh3_64_intdigest, body), np.uint64, len(body))
+                yield _batch(
+                    anchor.view(np.int64), seg.view(np.int64), ids[which], h[which], start[which] + at, n, pa.array(body, pa.binary())
+                )
 
     return bodies.mapInArrow(run, SEGMENTS)
 
 
-BODIES = "anchor long, seg long, doc_id long, h long, start long, windows int, body binary"
+def _first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of SEGMENTS sorted by anchor, segment and place: the first places of segments whose anchor has others, and ranges.
+
+    Rows are looked at once, and nothing is held but the last of them.
+    """
+    last = None  # anchor, segment, its first place, number
+    pending: pa.RecordBatch | None = None  # the first segment of an anchor, until another one comes
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        is_range = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        if is_range.any():
+            part = batch.filter(pa.array(is_range))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.int32())], [*part.schema.names, "number"])
+            batch = batch.filter(pa.array(~is_range))
+            if not batch.num_rows:
+                continue
+        anchor, seg, doc, h, start, windows = (batch.column(k).to_numpy() for k in range(6))
+        n = len(anchor)
+        old = last or (None, None, None, None, None, -1)
+        new_anchor = np.r_[last is None or anchor[0] != old[0], anchor[1:] != anchor[:-1]]
+        new = new_anchor | np.r_[last is None or seg[0] != old[1], seg[1:] != seg[:-1]]
+        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        place = [np.where(at >= 0, x[at], -1 if o is None else o) for x, o in ((doc, old[2]), (h, old[3]), (start, old[4]))]
+        late = np.flatnonzero(~new & ((doc != place[0]) | (h != place[1]) | (start != place[2])))
+        if len(late):
+            yield _batch(anchor[late], None, doc[late], h[late], start[late], windows[late], None, np.zeros(len(late), np.int32))
+        number = np.cumsum(new) - 1
+        base = np.maximum.accumulate(np.where(new_anchor, number, -1))
+        number = np.where(base >= 0, number - base, number + old[5] + 1)
+        last = (anchor[-1], seg[-1], place[0][-1], place[1][-1], place[2][-1], int(number[-1]))
+        facts = np.flatnonzero(new)
+        if not len(facts):
+            continue
+        num = number[facts]
+        rows = batch.take(pa.array(facts))
+        rows = pa.RecordBatch.from_arrays([*rows.columns, pa.array(num, pa.int32())], [*rows.schema.names, "number"])
+        if pending is not None:
+            if num[0]:
+                yield pending
+            pending = None
+        if num[-1] == 0:
+            pending = rows.slice(len(facts) - 1)
+            rows, num = rows.slice(0, len(facts) - 1), num[:-1]
+            alone = (num == 0) & (np.r_[num[1:], 0] == 0)
+        else:
+            alone = (num == 0) & (np.r_[num[1:], 1] == 0)
+        yield rows.filter(pa.array(~alone))
 
 
 def _bodies(docs: DataFrame, facts: DataFrame, length: int) -> DataFrame:
@@ -373,27 +436,24 @@ def _bodies(docs: DataFrame, facts: DataFrame, length: int) -> DataFrame:
 
     A document that docs repeats gives its segments as often.
     """
-    by_doc = facts.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(
-        F.collect_list("anchor").alias("anchor"), F.collect_list("seg").alias("seg"), F.collect_list("start").alias("start"), F.collect_list("windows").alias("windows")
-    )
+    lists = [F.collect_list(c).alias(c) for c in ("anchor", "seg", "start", "windows", "number")]
+    by_doc = facts.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(*lists)
     rows = docs.join(by_doc, (F.col("doc_id") == F.col("_id")) & (F.col("h") == F.col("_h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                lists = [batch.column(k) for k in (3, 4, 5, 6)]
-                n = np.diff(np.asarray(lists[0].offsets))
-                anchor, seg, start, windows = (x.flatten() for x in lists)
+                lists = [batch.column(k) for k in range(3, 8)]
+                own = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists[0].offsets)))
+                anchor, seg, start, windows, number = (x.flatten() for x in lists)
                 texts = _texts(batch)
-                own = np.repeat(np.arange(len(texts)), n)
                 lo, ends = np.asarray(start), np.asarray(start) + np.asarray(windows) + length - 1
                 body = [texts[i][a:b] for i, a, b in zip(own.tolist(), lo.tolist(), ends.tolist(), strict=True)]
                 ids, h = (np.asarray(batch.column(k))[own] for k in (0, 1))
-                cols = [anchor, seg, pa.array(ids), pa.array(h), start, windows, pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "seg", "doc_id", "h", "start", "windows", "body"])
+                yield _batch(anchor, np.asarray(seg), ids, h, start, windows, pa.array(body, pa.binary()), number)
 
-    return rows.select("doc_id", "h", "bytes", "anchor", "seg", "start", "windows").mapInArrow(run, BODIES)
+    return rows.select("doc_id", "h", "bytes", "anchor", "seg", "start", "windows", "number").mapInArrow(run, FACTS)
 
 
 def later_windows(data: np.ndarray, sizes: np.ndarray, windows: np.ndarray, age: np.ndarray, start: np.ndarray, length: int):
@@ -448,7 +508,7 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[p
 
 
 def _transform_tasks(length: int, transform: int):
-    """Ranges of windows that begin earlier, from rows of BODIES sorted by anchor and segment."""
+    """Ranges of windows that begin earlier, from rows of FACTS sorted by anchor and segment."""
 
     def found(table: pa.Table) -> pa.RecordBatch:
         anchor, seg, doc, h, start, windows = (table.column(k).to_numpy() for k in range(6))
@@ -465,8 +525,8 @@ def _transform_tasks(length: int, transform: int):
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(np.r_[0, (doc[by][1:] != doc[by][:-1]) | (h[by][1:] != h[by][:-1])])
         own, lo, hi = later_windows(data, sizes, windows, rank, start, length)
-        cols = [doc[own], h[own], start[own] + lo, start[own] + hi]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "h", "lo", "hi"])
+        cols = [pa.array(doc[own]), pa.array(h[own]), pa.array(start[own] + lo), pa.array(start[own] + hi)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_anchors(batches, transform):
@@ -481,42 +541,37 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, full: int = FULL) ->
     Earlier is in a document that stands before by doc_id and h, or before in the same one.  docs has
     doc_id, h and bytes.  Ranges may touch and overlap.
     """
-    n = n_partitions(docs.sparkSession)
     found = materialize(repeated_anchors(docs, length), "anchors")
-    every = materialize(_kept_segments(docs, length, found), "segments")
-    place = F.struct("doc_id", "h", "start")
-    out = None
-    for gram in gram_sizes(length):
-        one = every.groupBy("anchor", "seg").agg(
-            F.min(place).alias("first"), F.count("*").alias("copies"), F.max("windows").alias("windows"), F.any_value("keys").alias("keys")
-        )
-        one = materialize(one, "distinct")
-        # the copies of a segment go as a whole
-        copied = one.where("copies > 1").select("anchor", "seg", "first")
-        whole = every.join(copied, ["anchor", "seg"]).where(place != F.col("first"))
-        whole = whole.select("doc_id", "h", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
-        out = whole if out is None else out.unionAll(whole)
-        # the rest meets by anchor; one segment alone has nothing to meet
-        keys = one.select("anchor", "seg", F.explode("keys").alias("key"))
-        shared = keys.groupBy("key").count().where("count > 1").select("key")
-        shared = keys.join(shared, "key").select("anchor", "seg").distinct()
-        facts = one.select("anchor", "seg", "first.*", "windows").join(shared, ["anchor", "seg"], "left_semi")
-        facts = materialize(facts, "facts")
-        met = facts.groupBy("anchor").agg(F.count("*").alias("segs")).where("segs > 1")
-        facts = materialize(facts.join(met, "anchor"), "met")
-        last = gram == length
-        bodies = _bodies(docs, facts if last else facts.where(F.col("segs") <= full), length)
-        # dealt by a hash of the anchor, so that this exchange is never taken for one that is there already
-        together = bodies.repartition(n, F.xxhash64("anchor")).sortWithinPartitions("anchor", "seg")
-        out = out.unionAll(together.mapInArrow(_transform_tasks(length, TRANSFORM), "doc_id long, h long, lo long, hi long"))
-        crowded = facts.where(F.col("segs") > full)
-        if last or not crowded.limit(1).count():
+    every, out = _kept_segments(docs, length, found), None
+    sizes = gram_sizes(length)
+    for gram, longer in zip(sizes, [*sizes[1:], None], strict=True):
+        met = _together(every, "anchor", "seg", "doc_id", "h", "start").mapInArrow(_first_places, FACTS)
+        met = materialize(met, "places")
+        ranges = met.where("seg is null").select("doc_id", "h", F.col("start").alias("lo"), (F.col("start") + F.col("windows") - 1).alias("hi"))
+        facts = met.where("seg is not null")
+        bodies = _bodies(docs, facts, length) if out is None else facts
+        crowded = facts.where(F.col("number") == full).select("anchor") if longer else None  # an anchor is here once
+        split = crowded is not None and crowded.limit(1).count() > 0
+        if split:
+            bodies = materialize(bodies, "bodies")
+            every = _segments_of(bodies.join(crowded, "anchor", "left_semi").select(facts.columns[:7]), length, longer)
+            bodies = bodies.join(crowded, "anchor", "left_anti")
+        found = _together(bodies, "anchor", "seg").mapInArrow(_transform_tasks(length, TRANSFORM), RANGES)
+        out = ranges.unionAll(found) if out is None else out.unionAll(ranges).unionAll(found)
+        if not split:
             break
-        longer = gram_sizes(length)[gram_sizes(length).index(gram) + 1]
-        every = materialize(_segments_of(_bodies(docs, crowded, length), length, longer).dropDuplicates(["anchor", "seg", "doc_id", "h", "start"]), "segments")
     return out
 
 
+def _together(rows: DataFrame, *order: str) -> DataFrame:
+    """rows dealt by the first column and sorted in each task.
+
+    Dealt by a hash of it, so that this exchange is never taken for one that is there already.
+    """
+    n = n_partitions(rows.sparkSession)
+    return rows.repartition(n, F.xxhash64(order[0])).sortWithinPartitions(*order)
+
+
 def _cut(data: pd.Series, ranges: pd.Series, length: pd.Series) -> pd.DataFrame:
     kept, spans = [], []
     for raw, pairs, size in zip(data, ranges, length, strict=True):
@@ -553,7 +608,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, full: int = FULL) -> D
     by_doc = ranges.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("ranges"))
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(carried(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), text.alias("bytes"))
-    rows = rows.join(by_doc, (F.col("id") == F.col("doc_id")) & (F.xxhash64("bytes") == F.col("h")), "left")
+    rows = rows.join(by_doc, (F.col("id") == F.col("doc_id")) & (F.hash("bytes") == F.col("h")), "left")
     cut = F.pandas_udf(_cut, "kept binary, spans array<struct<start: long, end: long>>")
     some = F.col("ranges").isNotNull()  # only texts that lose bytes go through Python
     done = rows.withColumn("cut", cut(F.when(some, F.col("bytes")), "ranges", F.lit(length)))
