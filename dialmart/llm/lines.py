@@ -3,9 +3,11 @@
 Every line that is not blank is a position.  A position's rank says where the run of lines that
 begins there sorts among all runs of that many lines; ranks of single lines come first, and each
 round doubles the run: a pair (rank here, rank as many lines on) is the sort key of a run twice as
-long.  Positions of equal rank are one longest-common-prefix interval: their runs are equal for
-that many lines at least.  Doubling ends at the shortest run that counts, as the intervals at that
-length already hold every longer repeat, and neighbouring starts join to maximal runs.
+long.  Positions of equal rank are one longest-common-prefix interval of that level: their runs are
+equal for that many lines at least.  Positions whose rank is their own are settled and leave; doubling
+ends when none is left.  The intervals of all levels together give the maximal repeated runs:
+each position but the first of its interval starts a copy of so many lines, and copies that touch
+or overlap are one run.
 """
 
 from __future__ import annotations
@@ -15,86 +17,98 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_partitions
+from .common import carried, materialize, n_partitions, returned
 
 #: Lines of the shortest run that is deleted.
 MIN_LINES = 2
 KEY = ["doc_id", "_text_hash"]
 
 
-def _positions(docs: DataFrame, min_words: int | None = None) -> DataFrame:
-    """A row for each line that is not blank: document, place among all, hash, and whether it has min_words words."""
-    split = docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), F.split("text", "\n").alias("lines")
+def line_table(docs: DataFrame, min_words: int | None = None) -> DataFrame:
+    """A row for each line that is not blank: document, place among all of these, number, hash, and whether it has min_words words.
+
+    A repeated row gives its lines again.
+    """
+    parts = F.transform(F.split("text", "\n"), lambda body, line: F.struct(line.alias("line"), body.alias("body")))
+    full = F.filter(parts, lambda part: F.length(F.trim(_clean(part["body"]))) > 0)
+    lines = docs.where("doc_id is not null and text is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text_hash"), F.posexplode(full).alias("place", "part")
     )
-    lines = split.select(*KEY, F.posexplode("lines").alias("line", "body")).where(F.length(F.trim(_clean("body"))) > 0)
-    hashed = [*KEY, "line", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(7)).alias("h2")]
-    if min_words is None:
-        return lines.select(*hashed)
-    # so many words have so many characters and spaces between them; only then are they counted
-    enough = F.size(F.split(F.trim(_clean("body")), " +")) >= min_words
-    return lines.select(*hashed, ((F.length("body") >= 2 * min_words - 1) & enough).alias("long"))
+    lines = lines.select(*KEY, (F.col("place") + 1).alias("place"), "part.*")
+    hashed = [*KEY, "place", "line", F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit(7)).alias("h2")]
+    if min_words is not None:
+        # so many words have so many characters and spaces between them; only then are they counted
+        enough = F.size(F.split(F.trim(_clean(F.col("body"))), " +")) >= min_words
+        hashed.append(((F.length("body") >= 2 * min_words - 1) & enough).alias("long"))
+    return materialize(lines.select(*hashed), "lines")
 
 
-def _clean(column: str) -> F.Column:
-    return F.translate(F.col(column), "\t\r\x0b\x0c", "    ")
+def _clean(text: F.Column) -> F.Column:
+    return F.translate(text, "\t\r\x0b\x0c", "    ")
 
 
-def _rank(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
-    """rows without a and b but with rank: one more than the positions whose pair (a, b) is smaller.
+PLACE = ["doc_id", "place", "_text_hash"]
 
-    Equal pairs are counted before they are shuffled, sorted once by range over all tasks, and
-    numbered by the counts before them: first within a range, then over the ranges.
-    """
-    spark = rows.sparkSession
-    pairs = rows.groupBy(a, b).agg(F.count("*").alias("n"))
-    dealt = pairs.repartitionByRange(n_partitions(spark), a, b).withColumn("_range", F.spark_partition_id())
-    dealt = materialize(dealt, label)
-    totals = dealt.groupBy("_range").agg(F.sum("n").alias("_all"))
-    before = totals.select(
-        F.col("_range"), (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_before")
-    )  # as many rows as ranges
-    within = Window.partitionBy("_range").orderBy(F.col(a).asc_nulls_first(), F.col(b).asc_nulls_first())
-    inside = F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    ranked = dealt.withColumn("_inside", inside).join(before, "_range")
-    ranked = ranked.select(
-        F.col(a).alias("_a"), F.col(b).alias("_b"), (F.col("_before") + F.col("_inside") + 1).alias("rank"), F.col("n").alias("same")
-    )
-    joined = rows.join(ranked, F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")))
-    return joined.drop(a, b, "_a", "_b")
 
+def _rank(rows: DataFrame, a: str, b: str, label: str) -> DataFrame:
+    """rows without a and b but with rank, in the order of the pairs (a, b), and for each pair its rows (same) and first place.
 
-def line_table(docs: DataFrame, min_words: int | None = None) -> DataFrame:
-    """The positions of docs, once each, with place: their number among the document's lines that are not blank."""
-    by_doc = Window.partitionBy(*KEY).orderBy("line")
-    found = _positions(docs, min_words).dropDuplicates([*KEY, "line"])
-    return materialize(found.withColumn("place", F.row_number().over(by_doc)), "lines")
+    Equal pairs are one row before they are shuffled and sorted by range over all tasks; a pair's
+    rank is its range and its number there.
+    """
+    pairs = rows.groupBy(a, b).agg(F.count("*").alias("same"), F.min(F.struct(*PLACE)).alias("first"))
+    ranked = pairs.repartitionByRange(n_partitions(rows.sparkSession), a, b).sortWithinPartitions(a, b)
+    ranked = materialize(ranked.withColumn("rank", F.monotonically_increasing_id()), label)
+    # a pair that has one row has no part in what follows
+    return materialize(rows.join(ranked.where("same > 1"), [a, b]).drop(a, b), label)
 
 
-def run_ranks(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Rows of line_table with the rank of the run of min_lines lines from there and how many runs equal it.
+def run_levels(lines: DataFrame, min_lines: int = MIN_LINES) -> list[tuple[int, DataFrame]]:
+    """(length, rows) for lengths of min_lines, twice that and so on, while some run of that length stands twice.
 
-    Runs that a document's end cuts short are left out.
+    rows are the positions of line_table whose run of that many lines has others like it, with rank,
+    same (how many there are) and first (the place of the first).  Runs that a document's end cuts
+    short are left out.
     """
     by_doc = Window.partitionBy(*KEY).orderBy("place")
-    ranked = materialize(_rank(lines.select(*KEY, "line", "h1", "h2", "place"), "h1", "h2", "line-ids"), "line-ids")
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)  # the last round may overlap
-        onward = ranked.withColumn("next", F.lead("rank", step).over(by_doc)).drop("same")
-        paired = onward.where("next is not null").withColumnRenamed("rank", "here")
-        ranked = materialize(_rank(paired, "here", "next", "runs"), "runs")
+    ranked = _rank(lines.select(*PLACE, "h1", "h2"), "h1", "h2", "line-ids")
+    length, levels = 1, []
+    while ranked.limit(1).count():
+        if length >= min_lines:
+            levels.append((length, ranked))
+        step = length if length >= min_lines else min(length, min_lines - length)  # the last step up to min_lines may overlap
+        onward = F.max("rank").over(by_doc.rangeBetween(step, step))  # null if the run there is settled or cut short
+        paired = ranked.select(*PLACE, F.col("rank").alias("here"), onward.alias("next")).where("next is not null")
+        ranked = _rank(paired, "here", "next", f"runs-{length + step}")
         length += step
-    return ranked
+    return levels
 
 
-def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that are not the first place of their keys."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "place", "_text_hash")).alias("first"), F.count("*").alias("_n"))
-    return (
-        rows.join(first.where("_n > 1"), keys)
-        .where((F.col("first.doc_id") < F.col("doc_id")) | (F.col("first.place") < F.col("place")))
-    )
+def _later(rows: DataFrame) -> DataFrame:
+    """The rows that are not the first place of their rank."""
+    return rows.where((F.col("first.doc_id") < F.col("doc_id")) | (F.col("first.place") < F.col("place")))
+
+
+def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, levels: list[tuple[int, DataFrame]] | None = None) -> DataFrame:
+    """doc_id, _text_hash, lo, hi: the maximal runs of places that later copies of min_lines lines or more cover.
+
+    Of a line_table that marks lines as long, those are copies by themselves.
+    """
+    spans = [
+        _later(rows).select(*KEY, F.col("place").alias("lo"), (F.col("place") + length - 1).alias("hi"))
+        for length, rows in (run_levels(lines, min_lines) if levels is None else levels)
+    ]
+    if "long" in lines.columns:
+        single = _rank(lines.where("long").select(*PLACE, "h1", "h2"), "h1", "h2", "long-lines")
+        spans.append(_later(single).select(*KEY, F.col("place").alias("lo"), F.col("place").alias("hi")))
+    every = lines.limit(0).select(*KEY, F.col("place").alias("lo"), F.col("place").alias("hi"))
+    for s in spans:
+        every = every.unionAll(s)
+    before = Window.partitionBy(*KEY).orderBy("lo", "hi")
+    reach = F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    begins = every.withColumn("begins", F.coalesce(F.col("lo") > reach + 1, F.lit(True)).cast("int"))
+    numbered = begins.withColumn("run", F.sum("begins").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*KEY, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
@@ -105,15 +119,11 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int |
     itself if it also stands earlier.  Only documents that lose lines have a row.
     """
     lines = line_table(docs, min_words)
-    ranked = run_ranks(lines, min_lines)
-    later = _later(ranked.where("same > 1"), ["rank"])
-    covered = later.select(*KEY, F.explode(F.sequence(F.col("place"), F.col("place") + min_lines - 1)).alias("place"))
-    if min_words is not None:
-        covered = covered.unionAll(_later(lines.where("long"), ["h1", "h2"]).select(*KEY, "place"))
-    covered = covered.distinct()
+    runs = repeated_runs(lines, min_lines)
+    covered = runs.select(*KEY, F.explode(F.sequence("lo", "hi")).alias("place"))
     # from places among the lines that are not blank to line numbers
-    hit = lines.join(covered, [*KEY, "place"], "left_semi")
-    return hit.groupBy(*KEY).agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    hit = lines.select(*KEY, "place", "line").join(covered, [*KEY, "place"], "left_semi")
+    return hit.groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
 def _without(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
@@ -131,39 +141,48 @@ def _without(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"kept": kept, "n_spans": spans})
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
-    """docs with kept (the text without later copies of line runs), n_lines, n_removed and n_spans.
-
-    Lines are what stands between line feeds.  Blank ones are neither matched nor deleted, and runs
-    go over them.  With min_words, a line of so many words is a run by itself.  A null text has no lines and stays null; rows without a doc_id are not compared
-    and keep their text.  Rows that repeat a doc_id with the same text are one document and get the
-    same result; with another text, the smaller place comes first.  Extra columns are carried along.
-    No rows give no rows.
-    """
-    gone = repeated_lines(docs, min_lines, min_words).select(
-        F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), F.col("removed").alias("_removed")
-    )
-    joined = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+def _deduped(docs: DataFrame, min_lines: int, min_words: int | None) -> DataFrame:
+    """row (the columns of docs), text, kept, n_lines, n_removed and n_spans."""
+    gone = repeated_lines(docs, min_lines, min_words)
+    rows = docs.select(carried(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    rows = rows.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("_text_hash")), "left")
     # only texts that lose lines go through Python
     without = F.pandas_udf(_without, "kept string, n_spans long")
-    cut = joined.withColumn("_cut", without(F.when(F.col("_removed").isNotNull(), F.col("text")), F.col("_removed")))
+    cut = rows.withColumn("cut", without(F.when(F.col("removed").isNotNull(), F.col("text")), F.col("removed")))
     n_lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0))
-    names = [F.col(c) for c in docs.columns]
     return cut.select(
-        *names,
-        F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.col("_cut.kept")).alias("kept"),
+        "row",
+        "text",
+        F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.col("cut.kept")).alias("kept"),
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.col("_cut.n_spans").alias("n_spans"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.col("cut.n_spans").alias("n_spans"),
     )
 
 
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
+    """docs with kept (the text without later copies of line runs), n_lines, n_removed and n_spans.
+
+    Lines are what stands between line feeds.  Blank ones are neither matched nor deleted, and runs
+    go over them.  With min_words, a line of so many words is a run by itself.  A null text has no
+    lines and stays null; rows without a doc_id are not compared and keep their text.  Rows that
+    repeat a doc_id with the same text are one document and get the same result; with another text,
+    the smaller place comes first.  Columns of docs go through, but for those four names, which are
+    replaced.  No rows give no rows.
+    """
+    found = _deduped(docs, min_lines, min_words)
+    return returned(found, docs.columns, {c: F.col(c) for c in ("kept", "n_lines", "n_removed", "n_spans")})
+
+
 def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """docs with the kept text as text and its length as n_chars if there is such a column.
 
-    Documents that lose every line that is not blank go; those that were blank before stay.
+    Documents that lose every line that is not blank go; those that were blank before stay.  All
+    other columns go through, whatever they are called.
     """
-    found = dedup_lines(docs, min_lines, min_words)
-    stays = (F.col("n_removed") == 0) | (F.length(F.trim(_clean("kept"))) > 0)
-    new = {"text": F.col("kept")} | ({"n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.where(stays).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found = _deduped(docs, min_lines, min_words)
+    found = found.where((F.col("n_removed") == 0) | (F.length(F.trim(_clean(F.col("kept")))) > 0))
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return returned(found, docs.columns, new)

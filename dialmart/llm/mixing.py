@@ -1,9 +1,9 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
-Documents of a source stand in line in groups, by size within a group; every document moves the
-line on by the copies it is expected to give, and each whole number that is passed, from one
-random start, emits a copy.  A source's groups grow in number with the source, so its line is
-summed in two levels and no task holds a whole source.
+The documents of a source stand in line by size; every document moves the line on by the copies it
+is expected to give, which is the same for all of a source, and each whole number that is passed,
+from one random start, emits a copy.  The line is dealt over tasks by ranges of source, size and
+the documents' own numbers, so that no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -11,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, line_up, materialize, returned
 
-#: Documents of one source in one group of its line.
-LINE_GROUP = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,58 +57,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return found.select("source", "n", "source_size", target.alias("target"))
 
 
+def _numbered(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """A row for each row of docs with a number of its own, and what its place in line depends on."""
+    source = F.col("source").cast("string")
+    return docs.select(
+        *more,
+        F.monotonically_increasing_id().alias("number"),
+        F.col("doc_id").alias("doc_id"),
+        source.alias("source"),
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("line"),  # of the source, never null
+        word_count().alias("size"),
+        F.xxhash64("text").alias("h"),
+    )
+
+
 def mix_copies(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (an int from 0) of each document.
 
-    A null text has size 0, a null source is a source of its own.  Repeated rows are documents of
-    their own.  Equal input gives equal output.  Ties of size go by doc_id, then by any order.
-    No rows give no rows.
+    A null or empty text has size 0, a null source is a source of its own.  Repeated rows, of one
+    doc_id or none, are documents of their own.  Equal input gives equal output.  Ties of size go by
+    doc_id, then by text.  Further columns of docs are left out.  No rows give no rows.
     """
-    sized = materialize(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size")), "sizes"
-    )
-    return _copies(sized, weights, most, seed)
+    return _copies(materialize(_numbered(docs), "sizes"), weights, most, seed).drop("number")
 
 
 def _copies(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
-    targets = source_targets(sized, weights, most)
-    groups = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(LINE_GROUP))).cast("long")
-    joined = sized.join(
-        targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))
-    ).withColumn("_group", F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups))
-    line = Window.partitionBy("source", "_group").orderBy("size", "doc_id")
-    ranked = joined.withColumn("_rank", F.row_number().over(line))
-    before = (
-        joined.groupBy(F.col("source").alias("_s"), F.col("_group").alias("_g"))
-        .count()
-        .select(
-            "_s",
-            "_g",
-            (F.sum("count").over(Window.partitionBy("_s").orderBy("_g")) - F.col("count")).alias("_before"),
-        )
-    )
-    placed = ranked.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g")))
+    """The number, figures and copies of the rows of _numbered."""
+    sized = sized.select("number", "doc_id", "source", "line", "size", "h")
+    targets = source_targets(sized, weights, most).withColumn("line", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    placed = line_up(sized, "line", ["size", "doc_id", "h", "number"], "line").join(targets.drop("source", "n"), "line")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rank = F.col("_before") + F.col("_rank")
-    copies = F.floor(rank * each + start) - F.floor((rank - 1) * each + start)
+    copies = F.floor((F.col("rank") + 1) * each + start) - F.floor(F.col("rank") * each + start)
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("int").alias("copies")
+        "number", "doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("int").alias("copies")
     )
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
     """The mix itself: the rows of docs, each as often as its source's target asks.
 
-    Same rules as mix_copies.  Rows whose doc_id repeats, or is null, share the largest number of
-    copies that one of them got.
+    Same rules as mix_copies: rows whose doc_id repeats, or is null, are sampled one by one.  All
+    columns of docs go through, whatever they are called.
     """
-    copies = mix_copies(docs, weights, most, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    names = [F.col(c) for c in docs.columns]
-    return (
-        docs.join(copies.where("_copies > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*names)
-    )
+    rows = materialize(_numbered(docs, carried(docs).alias("row")), "documents")
+    copies = _copies(rows, weights, most, seed).where("copies > 0").select("number", "copies")
+    mixed = rows.select("row", "number").join(copies, "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return returned(mixed, docs.columns)

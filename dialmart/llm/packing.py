@@ -13,15 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, line_up, materialize, returned
 from .tokens import token_pieces
 
-#: Pieces of one length that one task ranks.
-RANK_GROUP = 2_000
-
 
 def _fullest_pair(present: np.ndarray, counts: np.ndarray, room: int) -> tuple[int, int] | None:
     """Two unpacked lengths with the largest sum that room holds."""
@@ -99,57 +96,37 @@ def _runs(kinds: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, tie: str = "doc_id") -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """pieces with sequence_id and offset, one output row for each input row.
 
     pieces has an integer column length from 1 to capacity; rows with another length or a null
-    one get null places.  Other columns are carried along whatever they hold.  `tie` names the
-    column that spreads equal lengths over tasks; its nulls and repeats are allowed.  Within a
+    one get null places.  Repeated rows are pieces of their own.  Other columns are carried along
+    whatever they hold and are called, but for sequence_id and offset, which are replaced.  Within a
     sequence the offsets have no gaps and start at 0.  No rows give no rows.
     """
-    spark = pieces.sparkSession
-    salted = materialize(pieces, "pieces")
-    hist = salted.where(F.col("length").between(1, capacity)).groupBy("length").count()
+    length = F.col("length").cast("long")
+    size = F.when(length.between(1, capacity), length).otherwise(F.lit(0)).cast("int")
+    numbered = materialize(
+        pieces.select(carried(pieces).alias("row"), size.alias("size"), F.monotonically_increasing_id().alias("number")), "pieces"
+    )
     counts = np.zeros(capacity + 1, np.int64)
-    for n, k in hist.collect():  # at most `capacity` rows
+    for n, k in numbered.groupBy("size").count().collect():  # a row for each length
         counts[n] = k
-    runs = _runs(plan_sequences(counts))
-    # groups of at most about RANK_GROUP pieces; the list has a number for each length
-    groups = np.maximum(1, -(-counts // RANK_GROUP))
-    split = F.lit(groups.tolist())[F.coalesce(F.least(F.col("length"), F.lit(capacity)), F.lit(0)).cast("int")]
-    if groups.max() == 1:
-        split = F.lit(1)
-    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(F.col(tie)), split.cast("long")))
-    by = Window.partitionBy("length", "_salt")
-    ranked = salted.withColumn("_rank", F.row_number().over(by.orderBy(F.col(tie))) - 1)
-    if groups.max() > 1:
-        before = (
-            salted.groupBy("length", "_salt")
-            .count()
-            .select(
-                "length",
-                "_salt",
-                (F.sum("count").over(Window.partitionBy("length").orderBy("_salt")) - F.col("count")).alias("_base"),
-            )
-        )
-        ranked = ranked.join(before, ["length", "_salt"], "left").withColumn(
-            "_rank", F.col("_rank") + F.coalesce("_base", F.lit(0))
-        ).drop("_base")
-    ranked = ranked.withColumn("_rank", F.col("_rank").cast("long")).drop("_salt")
-    return _place(spark, ranked, runs, pieces.columns, capacity)
+    ranked = line_up(numbered, "size", ["number"], "ranked")
+    return _place(ranked, _runs(plan_sequences(counts)), pieces.columns, capacity)
 
 
-def _place(spark: SparkSession, ranked: DataFrame, runs: np.ndarray, columns: list[str], capacity: int) -> DataFrame:
+def _place(ranked: DataFrame, runs: np.ndarray, columns: list[str], capacity: int) -> DataFrame:
     shift = 1 << 40
     # the table of runs is bounded by the capacity alone, as is the histogram
-    known = spark.sparkContext.broadcast((runs[:, 0] * shift + runs[:, 1], runs))
+    known = ranked.sparkSession.sparkContext.broadcast((runs[:, 0] * shift + runs[:, 1], runs))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
         import pandas as pd
 
         keys, table = known.value
-        n = length.fillna(0).to_numpy(np.int64)
+        n = length.to_numpy(np.int64)
         r = rank.to_numpy(np.int64)
         good = (n >= 1) & (n <= capacity)
         seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
@@ -162,14 +139,18 @@ def _place(spark: SparkSession, ranked: DataFrame, runs: np.ndarray, columns: li
             {"sequence_id": pd.Series(seq).where(good).astype("Int64"), "offset": pd.Series(off).where(good).astype("Int64")}
         )
 
-    placed = ranked.withColumn("_place", place(F.col("length").cast("long"), "_rank"))
-    return placed.select(*[F.col(c) for c in columns], "_place.sequence_id", "_place.offset")
+    placed = ranked.withColumn("place", place(F.col("size").cast("long"), "rank"))
+    return returned(placed, columns, {"sequence_id": F.col("place.sequence_id"), "offset": F.col("place.offset")})
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = True
 ) -> DataFrame:
-    """Token pieces of whole documents with their places, and with their ids unless told otherwise."""
+    """Token pieces of whole documents with their places, and with their ids unless told otherwise.
+
+    Null, empty and repeated texts and null doc_ids are as token_pieces says; of docs only doc_id and
+    text are used.
+    """
     return pack(token_pieces(docs, tokenizer_path, end_id, capacity, with_ids), capacity)
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, n_partitions
+from .common import carried, materialize, n_partitions, returned
 from .components import connected_components
 
 BITS = 64
@@ -95,7 +95,11 @@ def _masks(blocks: int, radius: int) -> list[int]:
 
 
 def blocks_for(n: int, radius: int = 3) -> int:
-    """So many blocks that fingerprints meet few others by chance; any number finds all pairs."""
+    """So many blocks that fingerprints meet few others by chance.
+
+    Any number of blocks above the radius finds all pairs, so this only weighs the rows that each
+    fingerprint sends against those that it meets in vain.
+    """
     blocks = radius + 1
     while blocks < 8 and n / 2 ** (BITS * (blocks - radius) / blocks) > 0.25:
         blocks += 1
@@ -209,19 +213,23 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: i
     return prints.join(roots, prints["fingerprint"] == roots["_f"]).drop("_f")
 
 
+def one_of_each(docs: DataFrame, kept: DataFrame, how: str) -> DataFrame:
+    """Rows of docs without a doc_id, and one row of each doc_id that a join with kept (node) leaves.
+
+    Of rows that share a doc_id the smallest text stays.
+    """
+    rows = docs.select(carried(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = rows.where("id is not null").join(kept, F.col("id") == F.col("node"), how)
+    one = named.groupBy("id").agg(F.min_by("row", "text").alias("row")).select("row")
+    return returned(one.unionAll(rows.where("id is null").select("row")), docs.columns)
+
+
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """docs without near-duplicates: of each component only the document with its smallest doc_id.
 
-    Rows that repeat that doc_id are copies too, and one of them stays (the smallest text).  Rows
-    without a doc_id can't be told apart and stay as they are.
+    Null and empty texts have fingerprint 0 and are alike.  Rows that repeat that doc_id are copies
+    too, and one of them stays (the smallest text).  Rows without a doc_id can't be told apart and
+    stay as they are.  All columns go through, whatever they are called.  No rows give no rows.
     """
-    kept = (
-        simhash_components(docs, words, radius, seed)
-        .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("_id"))
-        .distinct()
-    )
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
-    others = [F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("_row")]
-    one = named.groupBy("doc_id").agg(*others).select("_row.*")
-    return one.unionByName(docs.where("doc_id is null"))
+    found = simhash_components(docs, words, radius, seed).where("doc_id = component_id")
+    return one_of_each(docs, found.select(F.col("doc_id").alias("node")).distinct(), "left_semi")

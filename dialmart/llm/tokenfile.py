@@ -75,9 +75,15 @@ def decode_file(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if m else d for m, d in zip(missing, ids, strict=True)], lengths, ranks
 
 
+def _is_narrow(tokenizer_path: str, end_id: int) -> bool:
+    """Whether two bytes hold every id."""
+    return max(tokenizer_for(tokenizer_path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16
+
+
 def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, file_tokens: int) -> DataFrame:
     """Runs of consecutive documents with their ids, in ascending doc_id order by shard and block."""
     schema = "shard int, block int, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary"
+    narrow = _is_narrow(tokenizer_path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, end = tokenizer_for(tokenizer_path), int(end_id).to_bytes(4, "little")
@@ -100,14 +106,21 @@ def _blocks(docs: DataFrame, tokenizer_path: str, end_id: int, file_tokens: int)
                     names, sizes, parts, held = [], [], [], 0
                 names.append(doc)
                 sizes.append(n)
-                parts.append(np.frombuffer(data, "<u4").astype("<u2").tobytes() if tok.narrow else data)
+                parts.append(np.frombuffer(data, "<u4").astype("<u2").tobytes() if narrow else data)
                 held += n
         if names:
             yield whole()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(n_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, schema)
+    ordered = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("number"),
+    )
+    # a doc_id, or none, that very many rows share is split by how its texts begin, which goes with
+    # their order, and equal texts by their numbers, which makes no difference to the files
+    head = F.substring("text", 1, 32)
+    ordered = ordered.repartitionByRange(n_partitions(docs.sparkSession), "doc_id", head, "number")
+    return ordered.sortWithinPartitions("doc_id", "text").select("doc_id", "text").mapInArrow(run, schema)
 
 
 def write_token_files(
@@ -118,12 +131,13 @@ def write_token_files(
     manifest has a row for each file: file, shard, block, n_tokens and first, the ids of all files
     before it.  ranks has id, n and rank for each id that occurs; ties go by id.  Every document is
     its ids and then end_id, so a null or empty text is end_id alone.  A null doc_id sorts first;
-    documents that share a doc_id stand by text.  No rows give no files.
+    documents that share a doc_id stand by text, and repeated rows are documents of their own.  Further
+    columns of docs are left out.  No rows give no files.
     """
     spark = docs.sparkSession
     folder = new_dir(spark, "tokens")
     tok = tokenizer_for(tokenizer_path)
-    size, narrow = max(tok.tokenizer.get_vocab_size(), end_id + 1), tok.narrow
+    size, narrow = max(tok.tokenizer.get_vocab_size(), end_id + 1), _is_narrow(tokenizer_path, end_id)
     blocks = materialize(_blocks(docs, tokenizer_path, end_id, file_tokens), "tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +174,12 @@ def write_token_files(
             )
 
     written = materialize(blocks.mapInArrow(write, "file string, shard int, block int, n_tokens long"), "files")
-    # one small row for each file
-    before = F.sum("n_tokens").over(Window.orderBy("shard", "block")) - F.col("n_tokens")
-    return written.withColumn("first", before), ranks
+    # one row for each shard, of which there are as many as tasks, and one for each file in a shard
+    shards = written.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
+    shards = shards.select(F.col("shard").alias("_shard"), (F.sum("all").over(Window.orderBy("shard")) - F.col("all")).alias("earlier"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")
+    first = written.withColumn("inside", inside).join(shards, F.col("shard") == F.col("_shard"))
+    return first.withColumn("first", F.col("earlier") + F.col("inside")).drop("_shard", "earlier", "inside"), ranks
 
 
 def read_token_files(manifest: DataFrame, ranks: DataFrame, with_ids: bool = True) -> DataFrame:

@@ -4,11 +4,14 @@ The ids are those of the `tokenizers` library for the whole text.  Its word-leve
 one pre-token at a time, so a text made of Latin letters, digits and ASCII signs is cut into
 pre-tokens here and each distinct one is given to the library's model once per worker; the
 cache is bounded.  Any other text goes to the library word by word (white space never joins
-words in this vocabulary), and texts that spell out a special token go to it whole.
+words in this vocabulary), and texts that spell out a special token go to it whole.  All this holds
+for the normalizer and pre-tokenizer that stand below; with a tokenizer file that has others, every
+text goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +27,33 @@ _LETTERS = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 _SPACE = re.compile("[ \t\n\r]+")
+#: What a tokenizer file must say for the short cut to hold.
+_NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_PRE_TOKENIZER = [
+    {
+        "type": "Split",
+        "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed",
+        "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _is_known(told: dict) -> bool:
+    parts = lambda name, inner: (told.get(name) or {}).get(inner)
+    model = told["model"]
+    return (
+        parts("normalizer", "normalizers") == _NORMALIZER
+        and parts("pre_tokenizer", "pretokenizers") == _PRE_TOKENIZER
+        and not (told.get("truncation") or told.get("padding") or model.get("dropout"))
+        and model["type"] == "BPE"
+        and not any(t["normalized"] or t["single_word"] for t in told["added_tokens"])
+    )
 
 
 def _byte_letters() -> list[str]:
@@ -45,7 +75,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16  # two bytes hold every id
+        self.known = _is_known(json.loads(self.tokenizer.to_str()))
         self.letters = _byte_letters()
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.cache: dict[str, bytes] = {}
@@ -94,7 +124,7 @@ class WordTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if not self.known or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if _PLAIN.fullmatch(text):
             return self._plain(text)
@@ -118,7 +148,8 @@ def token_pieces(
 
     A document is its ids, then end_id; a document longer than capacity is cut into pieces of
     capacity ids, the last of which may be shorter.  A null or empty text is end_id alone.
-    Repeated rows give repeated pieces; a null doc_id stays null.
+    Repeated rows give repeated pieces; a null doc_id stays null.  Further columns of docs are left
+    out.  No rows give no rows.
     """
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long"
     schema += ", ids array<int>" if with_ids else ""

@@ -1,6 +1,6 @@
 """Embedding near-dedup by product quantisation.
 
-Coarse inverted lists, residual subspace codes, asymmetric distances from lookup tables over
+Coarse inverted lists (cut once more where there are very many vectors), residual subspace codes, asymmetric distances from lookup tables over
 several probed lists, and an exact cosine for what these let through.  Every vector stands in its
 own list and visits the lists that it probes; a pair is looked at where one's own list is probed
 by the other.  If that holds both ways, each side counts the pair as a visitor; if it holds one way,
@@ -30,12 +30,18 @@ PAIRS = 1 << 18
 
 @dataclass(frozen=True)
 class Settings:
-    """max_train bounds the vectors that the lists and codes are fitted on; all vectors are indexed."""
+    """max_train bounds the vectors that the lists and codes are fitted on; all vectors are indexed.
+
+    Lists number a per_list-th of the vectors.  Beyond max_lists each list is cut again, by the nearest
+    of at most max_parts centres of what is left of its vectors, which all lists share; then probes grow
+    with the root of the parts.
+    """
 
     threshold: float = 0.9
     probes: int = 16
     per_list: int = 100
     max_lists: int = 4096
+    max_parts: int = 4096
     subspaces: int = 8
     codewords: int = 256
     max_train: int = 20_000
@@ -62,12 +68,31 @@ def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np
 @dataclass(frozen=True)
 class Index:
     lists: np.ndarray
+    parts: np.ndarray  # of each list: centres of what is left of its vectors; list p of l is l * len(parts) + p
     words: np.ndarray  # subspace, codeword, dimension within
     edges: np.ndarray  # first dimension of each subspace, and the end
 
+    def centre(self, which: np.ndarray) -> np.ndarray:
+        return self.lists[which // len(self.parts)] + self.parts[which % len(self.parts)]
+
+    def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The nearest lists of each row, its own first."""
+        d = _near(x, self.lists)
+        k = len(self.parts)
+        n = min(probes, d.shape[1])
+        top = np.argpartition(d, n - 1, 1)[:, :n]
+        if k == 1:
+            return np.take_along_axis(top, np.take_along_axis(d, top, 1).argsort(1, kind="stable"), 1).astype(np.int32)
+        left = x[:, None] - self.lists[top]  # row, list, dimension
+        d = _near(left.reshape(-1, x.shape[1]), self.parts).reshape(len(x), -1)
+        n = min(d.shape[1], probes * int(np.ceil(np.sqrt(k))))
+        near = np.argpartition(d, n - 1, 1)[:, :n]
+        near = np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
+        return (np.take_along_axis(top, near // k, 1) * k + near % k).astype(np.int32)
+
     def residual_codes(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of rows in their lists, and the distance from each row to what its code stands for."""
-        residual = x - self.lists[own]
+        residual = x - self.centre(own)
         codes = np.empty((len(x), len(self.words)), np.uint8)
         error = np.zeros(len(x))
         for s, words in enumerate(self.words):
@@ -80,7 +105,7 @@ class Index:
 
     def lookup(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Distances of rows to coded members of one list, from a table for each row and subspace."""
-        residual = x - self.lists[which]
+        residual = x - self.centre(np.array([which]))
         out = np.zeros((len(x), len(codes)))
         for s, words in enumerate(self.words):
             part = residual[:, self.edges[s] : self.edges[s + 1]]
@@ -92,14 +117,18 @@ def _fit(x: np.ndarray, n: int, s: Settings) -> Index:
     rng = np.random.default_rng(s.seed)
     dim = x.shape[1]
     lists = _k_means(x, int(np.clip(n // s.per_list, 16, s.max_lists)), s.rounds, rng)
-    residual = x - lists[_near(x, lists).argmin(1)]
+    residual = x - lists[np.concatenate([_near(x[i : i + 4096], lists).argmin(1) for i in range(0, len(x), 4096)])]
+    k = int(np.clip(-(-n // (s.per_list * s.max_lists)), 1, s.max_parts))
+    parts = _k_means(residual, k, s.rounds, rng) if k > 1 else np.zeros((1, dim))
+    own = np.concatenate([_near(residual[i : i + 4096], parts).argmin(1) for i in range(0, len(x), 4096)])
+    residual = residual - parts[own]
     m = min(s.subspaces, dim)
     edges = np.linspace(0, dim, m + 1).round().astype(int)
     words = np.zeros((m, min(s.codewords, len(x)), np.diff(edges).max()))
     for k in range(m):
         part = residual[:, edges[k] : edges[k + 1]]
         words[k, :, : part.shape[1]] = _k_means(part, words.shape[1], s.rounds, rng)
-    return Index(lists, words, edges)
+    return Index(lists, parts, words, edges)
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -110,19 +139,16 @@ def _units(column: pa.Array) -> np.ndarray:
 
 def _assign(reps: DataFrame, index: Index, s: Settings) -> DataFrame:
     """id, n, unit, home, probes, codes and error of each vector."""
-    known = reps.sparkSession.sparkContext.broadcast(index)  # max_lists and the codewords bound it
-    probes = min(s.probes, len(index.lists))
+    known = reps.sparkSession.sparkContext.broadcast(index)  # max_lists, max_parts and the codewords bound it
+    step = max(16, 1024 // len(index.parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = known.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 x = _units(batch.column(2))
-                d = _near(x, ix.lists)
-                # the own list first, then by distance
-                top = np.argpartition(d, probes - 1, 1)[:, :probes]
-                top = np.take_along_axis(top, np.take_along_axis(d, top, 1).argsort(1, kind="stable"), 1).astype(np.int32)
+                top = ix.probe(x, s.probes)
                 codes, error = ix.residual_codes(x, top[:, 0])
                 ends = np.arange(len(x) + 1, dtype=np.int32)
                 arrays = [
@@ -130,7 +156,7 @@ def _assign(reps: DataFrame, index: Index, s: Settings) -> DataFrame:
                     batch.column(1),
                     pa.array([r.tobytes() for r in x], pa.binary()),
                     pa.array(top[:, 0]),
-                    pa.ListArray.from_arrays(pa.array(ends * probes), pa.array(top.reshape(-1))),
+                    pa.ListArray.from_arrays(pa.array(ends * top.shape[1]), pa.array(top.reshape(-1))),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(error),
                 ]
@@ -143,14 +169,13 @@ def _assign(reps: DataFrame, index: Index, s: Settings) -> DataFrame:
 def _meet(assigned: DataFrame) -> DataFrame:
     """Members (role 0) and visitors (role 1) of each list, dealt into pairs of blocks."""
     visits = assigned.select("home", F.explode("probes").alias("list"))
-    # a row for each list, which max_lists bounds
     sizes = visits.groupBy("list").agg(F.sum((F.col("home") == F.col("list")).cast("long")).alias("m"), F.count("*").alias("v"))
-    lists = sizes.select(
+    lists = sizes.where("m > 0").select(
         "list",
-        F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int").alias("mb"),
+        F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"),
         F.ceil(F.col("v") / BLOCK).cast("int").alias("vb"),
     )
-    rows = assigned.withColumn("list", F.explode("probes")).join(F.broadcast(lists), "list")
+    rows = assigned.withColumn("list", F.explode("probes")).join(lists, "list")
     spread = F.xxhash64("id")
     members = (
         rows.where("home = list")
@@ -260,59 +285,51 @@ def _compare(index_of, threshold: float):
 def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of vectors (vec_id, embedding).
 
-    Two vectors link if their cosine in double precision is threshold or more and probing brings
-    them together.  n_links counts the other rows linked, copies included; component_id is the
-    smallest vec_id that links reach, itself included, and kept says whether it is the row's own.
-    Vectors that are null, empty, zero, of another length than most, or hold a null or a component
-    that isn't finite link with nothing, as do rows without a vec_id, whose component_id is null.
-    Repeated rows are vectors of their own.  No rows give no rows.
+    Two vectors of one length link if their cosine in double precision is threshold or more and
+    probing brings them together; each length has an index of its own, so lengths should be few.
+    n_links counts the other rows linked, copies included; component_id is the smallest vec_id that
+    links reach, itself included, and kept says whether it is the row's own.  Vectors that are null,
+    empty, zero or hold a null or a component that isn't finite link with nothing, as do rows without
+    a vec_id, whose component_id is null.  Repeated rows are vectors of their own, and so are
+    different vectors that share a vec_id.  Further columns are left out.  No rows give no rows.
     """
-    s, spark = settings, vectors.sparkSession
     e = F.col("embedding")
-    sound = F.size(e) > 0
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    ok = F.coalesce(sound & finite & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    rows = rows.select("vec_id", F.when(ok, e).alias("embedding"))
-    rows = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64("embedding", F.lit(5)).alias("h2"))
-    rows = materialize(rows, "vectors")
-    common = rows.where("embedding is not null").groupBy(F.size(e).alias("dim")).count()
-    dims = common.orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    used = rows.where(F.size(e) == dims[0].dim)
-    reps = materialize(
-        used.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "reps"
-    )
-    # equal vectors are one row here; ids repeat only if rows do, and then a copy keeps the id
-    n = reps.count()
-    sample = reps.select("embedding").orderBy(F.xxhash64("h1", F.lit(s.seed)), "h1", "h2").limit(s.max_train)
-    index = _fit(_units(sample.toArrow()["embedding"].combine_chunks()), n, s)
-    assigned = materialize(_assign(reps, index, s), "codes")
-    known = spark.sparkContext.broadcast(index)
-    met = _meet(assigned).repartition(n_partitions(spark), "list", "a", "b").sortWithinPartitions("list", "a", "b", "role")
-    threshold = s.threshold
-    pairs = materialize(
-        met.mapInArrow(_compare(lambda: known.value, threshold), "u long, v long, is_count boolean"), "links"
+    ok = (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull()
+    rows = rows.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), e).alias("embedding"))
+    key = F.coalesce(F.xxhash64("embedding"), F.lit(0))
+    rows = rows.select(
+        "vec_id",
+        "embedding",
+        F.when(e.isNull(), F.xxhash64("vec_id")).otherwise(key).alias("h1"),  # rows that link with nothing are spread
+        F.xxhash64("embedding", F.lit(5)).alias("h2"),
+        e.isNotNull().alias("used"),
     )
-    counts = pairs.where("is_count").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("others"))
-    found = connected_components(pairs.where("not is_count").select("u", "v"))
-    classes = (
-        reps.select("h1", "h2", "id", "n")
-        .join(counts, "id", "left")
-        .join(found, F.col("id") == F.col("node"), "left")
-        .select(
-            F.col("h1").alias("_h1"),
-            F.col("h2").alias("_h2"),
-            (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"),
-            F.coalesce("component", "id").alias("component"),
-        )
+    rows = materialize(rows, "vectors")
+    # equal vectors are one row here
+    reps = rows.where("used").groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")
     )
-    linked = rows.withColumn("used", F.coalesce(F.size(e) == dims[0].dim, F.lit(False))).join(
-        classes, F.col("used") & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left"
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    pairs = None
+    for row in reps.groupBy(F.size(e).alias("dim")).count().where("count > 1").orderBy("dim").collect():
+        found = _links(reps.where(F.size(e) == row.dim), row["count"], settings)
+        pairs = found if pairs is None else pairs.unionAll(found)
+    classes = reps.select("h1", "h2", "id", "n", F.lit(0).cast("long").alias("others"), F.col("vec_id").alias("component"))
+    if pairs is not None:
+        counts = pairs.where("is_count").groupBy(F.col("u").alias("id")).agg(F.sum("v").alias("others"))
+        nodes = connected_components(pairs.where("not is_count").select("u", "v"))
+        members = reps.select("h1", "h2", "id", "n", "vec_id").join(nodes, F.col("id") == F.col("node"), "left")
+        members = members.withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+        least = members.groupBy("root").agg(F.min("vec_id").alias("component"))
+        classes = members.join(least, "root").join(counts, "id", "left").select("h1", "h2", "id", "n", "others", "component")
+    classes = classes.select(
+        F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("links"), "component"
     )
+    linked = rows.join(classes, F.col("used") & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     component = F.coalesce("component", "vec_id")
     return linked.select(
         "vec_id",
@@ -320,3 +337,15 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def _links(reps: DataFrame, n: int, s: Settings) -> DataFrame:
+    """Of n vectors of one length: (u, v, is_count), where v is how many others u links to, or the other end of a link."""
+    spark = reps.sparkSession
+    sample = reps.select("embedding").orderBy(F.xxhash64("h1", F.lit(s.seed)), "h1", "h2").limit(s.max_train)
+    index = _fit(_units(sample.toArrow()["embedding"].combine_chunks()), n, s)
+    assigned = materialize(_assign(reps, index, s), "codes")
+    known = spark.sparkContext.broadcast(index)
+    met = _meet(assigned).repartition(n_partitions(spark), "list", "a", "b").sortWithinPartitions("list", "a", "b", "role")
+    found = met.mapInArrow(_compare(lambda: known.value, s.threshold), "u long, v long, is_count boolean")
+    return materialize(found, "links")

@@ -1,8 +1,9 @@
 """WARC archives: writing response and revisit records, and a reader that salvages damaged files.
 
-The reader checks each gzip member or version line, the header, the block's length and its digest.
-After a failed check it searches for the next member or version line that starts a valid record,
-goes on there, and reports the bytes between as quarantined.
+The reader checks each gzip member or version line, the header, the block's length and its digests,
+by whatever algorithm their labels name.  After a failed check it searches for the next member or
+version line that starts a valid record, goes on there, and reports the bytes between as
+quarantined.  A member that holds several records is read in the same way inside.
 """
 
 from __future__ import annotations
@@ -41,17 +42,29 @@ def _base32(data: bytes) -> str:
     return "sha256:" + base64.b32encode(hashlib.sha256(data).digest()).decode()
 
 
-def _hex_of(value: str | None) -> str | None:
-    """Lower-case hex of a labelled SHA-256 digest in base 32 or hex."""
+_ALGORITHMS = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}
+
+
+def _digest_of(value: str | None) -> tuple[str, str] | None:
+    """Algorithm and lower-case hex of a labelled digest in base 32 or hex; None if it can't be checked."""
     kind, _, text = (value or "").partition(":")
-    if kind.lower().replace("-", "") != "sha256":
+    kind = kind.strip().lower().replace("-", "")
+    size = _ALGORITHMS.get(kind)
+    if size is None:
         return None
-    if re.fullmatch("[0-9A-Fa-f]{64}", text):
-        return text.lower()
+    if re.fullmatch("[0-9A-Fa-f]{%d}" % (2 * size), text):
+        return kind, text.lower()
     try:
-        return base64.b32decode(text.upper() + "=" * (-len(text) % 8)).hex()
+        raw = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
     except ValueError:
         return None
+    return (kind, raw.hex()) if len(raw) == size else None
+
+
+def _agrees(value: str | None, *data: bytes) -> bool:
+    """Whether a labelled digest is that of one of the given bytes, or can't be checked."""
+    told = _digest_of(value)
+    return told is None or any(hashlib.new(told[0], d).hexdigest() == told[1] for d in data)
 
 
 def record_id(key: int | None) -> str:
@@ -91,41 +104,49 @@ class Damaged(ValueError):
     pass
 
 
-def _parse(raw: bytes, at: int) -> tuple[dict, int]:
-    """The record that begins at a place of uncompressed bytes, and where it ends."""
-    start = _START.match(raw, at)
-    if not start:
-        raise Damaged("version line")
-    stop = re.compile(rb"\r?\n\r?\n").search(raw, start.end() - 1)
-    if not stop:
-        raise Damaged("header end")
+def _header(raw: bytes, at: int) -> tuple[dict[str, str], int]:
+    """The fields from a place up to an empty line, and where the block begins."""
     head: dict[str, str] = {}
-    for line in raw[start.end() : stop.start()].splitlines():
+    while True:
+        end = raw.find(b"\n", at)
+        if end < 0:
+            raise Damaged("header end")
+        line = raw[at:end].rstrip(b"\r")
+        at = end + 1
+        if not line:
+            return head, at
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line")
         head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+
+
+def _parse(raw: bytes, at: int) -> tuple[dict, int]:
+    """The record that begins at a place of uncompressed bytes, and where it ends."""
+    start = _START.match(raw, at)
+    if not start:
+        raise Damaged("version line")
+    head, begin = _header(raw, start.end())
     size = head.get("content-length", "")
     if not size.isdigit():
         raise Damaged("length")
-    end = stop.end() + int(size)
-    block = raw[stop.end() : end]
-    if len(block) < int(size):
+    end = begin + int(size)
+    if len(raw) < end:
         raise Damaged("block cut short")
-    if raw[end : end + 4] == b"\r\n\r\n":
+    block = raw[begin:end]
+    if raw.startswith(b"\r\n\r\n", end):
         end += 4
-    elif raw[end : end + 2] == b"\n\n":
+    elif raw.startswith(b"\n\n", end):
         end += 2
     else:
         raise Damaged("record end")
-    known = _hex_of(head.get("warc-block-digest"))
-    if known and known != hashlib.sha256(block).hexdigest():
+    if not _agrees(head.get("warc-block-digest"), block):
         raise Damaged("block digest")
     return {"head": head, "block": block}, end
 
 
-def _member(raw: bytes, at: int) -> tuple[dict, int]:
-    """The record in the gzip member at a place, and where the member ends."""
+def _member(raw: bytes, at: int) -> tuple[list[tuple], int]:
+    """What salvage finds in the gzip member at a place, one record at least, and where the member ends."""
     inflate, parts, to = zlib.decompressobj(31), [], at
     try:
         while not inflate.eof and to < len(raw):
@@ -135,72 +156,123 @@ def _member(raw: bytes, at: int) -> tuple[dict, int]:
         raise Damaged("member") from error
     if not inflate.eof:
         raise Damaged("member cut short")
-    plain = b"".join(parts)
-    record, end = _parse(plain, 0)
-    if end != len(plain):
-        raise Damaged("bytes after the record")
-    return record, min(to, len(raw)) - len(inflate.unused_data)
+    found = list(_salvage(b"".join(parts), False))
+    if all(f[2] is None for f in found):
+        raise Damaged(found[0][3] if found else "empty member")
+    return found, min(to, len(raw)) - len(inflate.unused_data)
+
+
+class _Next:
+    """The first place of something at or after one that only grows, so that all bytes are searched once."""
+
+    def __init__(self, find):
+        self.find, self.at = find, -1
+
+    def after(self, place: int) -> int | None:
+        if self.at is not None and self.at < place:
+            found = self.find(place)
+            self.at = None if found < 0 else found
+        return self.at
 
 
 def salvage(raw: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(start, end, record, None) of each record and (start, end, None, reason) of each gap."""
+    """(start, end, record, None) of each record and (start, end, None, reason) of each gap.
+
+    What a gzip member of several records or with gaps holds has the member's start and end; such a record has its
+    place among the inflated bytes as inner, and such a gap's reason names it.
+    """
+    yield from _salvage(raw, True)
+
+
+def _salvage(raw: bytes, members: bool) -> Iterator[tuple]:
+    def version(place: int) -> int:
+        found = _START.search(raw, place)
+        return found.start() if found else -1
+
+    places = [_Next(version)] + ([_Next(lambda place: raw.find(_MEMBER, place))] if members else [])
     at, lost, why = 0, None, None
     while at < len(raw):
         # both kinds may stand in one file
-        zipped = raw.startswith(_MEMBER, at)
         try:
-            record, end = _member(raw, at) if zipped else _parse(raw, at)
+            if members and raw.startswith(_MEMBER, at):
+                found, end = _member(raw, at)
+            else:
+                record, end = _parse(raw, at)
+                found = [(at, end, record, None)]
         except Damaged as error:
             if lost is None:
                 lost, why = at, str(error)
-            plain = _START.search(raw, at + 1)
-            places = [raw.find(_MEMBER, at + 1), plain.start() if plain else -1]
-            at = min((p for p in places if p >= 0), default=len(raw))
+            at = min((p for p in (n.after(at + 1) for n in places) if p is not None), default=len(raw))
             continue
         if lost is not None:
             yield lost, at, None, why
             lost = None
-        yield at, end, record, None
+        for a, b, record, reason in found:
+            if len(found) > 1:
+                record, reason = (record | {"inner": a}, None) if record else (None, f"{reason}, bytes {a} to {b} of the member")
+            yield at, end, record, reason
         at = end
     if lost is not None:
         yield lost, len(raw), None, why
 
 
-def _payload(block: bytes) -> tuple[bytes, int | None]:
-    """The payload of an HTTP block and the length that its header gives."""
-    head, gap, body = block.partition(b"\r\n\r\n")
-    found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head)
-    return body if gap else b"", int(found[1]) if found else None
+def _unchunked(body: bytes) -> bytes:
+    """The bytes of a body in chunks, as far as they go."""
+    parts, at = [], 0
+    while found := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n").match(body, at):
+        size = int(found[1], 16)
+        parts.append(body[found.end() : found.end() + size])
+        at = found.end() + size
+        at += 2 if body.startswith(b"\r\n", at) else 1
+        if not size:
+            break
+    return b"".join(parts)
+
+
+def _payload(record: dict) -> tuple[list[bytes], int | None]:
+    """The payload of a record, as it stands and without chunks, and the length that an HTTP header gives.
+
+    Records that are not HTTP messages have their block as payload.
+    """
+    block = record["block"]
+    if not record["head"].get("content-type", "").lower().startswith("application/http"):
+        return [block], None
+    gap = re.search(rb"\r?\n\r?\n", block)
+    head, body = (block[: gap.start()], block[gap.end() :]) if gap else (block, b"")
+    told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head)
+    chunked = re.search(rb"(?im)^transfer-encoding:.*chunked", head)
+    return [body, _unchunked(body)] if chunked else [body], int(told[1]) if told else None
 
 
 RECORDS = (
     "file string, start long, end long, gap string, record_type string, key long, url string,"
-    " payload_bytes long, payload_digest string, refers_to long"
+    " payload_bytes long, payload_digest string, refers_to long, inner long"
 )
 
 
 def _records(name: str, raw: bytes, with_payload: bool) -> Iterator[tuple]:
     for start, end, record, why in salvage(raw):
         if record is None:
-            yield (name, start, end, why, *[None] * 6, None)
+            yield (name, start, end, why, *[None] * 7, None)
             continue
         head = record["head"]
-        kind = head.get("warc-type")
-        body, told = _payload(record["block"])
-        known = _hex_of(head.get("warc-payload-digest"))
-        if kind != "revisit":
-            digest = hashlib.sha256(body).hexdigest()
-            if known and known != digest:
-                yield (name, start, end, "payload digest", *[None] * 6, None)
-                continue
-            known, told = digest, len(body)
+        kind, inner = head.get("warc-type"), record.get("inner")
+        bodies, told = _payload(record)
+        if kind == "revisit":
+            known = _digest_of(head.get("warc-payload-digest"))
+            digest = known and (known[1] if known[0] == "sha256" else ":".join(known))
+        elif not _agrees(head.get("warc-payload-digest"), *bodies):
+            yield (name, start, end, "payload digest", *[None] * 6, inner, None)
+            continue
+        else:
+            digest, told = hashlib.sha256(bodies[0]).hexdigest(), len(bodies[0])
         key, first = _key_of(head.get("warc-record-id")), _key_of(head.get("warc-refers-to"))
-        row = (name, start, end, None, kind, key, head.get("warc-target-uri"), told, known, first)
-        yield (*row, body if with_payload and kind != "revisit" else None)
+        row = (name, start, end, None, kind, key, head.get("warc-target-uri"), told, digest, first, inner)
+        yield (*row, bodies[0] if with_payload and kind != "revisit" else None)
 
 
 def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [()] * 11
+    cols = list(zip(*rows, strict=True)) or [()] * 12
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=False)], schema=schema)
 
 
@@ -223,7 +295,7 @@ def _reader(with_payload: bool, load):
                 rows, held = [], 0
                 for row in _records(name, raw, with_payload):
                     rows.append(row)
-                    held += len(row[10] or b"")
+                    held += len(row[11] or b"")
                     if len(rows) >= 5000 or held > 8 << 20:
                         yield _to_batch(rows, schema)
                         rows, held = [], 0
@@ -247,7 +319,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The same of any archives that Spark can read as binary files, .warc or .warc.gz."""
+    """The same of any archives that Spark can read as binary files, .warc or .warc.gz; these have 2 GB at most."""
     text, _ = _schema(with_payload)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     run = _reader(with_payload, lambda b, i: (b.column(0)[i].as_py(), b.column(1)[i].as_py()))
@@ -262,7 +334,7 @@ def write_archives(
     A null html is an empty payload, a null url is about:blank.  Of equal payloads of revisit_bytes
     or more the row with the smallest page_id is a response and the others revisit it; shorter
     payloads, rows that repeat the smallest page_id and rows without a page_id are responses.
-    Equal payloads are found by SHA-256.  No rows give no archives.
+    Equal payloads are found by SHA-256.  Further columns are left out.  No rows give no archives.
     """
     folder = new_dir(pages.sparkSession, "warc")
     rows = pages.select(
@@ -276,7 +348,9 @@ def write_archives(
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
     )
-    linked = rows.join(first, F.col("digest") == F.col("_digest"), "left").select(
+    # a payload without a digest meets nothing, and goes where its page_id says
+    key = F.coalesce("digest", F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
+    linked = rows.join(first, key == F.col("_digest"), "left").select(
         "page_id", "url", "payload", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first")
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -90,10 +90,14 @@ def test_packing_odd_rows(spark, odd):
 
 def test_packing_keeps_odd_lengths_and_clashing_columns(spark):
     df = spark.createDataFrame(
-        [(1, 5, 9), (2, 0, 9), (3, None, 9), (4, 11, 9), (5, 5, 9)], "doc_id long, length int, _rank int"
+        [(1, 5, 9, "s"), (2, 0, 9, "s"), (3, None, 9, "s"), (4, 11, 9, "s"), (5, 5, 9, "s")],
+        "doc_id long, length int, _rank int, sequence_id string",
     )
-    got = {r.doc_id: (r.sequence_id, r.offset) for r in packing.pack(df.drop("_rank"), 10).collect()}
-    assert sorted([got[1], got[5]]) == [(0, 0), (0, 5)]
+    packed = packing.pack(df, 10)
+    assert packed.columns == ["doc_id", "length", "_rank", "sequence_id", "offset"]
+    rows = packed.collect()
+    got = {r.doc_id: (r.sequence_id, r.offset) for r in rows}
+    assert sorted([got[1], got[5]]) == [(0, 0), (0, 5)] and {r["_rank"] for r in rows} == {9}
     assert got[2] == got[3] == got[4] == (None, None)
 
 
@@ -107,9 +111,8 @@ def test_two_tighter_documents_replace_the_smallest():
     assert kinds[0] == (1, [(11, 1), (5, 1), (4, 1)])
 
 
-def test_many_pieces_of_one_length_are_ranked_in_groups(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANK_GROUP", 10)
-    df = spark.range(997).select(F.col("id").alias("doc_id"), F.lit(300).alias("length"))
+def test_many_pieces_of_one_length_and_one_document(spark):
+    df = spark.range(997).select(F.lit(None).cast("long").alias("doc_id"), F.lit(300).alias("length")).repartition(3)
     rows = packing.pack(df, 1000).collect()
     assert len({(r.sequence_id, r.offset) for r in rows}) == 997
     assert {r.offset for r in rows} == {0, 300, 600} and len({r.sequence_id for r in rows}) == 333
@@ -167,9 +170,31 @@ def test_mixing_stops_and_odd_rows(spark, odd):
     assert mixing.mix(odd).columns == odd.columns
 
 
-def test_mix_in_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "LINE_GROUP", 7)
-    docs = [(i, "w " * (1 + i % 13), "abc"[i % 3]) for i in range(600)]
+def test_mix_by_row_where_doc_ids_repeat_or_are_null(spark):
+    rng = np.random.default_rng(9)
+    ids = [None if i % 5 == 0 else 1 if i % 2 else i for i in range(600)]
+    docs = [(d, f"{i} " + "w " * int(rng.integers(0, 30)), "abc"[i % 3 % 2]) for i, d in enumerate(ids)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    sizes = {t: len(t.split()) for _, t, _ in docs}
+    by_source = defaultdict(int)
+    for _, t, s in docs:
+        by_source[s] += sizes[t]
+    want = water_level(by_source, {"a": 5, "b": 2}, 3)
+    rows = mixing.mix(df).collect()
+    times, taken = Counter(tuple(r) for r in rows), defaultdict(int)
+    assert set(times) <= set(docs) and max(times.values()) <= 3
+    for r in rows:
+        taken[r.source] += sizes[r.text]
+    assert all(abs(taken[s] - want[s]) <= max(sizes.values()) for s in by_source)
+    copies = {(r.doc_id, r.source): 0 for r in mixing.mix_copies(df).collect()}
+    for r in mixing.mix_copies(df).collect():
+        copies[r.doc_id, r.source] += r.copies
+    assert {k: v for k, v in copies.items() if v} == Counter((r.doc_id, r.source) for r in rows)
+    assert Counter(tuple(r) for r in mixing.mix(df.repartition(7)).collect()) == times
+
+
+def test_mix_of_one_hot_source(spark):
+    docs = [(i, "w " * (1 + i % 13), "a" if i % 10 else "bc"[i // 10 % 2]) for i in range(900)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     copies = mixing.mix_copies(df)
     check_mix(copies.withColumn("taken", F.col("copies") * F.col("size")).collect(), docs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -70,22 +71,94 @@ def test_lines_odd_rows(spark):
         (5, "", "", 0, 1),
     ]
     df = spark.createDataFrame(docs, "doc_id long, text string, kept string, n_chars long, line int")
-    rows = lines.drop_repeated_lines(df.withColumnRenamed("kept", "other"))
+    rows = lines.drop_repeated_lines(df)
     got = sorted((r.doc_id or 0, r.text) for r in rows.collect())
     assert got == [(0, "p\nq"), (1, "p\nq"), (1, "p\nq"), (2, "r"), (4, None), (5, "")]
-    assert rows.columns == ["doc_id", "text", "other", "n_chars", "line"]
-    assert lines.dedup_lines(df.drop("kept").limit(0)).count() == 0
+    assert rows.columns == ["doc_id", "text", "kept", "n_chars", "line"]
+    assert {(r.kept, r.line) for r in rows.collect()} == {("u", 1), ("v", 1), ("", 1), (None, None)}
+    found = lines.dedup_lines(df)
+    assert found.columns == ["doc_id", "text", "kept", "n_chars", "line", "n_lines", "n_removed", "n_spans"]
+    assert {r.kept for r in found.collect()} == {"p\nq", "r", "", None}
+    assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_runs_are_found_at_the_level_of_their_length(spark):
+    seven, three = [f"s{i}" for i in range(7)], [f"t{i}" for i in range(3)]
+    docs = [(1, [*seven, "a", *three]), (2, ["b", *three, "c"]), (3, ["d", *seven]), (4, [*three, *seven[2:], "e"])]
+    df = spark.createDataFrame([(d, "\n\n".join(x)) for d, x in docs], "doc_id long, text string")
+    table = lines.line_table(df)
+    levels = lines.run_levels(table, 2)
+    assert [n for n, _ in levels] == [2, 4]
+    starts = {n: sorted((r.doc_id, r.place, r.same) for r in rows.collect()) for n, rows in levels}
+    by_four = {(d, p) for d, p, _ in starts[4]}
+    assert by_four == {(1, p) for p in range(1, 5)} | {(3, p) for p in range(2, 6)} | {(4, 4), (4, 5)}
+    assert {(2, 2), (2, 3), (4, 1), (4, 2)} <= {(d, p) for d, p, _ in starts[2]} - by_four
+    runs = {(r.doc_id, r.lo, r.hi) for r in lines.repeated_runs(table, 2, levels).collect()}
+    assert runs == {(2, 2, 4), (3, 2, 8), (4, 1, 8)}
+
+
+def test_long_runs_and_many_copies(spark):
+    body = "\n".join(f"line {i % 60} {i // 60}" for i in range(300))
+    docs = [(i, body) for i in range(40)] + [(100, "k\n" * 5000), (101, "k\n" * 4999)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    check_lines(digest(lines.dedup_lines(df, 2)), docs, 2)
 
 
 def test_toxicity_query_on_held_out_rows(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # 97 toxic rows are held out here, 6 only at sf0.01
     rows = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, r in rows.items())
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
     labels = [(rows[r.doc_id], r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()]
-    test = [(r.predicted, t) for r, t in labels if r.held_out]
-    assert sum(p == t for p, t in test) / len(test) >= 0.9
+    test = [(r.score, r.predicted, t) for r, t in labels if r.held_out]
+    bad = [x for x in test if x[2] == 1]
+    good = [x for x in test if x[2] == 0]
+    assert len(bad) >= 90 and len(good) >= 700
+    assert sum(p == t for _, p, t in test) / len(test) >= 0.96  # all rows called clean would be 0.88
+    hits = sum(p for _, p, _ in bad)
+    assert hits / len(bad) >= 0.75  # recall, 0.79 when this was written
+    assert hits / max(1, hits + sum(p for _, p, _ in good)) >= 0.95  # precision, 0.99
+    auc = sum((a[0] > b[0]) + 0.5 * (a[0] == b[0]) for a in bad for b in good) / (len(bad) * len(good))
+    assert auc >= 0.97
+
+
+def dict_ftrl(rows, bits, s):
+    """Per-coordinate FTRL-proximal, one number at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        l1 = 0.0 if i == "b" else s.l1
+        zi = z.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((s.beta + math.sqrt(n.get(i, 0.0))) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for at, label in rows:
+            active = [*sorted(set(at)), "b"]
+            w = {i: weight(i) for i in active}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in active:
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / s.alpha * w[i]
+                n[i] = was + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_training_is_ftrl_proximal(spark):
+    rng = random.Random(8)
+    words = "red green blue grey black vile".split()
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    rows = [(i, t, int("vile" in t)) for i, t in docs]
+    s = toxicity.Settings(bits=12, l1=0.7, epochs=2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    order = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id", "text"), "doc_id").collect()]
+    make = toxicity.Features(s.bits)
+    want = dict_ftrl([(make.coordinates(rows[i][1]).tolist(), rows[i][2]) for i in order], s.bits, s)
+    model = toxicity.train(df, s)
+    assert model.intercept == pytest.approx(want.pop("b"))
+    assert dict(zip(model.at.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(want)
 
 
 def test_toxicity_finds_phrases_and_forms(spark):
