@@ -113,6 +113,20 @@ def csv_cell(value: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+def fixed_number(value: Column, places: int = 2) -> Column:
+    """Exactly so many decimals, rounded half up, thousands apart, with a true minus sign; a dash for no number."""
+    v = F.round(value.cast(f"decimal(38,{places + 6})"), places)
+    shown = F.format_number(F.abs(v), places)
+    return F.when(v.isNull(), "—").when(v < 0, F.concat(F.lit("−"), shown)).otherwise(shown)
+
+
+def shown_number(value: Column, digits: int = 1) -> Column:
+    """At most so many decimals: 74.0 is 74, 74.25 is 74.3, -0.04 is 0."""
+    shown = fixed_number(value, digits)
+    short = F.when(shown.contains("."), F.regexp_replace(shown, r"\.?0+$", "")).otherwise(shown)
+    return F.when(short.isin("−0", "-0"), "0").otherwise(short)
+
+
 def fenced_json(answer: Column) -> Column:
     """The JSON object in a model's answer, with or without fences around it."""
     inside = F.regexp_extract(answer, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
