@@ -19,14 +19,22 @@ SHAPES = {
 }
 
 
+#: What a text must hold for a shape to be looked for; without it the pattern of an address tries each letter.
+_SIGNS = {"EMAIL": "@", "URL": "://"}
+
+
+def _may_hold(text: Column, shape: str) -> Column:
+    return text.contains(_SIGNS[shape]) if shape in _SIGNS else text.rlike("[0-9]")
+
+
 def shape_count(text: Column, shape: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(SHAPES[shape])), F.lit(0))
+    return F.coalesce(F.when(_may_hold(text, shape), F.regexp_count(text, F.lit(SHAPES[shape]))), F.lit(0))
 
 
 def mask(text: Column, shapes: Sequence[str] = tuple(SHAPES)) -> Column:
     """The text with every match replaced by <SHAPE>, earlier shapes first."""
     for s in shapes:
-        text = F.regexp_replace(text, SHAPES[s], f"<{s}>")
+        text = F.when(_may_hold(text, s), F.regexp_replace(text, SHAPES[s], f"<{s}>")).otherwise(text)
     return text
 
 
@@ -50,10 +58,15 @@ def luhn_valid(text: Column) -> Column:
 
 
 def national_id_valid(text: Column) -> Column:
-    """Whether 5 to 9 digits, padded to nine, have the check digit of a national id; not all zero."""
+    """Whether eight or nine digits, padded to nine, have the check digit of a national id."""
     d = digits(text)
-    padded = F.lpad(d, 9, "0")
-    return F.length(d).between(5, 9) & (padded != "000000000") & (_digit_sum(padded, False) % 10 == 0)
+    return F.length(d).between(8, 9) & (_digit_sum(F.lpad(d, 9, "0"), False) % 10 == 0)
+
+
+def phone_shape(text: Column) -> Column:
+    """Whether the digits are a phone's: ten of a mobile or virtual range, or nine with an area, also behind the country's code."""
+    local = F.regexp_replace(digits(text), "^9720*", "0")
+    return local.rlike("^(0[57][0-9]{8}|0[234689][0-9]{7})$")
 
 
 def word_count(text: Column) -> Column:
@@ -65,10 +78,13 @@ def words_per_minute(words: Column, seconds: Column) -> Column:
 
 
 def question_count(text: Column, openers: Sequence[str]) -> Column:
-    """Sentences that end in a question mark or whose first word is an opener."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^.?!\n]+[.?!]*"), F.lit(0))
-    first = lambda s: F.lower(F.regexp_extract(s, r"(?U)^\W*(\w+)", 1))
-    asks = F.filter(parts, lambda s: s.contains("?") | first(s).isin(*openers))
+    """Sentences that end in a question mark or whose first word is an opener, as it is written.
+
+    A sentence ends at a full stop, question mark or exclamation mark with white space behind it.
+    """
+    parts = F.transform(F.split(text, r"(?U)(?<=[.?!])\s+"), lambda s: F.trim(F.regexp_replace(s, r"(?U)^\s+|\s+$", "")))
+    first = lambda s: F.split_part(F.regexp_replace(s, r"(?U)^\W+", ""), F.lit(" "), F.lit(1))
+    asks = F.filter(parts, lambda s: (s != "") & (s.endswith("?") | first(s).isin(*openers)))
     return F.coalesce(F.size(asks), F.lit(0))
 
 

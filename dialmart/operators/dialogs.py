@@ -18,6 +18,21 @@ def merge_channels(agent: DataFrame, customer: DataFrame, keys: Sequence[str], l
     return both.withColumn("turn_no", F.row_number().over(order))
 
 
+def talk_shares(segments: DataFrame, keys: Sequence[str], role: str, lo: str, hi: str, words: str, agent: str, customer: str) -> DataFrame:
+    """keys, turns, agent_speech, customer_speech, talk_ratio (of both) and wpm; a segment that ends before it starts has no length."""
+    length = F.greatest(F.lit(0.0), F.col(hi) - F.col(lo))
+    of = lambda who: F.coalesce(F.sum(F.when(F.col(role) == who, length)), F.lit(0.0))
+    both = of(agent) + of(customer)
+    total = F.sum(length)
+    return segments.groupBy(*keys).agg(
+        F.count("*").alias("turns"),
+        of(agent).alias("agent_speech"),
+        of(customer).alias("customer_speech"),
+        F.when(both > 0, of(agent) / both).otherwise(0.0).alias("talk_ratio"),
+        F.when(total > 0, F.sum(words) / total * 60).otherwise(0.0).alias("wpm"),
+    )
+
+
 def clock(seconds: Column) -> Column:
     """Seconds as mm:ss."""
     s = F.floor(seconds).cast("long")

@@ -81,6 +81,12 @@ def agent_profile(long: DataFrame, agent: str) -> DataFrame:
     )
 
 
+def weakest_dimension(long: DataFrame, keys: Sequence[str], gates: Sequence[str]) -> DataFrame:
+    """keys and the dimension with the lowest score, gates left out; ties go to the rubric's order."""
+    others = long.where(~F.col("dim").isin(*gates) & F.col("score").isNotNull())
+    return others.groupBy(*keys).agg(F.min_by("dim", F.struct("score", "dim_order")).alias("weakest"))
+
+
 def concentration(cards: DataFrame, agent: str, failed: Column, share: float = 0.2) -> DataFrame:
     """agents, fails, focus_agents (the top share by fails) and focus_share of the fails."""
     by = cards.groupBy(agent).agg(F.sum(failed.cast("long")).alias("fails"))

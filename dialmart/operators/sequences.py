@@ -186,9 +186,14 @@ def average_ranks(rows: DataFrame, keys: Keys, value: str, name: str) -> DataFra
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows, taken from the strata in turn, each in a seeded order."""
-    by = Window.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return rows.withColumn("turn", F.row_number().over(by)).orderBy("turn", stratum).limit(n)
+    """n rows, taken from the strata in turn, each in a seeded order.
+
+    No stratum gives more than n rows, so that only so many of each leave their tasks.
+    """
+    order = F.md5(F.encode(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))), "UTF-8"))
+    by = Window.partitionBy(stratum).orderBy(order, key)
+    turns = rows.withColumn("turn", F.row_number().over(by).cast("long")).where(F.col("turn") <= n)
+    return turns.orderBy("turn", stratum).limit(n)
 
 
 def distinct_first(rows: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

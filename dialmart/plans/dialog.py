@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, stats, text
-from ..operators import matching, sequences
+from ..operators import dialogs, matching, sequences
 from .registry import Tables, query, r6
 
-OPENERS = ["who", "what", "when", "where", "why", "how", "qui", "que", "quand", "wer", "was", "wann", "quien", "donde", "is", "the", "la"]
+OPENERS = ["who", "what", "when", "where", "why", "how", "qui", "que", "quand", "wer", "was", "wann", "quien", "donde", "is", "the", "la", "The", "Is", "To", "And", "Of"]
 TOPICS = {"determiners": ["the", "la", "der", "el"], "links": ["and", "et", "und", "y"], "negation": ["not", "pas", "nicht", "no"]}
 
 #: Milliseconds, so that both engines add the same whole numbers.
@@ -46,23 +46,20 @@ def segments(t: Tables) -> DataFrame:
 
 
 @query(f"""
-    with {SEGMENTS} select conv_id, count(*) as turns, round(coalesce(sum(end_s - start_s) filter (role = 'assistant'), 0), 6) as agent_speech,
-        round(coalesce(sum(end_s - start_s) filter (role = 'user'), 0), 6) as customer_speech,
-        round(case when sum(end_s - start_s) > 0 then coalesce(sum(end_s - start_s) filter (role = 'assistant'), 0) / sum(end_s - start_s) else 0 end, 6) as talk_ratio,
-        round(case when sum(end_s - start_s) > 0 then sum(words) / sum(end_s - start_s) * 60 else 0 end, 6) as wpm from segments group by 1
+    with {SEGMENTS} select conv_id, count(*) as turns, round(coalesce(sum(s) filter (role = 'assistant'), 0), 6) as agent_speech,
+        round(coalesce(sum(s) filter (role = 'user'), 0), 6) as customer_speech,
+        round(case when sum(s) filter (role <> 'system') > 0 then coalesce(sum(s) filter (role = 'assistant'), 0) / sum(s) filter (role <> 'system') else 0 end, 6) as talk_ratio,
+        round(case when sum(s) > 0 then sum(words) / sum(s) * 60 else 0 end, 6) as wpm
+    from (select *, greatest(0, case when turn % 9 = 8 then start_s - end_s else end_s - start_s end) as s from segments) group by 1
 """)
 def talk_features(t: Tables) -> DataFrame:
-    """Speech by role, the agent's share and words a minute."""
-    spoken = F.col("end_s") - F.col("start_s")
-    of = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, spoken)), F.lit(0.0))
-    total = F.sum(spoken)
-    return segments(t).groupBy("conv_id").agg(
-        F.count("*").alias("turns"),
-        r6(of("assistant")).alias("agent_speech"),
-        r6(of("user")).alias("customer_speech"),
-        r6(F.when(total > 0, of("assistant") / total).otherwise(0.0)).alias("talk_ratio"),
-        r6(text.words_per_minute(F.sum("words"), total)).alias("wpm"),
+    """Speech by role, the agent's share and words a minute; segments that end before they start count nothing."""
+    turned = F.col("turn") % 9 == 8
+    rows = segments(t).withColumns(
+        {"start_s": F.when(turned, F.col("end_s")).otherwise(F.col("start_s")), "end_s": F.when(turned, F.col("start_s")).otherwise(F.col("end_s"))}
     )
+    found = dialogs.talk_shares(rows, ["conv_id"], "role", "start_s", "end_s", "words", "assistant", "user")
+    return found.select("conv_id", "turns", *[r6(c).alias(c) for c in ("agent_speech", "customer_speech", "talk_ratio", "wpm")])
 
 
 ISLANDS = f"""
@@ -197,8 +194,9 @@ _ASKS = ", ".join(f"'{w}'" for w in OPENERS)
 
 
 @query(f"""
-    with parts as (select conv_id, role, unnest(regexp_extract_all(text, '[^.?!\\n]+[.?!]*')) as part from conversations)
-    select conv_id, role, count(*) filter (contains(part, '?') or lower(regexp_extract(part, '^[^\\pL\\pN_]*([\\pL\\pN_]+)', 1)) in ({_ASKS})) as questions
+    with parts as (select conv_id, role, unnest(string_split(regexp_replace(text, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))) as part from conversations)
+    select conv_id, role, count(*) filter (trim(part, ' ' || chr(9) || chr(10) || chr(13)) like '%?'
+        or split_part(regexp_replace(trim(part, ' ' || chr(9) || chr(10) || chr(13)), '^[^\\pL\\pN\\pM_]+', ''), ' ', 1) in ({_ASKS})) as questions
     from parts group by 1, 2
 """)
 def questions(t: Tables) -> DataFrame:
@@ -249,21 +247,32 @@ def topic_hits(t: Tables) -> DataFrame:
 
 
 @query("""
-    with n as (select o_orderkey, lpad(cast(o_orderkey * 7919 + 1000000000000 as varchar), 13, '0') as card, lpad(cast(o_orderkey as varchar), 9, '0') as id from orders),
-    c as (
-        select o_orderkey, list_sum([case when i % 2 = 1 then cast(card[14 - i] as int) else
+    with n as (
+        select o_orderkey, lpad(cast(o_orderkey * 7919 + 1000000000000 as varchar), 13, '0') as card,
+            right('0000000000' || cast(o_orderkey * 7907 as varchar), cast(5 + o_orderkey % 6 as int)) as id,
+            case o_orderkey % 3 when 0 then '05' when 1 then '97252' else '03' end || right('00000000' || cast(o_orderkey * 31 as varchar), cast(7 + o_orderkey % 2 as int)) as phone
+        from orders
+    ), c as (
+        select *, lpad(id, 9, '0') as padded, case when phone like '972%' then '0' || substr(phone, 4) else phone end as local from n
+    ), s as (
+        select *, list_sum([case when i % 2 = 1 then cast(card[14 - i] as int) else
             cast(card[14 - i] as int) * 2 - case when cast(card[14 - i] as int) > 4 then 9 else 0 end end for i in range(1, 14)]) as luhn,
-            list_sum([case when i % 2 = 1 then cast(id[i] as int) else cast(id[i] as int) * 2 - case when cast(id[i] as int) > 4 then 9 else 0 end end for i in range(1, 10)]) as national
-        from n
-    ) select o_orderkey, luhn % 10 = 0 as card_ok, national % 10 = 0 and o_orderkey > 0 as id_ok from c
+            list_sum([case when i % 2 = 1 then cast(padded[i] as int) else cast(padded[i] as int) * 2 - case when cast(padded[i] as int) > 4 then 9 else 0 end end for i in range(1, 10)]) as national
+        from c
+    ) select o_orderkey, luhn % 10 = 0 as card_ok, len(id) in (8, 9) and national % 10 = 0 as id_ok,
+        (len(local) = 10 and local[1] = '0' and local[2] in ('5', '7')) or (len(local) = 9 and local[1] = '0' and local[2] in ('2', '3', '4', '6', '8', '9')) as phone_ok
+    from s
 """)
 def check_digits(t: Tables) -> DataFrame:
-    """Check digits of numbers made from order keys."""
-    card = (F.col("o_orderkey") * 7919 + 1000000000000).cast("string")
+    """Check digits of numbers made from order keys, ids of five to ten digits, and the shape of phones."""
+    k = F.col("o_orderkey")
+    right = lambda n, of: F.right(F.concat(F.lit("0" * 10), (k * n).cast("string")), of)
+    phone = F.concat(F.when(k % 3 == 0, "05").when(k % 3 == 1, "97252").otherwise("03"), right(31, (7 + k % 2).cast("int")))
     return t.orders.select(
         "o_orderkey",
-        text.luhn_valid(card).alias("card_ok"),
-        text.national_id_valid(F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("id_ok"),
+        text.luhn_valid((k * 7919 + 1000000000000).cast("string")).alias("card_ok"),
+        text.national_id_valid(right(7907, (5 + k % 6).cast("int"))).alias("id_ok"),
+        text.phone_shape(phone).alias("phone_ok"),
     )
 
 
@@ -309,12 +318,9 @@ def pseudonyms(t: Tables) -> DataFrame:
 
 @query("""
     with turns as (
-        select source, doc_id, row_number() over (partition by source order by hash_rank, doc_id) as turn from (
-            select source, doc_id, md5(cast(doc_id as varchar)) as hash_rank from documents)
-    ) select source, doc_id, turn from turns where turn <= 5
+        select source, doc_id, row_number() over (partition by source order by md5(cast(doc_id as varchar) || '-5'), doc_id) as turn from documents
+    ) select source, doc_id, turn from turns order by turn, source limit 25
 """)
 def stratified_documents(t: Tables) -> DataFrame:
-    """Five documents of each source, in a hashed order."""
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    turn = F.row_number().over(Window.partitionBy("source").orderBy(order, "doc_id"))
-    return t.documents.select("source", "doc_id", turn.cast("long").alias("turn")).where("turn <= 5")
+    """25 documents, taken from the sources in turn, in a hashed order."""
+    return sequences.stratified_sample(t.documents.select("source", "doc_id"), "source", "doc_id", 25, 5)

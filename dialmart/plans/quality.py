@@ -106,10 +106,19 @@ def floor_gains(t: Tables) -> DataFrame:
     from means group by 1
 """)
 def agent_profiles(t: Tables) -> DataFrame:
-    """Each agent's strongest and weakest dimension."""
+    """A2: each agent's strongest and weakest dimension."""
     return scores.agent_profile(long_cards(t), "agent")
 
 
+@query(f"""
+    with {CARDS} select agent, case when solution <= closing then 'solution' else 'closing' end as weakest, count(*) as cards from scored group by 1, 2
+""")
+def weakest_dimensions(t: Tables) -> DataFrame:
+    """the weakest dimension of each card that is no gate, by agent."""
+    cards_ = scores.long_scores(cards(t).withColumn("row", F.monotonically_increasing_id()), ["row", "agent"], list(RUBRIC))
+    return scores.weakest_dimension(cards_, ["row", "agent"], GATES).groupBy("agent", "weakest").agg(F.count("*").alias("cards"))
+
+
 @query(f"""
     with {CARDS}, means as (select agent, avg(total) as mean, count(*) as n from scored group by 1)
     select a.agent, a.n, round(a.mean, 6) as mean, round((select median(b.mean) from means b where b.agent <> a.agent), 6) as others

@@ -142,7 +142,7 @@ def values(spark, f, items):
 
 def test_check_digits(spark):
     assert values(spark, text.luhn_valid, ["4111 1111 1111 1111", "4111111111111112", "79927398713", None]) == [True, False, False, None]
-    assert values(spark, text.national_id_valid, ["123456782", "123456789", "000000000", "18"]) == [True, False, False, False]
+    assert values(spark, text.national_id_valid, ["123456782", "123456789", "00000018", "0000018", "00018", "0000000018"]) == [True, False, True, False, False, False]
 
 
 def test_pseudonyms_are_hmac(spark):
@@ -152,7 +152,7 @@ def test_pseudonyms_are_hmac(spark):
 
 
 def test_text_functions(spark):
-    assert values(spark, lambda c: text.question_count(c, ["who"]), ["Who is it. Fine. Really? who", "", "whole day."]) == [3, 0, 0]
+    assert values(spark, lambda c: text.question_count(c, ["who"]), ["Who is it. Fine. Really? who", "", "whole day.", "about 3.5? who. ?! no", "who?! is  \n who"]) == [2, 0, 0, 1, 0]
     assert values(spark, text.word_count, ["a b c", None, " "]) == [3, 0, 0]
     assert values(spark, text.mask, ["mail a.b@c.org on 2.3.2024 or 050-123 4567"]) == ["mail <EMAIL> on <DATE> or <LONG_NUMBER>"]
     assert values(spark, text.op_code, ["00201", "000", " 7 "]) == ["201", "0", "7"]
