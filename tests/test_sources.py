@@ -21,7 +21,7 @@ def test_encodings_and_delimiters(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(body.encode("cp1255"))
     (tmp_path / "c.csv").write_bytes(body.replace(";", "\t").encode("utf-16"))
     (tmp_path / "d.csv").write_bytes("call_id,name\nc1,שלום\n".encode() + "c2,שלום\n".encode("cp1255"))
-    rows = delimited.read_any(spark, str(tmp_path)).collect()
+    rows = delimited.read_any(spark, str(tmp_path)).orderBy("row_order").collect()
     by = {}
     for r in rows:
         by.setdefault(r.path[-5], []).append((r.fields["call_id"], r.fields["name"], r.surplus))
