@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables, with the SQL that checks them."""
 
-from . import contacts, dialog, journey, operations, privacy, quality  # noqa: F401
+from . import contacts, dialog, exchange, journey, operations, privacy, quality  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

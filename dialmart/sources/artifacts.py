@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -83,9 +83,33 @@ def write_csv(df: DataFrame, path: str) -> None:
     safe.write.option("header", True).option("lineSep", "\r\n").csv(path)
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    """Append rows to a folder of JSON lines."""
-    df.write.mode("append").json(path)
+def append_history(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append rows to a folder of JSON lines; a batch that has a name is written once however often it is tried."""
+    if batch is None:
+        df.write.mode("append").json(path)
+    else:
+        df.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def checked_reviews(reviews: DataFrame, dims: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Reviews (call_id, rater_id and a text for each dimension) with whole scores, and those refused with their reason.
+
+    Of reviews of one call by one rater the first by their text counts.
+    """
+    whole = [F.col(d).rlike("^[1-5]$") for d in dims]
+    blank = F.coalesce(F.trim("call_id"), F.lit("")).eqNullSafe("") | F.coalesce(F.trim("rater_id"), F.lit("")).eqNullSafe("")
+    missing = F.array_join(F.filter(F.array(*[F.when(F.col(d).isNull(), F.lit(d)) for d in dims]), lambda d: d.isNotNull()), ", ")
+    wrong = F.array_join(F.filter(F.array(*[F.when(~w, F.lit(d)) for d, w in zip(dims, whole, strict=True)]), lambda d: d.isNotNull()), ", ")
+    place = F.row_number().over(Window.partitionBy("call_id", "rater_id").orderBy(F.struct(*dims)))
+    reason = (
+        F.when(blank, "call_id and rater_id are required")
+        .when(missing != "", F.concat(F.lit("missing scores for: "), missing))
+        .when(wrong != "", F.concat(F.lit("not an integer 1..5: "), wrong))
+        .when(place > 1, "reviewed already")
+    )
+    marked = reviews.withColumn("reason", reason)
+    good = marked.where("reason is null").drop("reason")
+    return good.select("call_id", "rater_id", *[F.col(d).cast("int").alias(d) for d in dims]), marked.where("reason is not null")
 
 
 def append_reviews(spark: SparkSession, new: DataFrame, path: str) -> None:
@@ -116,3 +140,16 @@ def not_reproduced(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     missing = F.col("_a").isNull() | F.col("_b").isNull()
     found = both.select(key, F.when(missing, F.array(F.lit("missing"))).otherwise(named).alias("differs"))
     return found.where(F.size("differs") > 0)
+
+
+def run_manifest(calls: DataFrame, run: str, rate: float) -> DataFrame:
+    """run, succeeded, failed, held, gpu_hours and estimated cost of runs of calls (status, seconds)."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    hours = F.sum("seconds") / 3600
+    return calls.groupBy(run).agg(
+        of("success").alias("succeeded"),
+        of("failed").alias("failed"),
+        of("needs_human_review").alias("held"),
+        hours.alias("gpu_hours"),
+        (hours * rate).alias("estimated"),
+    )
