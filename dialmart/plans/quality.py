@@ -186,16 +186,40 @@ def agents_against_rest(t: Tables) -> DataFrame:
     return _flags(t, "agent")
 
 
-@query()
+def _t_sql(df: str, level: float) -> str:
+    """Student's critical value in SQL, by its expansion in powers of 1/df; for df of 100 or more."""
+    z = stats.z_crit(level)
+    terms = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    return f"({z!r}" + "".join(f" + {g!r} / pow({df}, {i})" for i, g in enumerate(terms, 1)) + ")"
+
+
+@query(f"""
+    with {CARDS}, g as (select agent, count(*) as n, sum(total) as s, sum(total * total) as q from scored group by 1),
+    a as (select sum(n) as nn, sum(s) as ss, sum(q) as qq from g),
+    m as (select agent, n, s / n - (ss - s) / (nn - n) as diff, (q - s * s / n) / (n - 1) / n as v1, ((qq - q) - (ss - s) * (ss - s) / (nn - n)) / (nn - n - 1) / (nn - n) as v2, nn - n as n2 from g, a),
+    h as (select *, {_t_sql("(pow(v1 + v2, 2) / (v1 * v1 / (n - 1) + v2 * v2 / (n2 - 1)))", 0.99)} * sqrt(v1 + v2) as half from m)
+    select agent, n, round(diff, 4) as diff, round(diff - half, 4) as low, round(diff + half, 4) as high,
+        case when n < 8 then 'few' when (diff - half <= 0 and diff + half >= 0) or abs(diff) < 3 then 'none' when diff > 0 then 'ok' else 'bad' end as flag from h
+""")
 def agent_flags(t: Tables) -> DataFrame:
-    """The 99% interval of each agent's difference and its flag."""
-    return stats.group_against_rest(cards(t), "agent", "total").select("agent", "n", "diff", "low", "high", "flag")
+    """The 99% interval of each agent's difference and its flag."""
+    found = stats.group_against_rest(cards(t), "agent", "total")
+    return found.select("agent", "n", *[F.round(c, 4).alias(c) for c in ("diff", "low", "high")], "flag")
 
 
-@query()
+@query(f"""
+    with {LONG}, m as (select dim, count(*) as n, avg(score) as mean, stddev_samp(score) as sd from long group by 1)
+    select dim, n, round(mean, 6) as mean, round(sd, 6) as sd, round(mean - {_t_sql("(n - 1)", 0.95)} * sd / sqrt(n), 6) as low, round(mean + {_t_sql("(n - 1)", 0.95)} * sd / sqrt(n), 6) as high from m
+""")
 def dimension_intervals(t: Tables) -> DataFrame:
     """Means with 95% intervals by Student's t."""
-    return stats.mean_ci(long_cards(t), ["dim"], "score")
+    found = stats.mean_ci(long_cards(t), ["dim"], "score")
+    return found.select("dim", "n", *[r6(c).alias(c) for c in ("mean", "sd", "low", "high")])
 
 
 @query(f"""
@@ -421,7 +445,7 @@ def failure_rates(t: Tables) -> DataFrame:
 def clustered_failures(t: Tables) -> DataFrame:
     """The share of failed calls, with a bootstrap interval by agents."""
     c = cards(t).groupBy("agent").agg(F.count("*").alias("n"), F.count_if(F.size("failed") > 0).alias("k"))
-    return stats.cluster_share(c, "k", "n", 500)
+    return stats.cluster_share(c, "agent", "k", "n", 500)
 
 
 @query(f"""

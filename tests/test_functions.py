@@ -108,9 +108,9 @@ def test_agreement(spark):
 def test_cluster_share(spark):
     rows = [(i, k, 3) for i, k in enumerate([3, 0, 3, 0, 3, 0, 1, 2])]
     df = spark.createDataFrame(rows, "i int, k int, n int")
-    r = stats.cluster_share(df, "k", "n").first()
+    r = stats.cluster_share(df, "i", "k", "n").first()
     assert r.share == 0.5 and r.low < 0.5 < r.high and r.high - r.low > 0.38
-    assert stats.cluster_share(df.limit(4), "k", "n", 50).first().low is None
+    assert stats.cluster_share(df.limit(4), "i", "k", "n", 50).first().low is None
 
 
 def test_spearman_and_limits(spark):
