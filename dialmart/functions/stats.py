@@ -103,11 +103,13 @@ def group_against_rest(rows: DataFrame, key: str, value: str, level: float = 0.9
     g = rows.where(v.isNotNull()).groupBy(key).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("var")
     )
-    everything = Window.partitionBy()  # one row for each group
-    n_all = F.sum("n").over(everything)
-    mean_all = F.sum(F.col("n") * F.col("mean")).over(everything) / n_all
-    spread = (F.col("n") - 1) * F.col("var") + F.col("n") * F.pow(F.col("mean") - mean_all, F.lit(2))
-    t = g.select("*", n_all.alias("_n"), mean_all.alias("_mean"), F.sum(spread).over(everything).alias("_ss"))
+    mean_all = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    # one row, as the next; both meet the groups by a key that is 0 everywhere
+    g = g.withColumn("_key", F.pmod("n", F.lit(1)))
+    whole = g.groupBy("_key").agg(F.sum("n").alias("_n"), mean_all.alias("_mean"))
+    spread = (F.col("n") - 1) * F.col("var") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2))
+    t = g.join(F.broadcast(whole), "_key")
+    t = t.join(F.broadcast(t.groupBy("_key").agg(F.sum(spread).alias("_ss"))), "_key")
     n2 = F.col("_n") - F.col("n")
     mean2 = (F.col("_n") * F.col("_mean") - F.col("n") * F.col("mean")) / n2
     ss2 = (

@@ -1,7 +1,7 @@
 """Joins in time and by overlap.
 
-All carry an equality key, so that Spark plans a sort-merge join with the range as a residual; a
-key with very many rows is split by adaptive execution.
+All carry an equality key.  Times meet spans by key and bin of time, next events by one sorted line of time for each
+key, so that the rows of a key are not paired with all of its candidates.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 Keys = Sequence[str]
 
 
@@ -32,7 +34,7 @@ def attach_nearest(
     holds keep nulls.
     """
     away = F.abs(F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(point_at).cast("timestamp")))
-    held = left.join(points, list(keys)).where(F.col(at).between(F.col(lo), F.col(hi)))
+    held = ranges.held_pairs(left, points, keys, at, lo, hi)
     best = first_match(held, [*keys, row], [away, F.col(point_at), F.col(tie)])
     new = [c for c in points.columns if c not in keys]
     return left.join(best.select(*keys, row, *new), [*keys, row], "left")
@@ -80,15 +82,16 @@ def next_after(
 
 def first_action(left: DataFrame, actions: DataFrame, keys: Keys, row: str, after: str, until: str, at: str, how: str) -> DataFrame:
     """left with the earliest action (time and kind) in (after, until]; ties by kind."""
-    pairs = left.select(*keys, row, after, until).join(actions.select(*keys, at, how), list(keys))
-    held = pairs.where((F.col(at) > F.col(after)) & (F.col(at) <= F.col(until)))
-    first = held.groupBy(*keys, row).agg(F.min(F.struct(at, how)).alias("_first"))
-    return left.join(first, [*keys, row], "left").withColumns({"action_at": F.col(f"_first.{at}"), "action": F.col(f"_first.{how}")}).drop("_first")
+    # the first of all after the row is the only one that can count
+    kinds = actions.groupBy(*keys, F.col(at).alias("_first")).agg(F.min(how).alias("_how"))
+    found = next_after(left, actions.select(*keys, at), keys, after, at, False, "_first").join(kinds, [*keys, "_first"], "left")
+    within = F.col("_first") <= F.col(until)
+    return found.select(*left.columns, F.when(within, F.col("_first")).alias("action_at"), F.when(within, F.col("_how")).alias("action"))
 
 
 def first_containing(left: DataFrame, spans: DataFrame, keys: Keys, row: str, at: str, lo: str, hi: str, tie: str) -> DataFrame:
     """left with the earliest span of its keys that holds its time, both ends included."""
-    held = left.join(spans, list(keys)).where(F.col(at).between(F.col(lo), F.col(hi)))
+    held = ranges.held_pairs(left, spans, keys, at, lo, hi)
     best = first_match(held, [*keys, row], [F.col(lo), F.col(tie)])
     new = [c for c in spans.columns if c not in keys]
     return left.join(best.select(*keys, row, *new), [*keys, row], "left")
@@ -130,8 +133,9 @@ def median_of_others(rows: DataFrame, key: str, value: str) -> DataFrame:
     With the values in line, leaving one out moves the middle by a place at most, so three places
     of the line answer for every row and no pairs are made.
     """
-    n = F.count("*").over(Window.partitionBy())
-    placed = rows.withColumn("_n", n).withColumn("_place", F.row_number().over(Window.orderBy(value, key)))
+    n = rows.agg(F.count("*").alias("_n"))
+    placed = ranges.running_totals(rows, [], [value, key], F.lit(1)).withColumn("_place", (F.col("before") + 1).cast("long")).drop("before")
+    placed = placed.crossJoin(F.broadcast(n))  # one row
     middle = placed.select(value, "_place", "_n").where(F.abs(F.col("_place") - (F.col("_n") + 1) / 2) <= 2)
     line = middle.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("_place").cast("long"), F.col(value)))).alias("_line"))
     rest = F.col("_n") - 1

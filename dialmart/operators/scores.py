@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 #: Weight of each dimension and the dimensions whose low score caps the total.
 Rubric = dict[str, float]
 CAP, LOW = 59.0, 2
@@ -90,12 +92,9 @@ def weakest_dimension(long: DataFrame, keys: Sequence[str], gates: Sequence[str]
 def concentration(cards: DataFrame, agent: str, failed: Column, share: float = 0.2) -> DataFrame:
     """agents, fails, focus_agents (the top share by fails) and focus_share of the fails."""
     by = cards.groupBy(agent).agg(F.sum(failed.cast("long")).alias("fails"))
-    everything = Window.partitionBy()
-    placed = by.select(
-        "fails",
-        F.row_number().over(Window.orderBy(F.desc("fails"), agent)).alias("place"),
-        F.greatest(F.lit(1), F.round(F.count("*").over(everything) * share)).cast("long").alias("k"),
-    )
+    k = by.agg(F.greatest(F.lit(1), F.round(F.count("*") * share)).cast("long").alias("k"))
+    line = ranges.running_totals(by.withColumn("_least", -F.col("fails")), [], ["_least", agent], F.lit(1))
+    placed = line.select("fails", (F.col("before") + 1).alias("place")).crossJoin(F.broadcast(k))  # one row
     return placed.agg(
         F.count("*").alias("agents"),
         F.sum("fails").alias("fails"),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 Keys = Sequence[str]
 
 
@@ -48,16 +50,8 @@ def number_groups(rows: DataFrame, key: str, at: str, name: str = "story_no") ->
     range and of the ranges before.
     """
     first = rows.groupBy(key).agg(F.min(at).alias("first_at"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = first.repartitionByRange(n, "first_at", key).withColumn("_range", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy("first_at", key))
-    sizes = dealt.groupBy("_range").count()
-    before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
-    return (
-        dealt.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_range")  # a row for each range
-        .select(key, "first_at", (F.col("_before") + F.col("_inside")).alias(name))
-    )
+    placed = ranges.running_totals(first, [], ["first_at", key], F.lit(1))
+    return placed.select(key, "first_at", (F.col("before") + 1).cast("long").alias(name))
 
 
 def changed_set(rows: DataFrame, keys: Keys, order: Keys, members: str) -> DataFrame:
@@ -179,10 +173,17 @@ def survival_median(steps: DataFrame, keys: Keys) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, keys: Keys, value: str, name: str) -> DataFrame:
-    """rows with ranks from 1 within keys, ties at their mean."""
-    by_value = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return rows.withColumn(name, F.rank().over(by_value) + (ties - 1) / 2)
+    """rows with the average rank of their value among the rows of their keys.
+
+    Equal values are counted first and only they are put in order, so that a key may hold any number of rows.
+    """
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    placed = ranges.running_totals(counts, keys, [value], F.col("_c"))
+    rank = placed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), (F.col("before") + (F.col("_c") + 1) / 2).alias(name))
+    met = F.col("_v").eqNullSafe(F.col(value))
+    for i, k in enumerate(keys):
+        met = met & F.col(f"_k{i}").eqNullSafe(F.col(k))
+    return rows.join(rank, met).drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import matching, sequences
+from ..operators import matching, ranges, sequences
 from .registry import Tables, query, r6
 
 #: Sort of an operation by what it does, strongest first.
@@ -423,12 +423,14 @@ def after_abandon(t: Tables) -> DataFrame:
     left = log.where("op = 'error'").select("account", "at")
     then = log.where(F.col("op").isin("click", "purchase")).select("account", F.col("at").alias("then_at"))
     waits = matching.next_after(left, then, ["account"], "at", "then_at", False, "next_at")
-    return waits.agg(
+    waits = waits.withColumn("hours", F.timestamp_diff("MICROSECOND", "at", "next_at") / 3.6e9)
+    counts = waits.agg(
         F.count("*").alias("abandoned"),
         F.count("next_at").alias("came_back"),
         F.count_if(F.col("next_at") <= F.col("at") + F.expr("INTERVAL 1 DAY")).alias("within_a_day"),
-        r6(F.median(F.timestamp_diff("MICROSECOND", "at", "next_at") / 3.6e9)).alias("median_hours"),
     )
+    middle = ranges.exact_quantiles(waits, [], "hours", {"median_hours": 0.5})
+    return counts.crossJoin(F.broadcast(middle)).withColumn("median_hours", r6("median_hours"))  # one row each
 
 
 SURVIVAL = f"""

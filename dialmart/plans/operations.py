@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import dialogs
+from ..operators import dialogs, ranges
 from ..sources import artifacts
 from . import dialog, journey, quality
 from .registry import Tables, query, r6
@@ -160,7 +160,9 @@ def stage_durations(t: Tables) -> DataFrame:
     """How long after the step before each kind of step ends, within a day's run."""
     before = F.lag("at").over(Window.partitionBy("account", F.to_date("at")).orderBy("at", "row_order"))
     rows = journey.activity(t).withColumn("seconds", F.timestamp_diff("MICROSECOND", before, F.col("at")) / 1e6)
-    return rows.groupBy("op").agg(F.count("seconds").alias("steps"), F.round(F.avg("seconds"), 4).alias("mean_seconds"), r6(F.median("seconds")).alias("median_seconds"))
+    by = rows.groupBy("op").agg(F.count("seconds").alias("steps"), F.round(F.avg("seconds"), 4).alias("mean_seconds"))
+    middle = ranges.exact_quantiles(rows, ["op"], "seconds", {"median_seconds": 0.5})
+    return by.join(middle, "op", "left").withColumn("median_seconds", r6("median_seconds"))
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import matching, scores, sequences
+from ..operators import matching, ranges, scores, sequences
 from .registry import Tables, query, r6
 
 RUBRIC = {"opening": 0.4, "listening": 0.3, "solution": 0.2, "closing": 0.1}
@@ -234,10 +234,10 @@ def duration_bands(t: Tables) -> DataFrame:
     """Totals by length of call, with exact quantiles."""
     s = F.col("seconds")
     bucket = F.when(s < 10, "a: under 10").when(s < 25, "b: under 25").when(s < 40, "c: under 40").otherwise("d: 40 on")
-    q = lambda p: r6(F.percentile("total", p))
-    return cards(t).groupBy(bucket.alias("bucket")).agg(
-        F.count("*").alias("n"), r6(F.avg("total")).alias("mean"), q(0.25).alias("q1"), r6(F.median("total")).alias("q2"), q(0.9).alias("p90")
-    )
+    rows = cards(t).select(bucket.alias("bucket"), "total")
+    by = rows.groupBy("bucket").agg(F.count("*").alias("n"), r6(F.avg("total")).alias("mean"))
+    found = ranges.exact_quantiles(rows, ["bucket"], "total", {"q1": 0.25, "q2": 0.5, "p90": 0.9})
+    return by.join(found, "bucket").select("bucket", "n", "mean", *[r6(c).alias(c) for c in ("q1", "q2", "p90")])
 
 
 @query(f"""
@@ -261,7 +261,7 @@ def length_drivers(t: Tables) -> DataFrame:
 def quartile_contrast(t: Tables) -> DataFrame:
     """Totals of the shortest and the longest quarter, ties included."""
     rows = cards(t)
-    q = rows.agg(F.percentile("seconds", 0.25).alias("q1"), F.percentile("seconds", 0.75).alias("q3"))
+    q = ranges.exact_quantiles(rows, [], "seconds", {"q1": 0.25, "q3": 0.75})
     both = rows.crossJoin(F.broadcast(q)).where("seconds <= q1 or seconds >= q3")  # one row
     quarter = F.when(F.col("seconds") <= F.col("q1"), "low").otherwise("high")
     return both.groupBy(quarter.alias("quarter")).agg(F.count("*").alias("n"), r6(F.avg("total")).alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -154,3 +155,37 @@ def test_folding_and_cohort(spark):
     assert got == {"x": 20, "other": 2, None: 6}
     cards = spark.createDataFrame([(1, "v1", 1), (2, "v2", 5), (3, "v2", 5), (4, "v1", 5)], "id int, v string, t int")
     assert {r.v for r in scores.newest_cohort(cards.where("id <> 4"), "v", "t", "id").collect()} == {"v2"}
+
+
+def test_order_over_ranges_with_one_hot_key(spark):
+    from dialmart.operators import ranges
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice([None, "a", "b"]), float(rng.randrange(50))) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r for r in ranges.exact_quantiles(df, ["k"], "v", {"q1": 0.25, "q2": 0.5, "p90": 0.9}).collect()}
+    for k in {k for k, _ in rows}:
+        vs = sorted(v for g, v in rows if g == k)
+        for name, p in (("q1", 0.25), ("q2", 0.5), ("p90", 0.9)):
+            at = (len(vs) - 1) * p
+            lo, hi = vs[int(at)], vs[-int(-at // 1)]
+            assert got[k][name] == pytest.approx(lo + (hi - lo) * (at - int(at)))
+    ranked = sequences.average_ranks(df, ["k"], "v", "r").collect()
+    assert len(ranked) == len(rows)
+    for r in ranked:
+        vs = [v for g, v in rows if g == r.k]
+        assert r.r == sum(v < r.v for v in vs) + (sum(v == r.v for v in vs) + 1) / 2
+
+
+def test_one_key_with_very_many_rows_and_spans(spark):
+    from dialmart.operators import matching
+
+    t = "timestamp_ntz '2026-01-01' + make_dt_interval(0, 0, {}, 0)"
+    rows = spark.range(200_000).selectExpr("'k' as k", "id", f"{t.format('cast(id * 2 as int)')} as at")
+    spans = spark.range(200_000).selectExpr("'k' as k", "id as span", f"{t.format('cast(id * 2 - 1 as int)')} as lo", f"{t.format('cast(id * 2 + 1 as int)')} as hi")
+    found = matching.first_containing(rows, spans, ["k"], "id", "at", "lo", "hi", "span")
+    assert found.where("span = id").count() == 200_000
+    acts = spans.selectExpr("k", "hi as did", "'x' as how")
+    limits = rows.selectExpr("*", "at + interval 10 minutes as until")
+    first = matching.first_action(limits, acts, ["k"], "id", "at", "until", "did", "how")
+    assert first.where("action_at = at + interval 1 minute").count() == 200_000
