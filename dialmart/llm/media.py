@@ -142,13 +142,18 @@ def cosine_hash(payload: bytes) -> str:
         small = grey[starts]
     else:
         small = np.add.reduceat(grey, starts, 0) / np.diff(np.append(starts, len(grey)))[:, None]
-    low = (_COSINES @ small @ _COSINES.T).reshape(-1)
+    # rounded, so that what is zero but for the order of sums is zero
+    low = np.round((_COSINES @ small @ _COSINES.T).reshape(-1), 6)
     bits = low > np.median(low[1:])
     return np.packbits(bits).tobytes().hex()
 
 
 def encode_media(docs: DataFrame, level: int = 6) -> DataFrame:
-    """doc_id, n_bytes and media, the PNG of each text's padded bytes; a null text is empty."""
+    """doc_id, n_bytes and media, the PNG of each text's padded bytes.
+
+    A null or empty text is 192 spaces.  Repeated rows and rows without a doc_id are rows like any other; further columns
+    are left out.  No rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

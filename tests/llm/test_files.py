@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
+import math
+import statistics
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +80,49 @@ def test_foreign_archive_by_sparks_reader(spark, tmp_path):
     assert bytes(rows[1].payload).decode() == PAGE and rows[1].url == "http://z"
 
 
+def record(kind, block, content_type, payload=None, label="sha1", block_label="md5"):
+    """A record as other writers make them, with digests of their own."""
+    digest = lambda data, how: f"{how}:" + base64.b32encode(hashlib.new(how, data).digest()).decode()
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
+    head += [f"WARC-Block-Digest: {digest(block, block_label)}"]
+    head += [f"WARC-Payload-Digest: {digest(block if payload is None else payload, label)}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_kinds_and_digests(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    parts = [
+        record("warcinfo", b"software: x\r\n", "application/warc-fields"),
+        record("resource", PAGE.encode(), "text/html", label="sha512"),
+        record("metadata", b"a: b\r\n\r\nc: d", "application/warc-fields", label="md5"),
+        record("response", http, "application/http; msgtype=response", http.split(b"\r\n\r\n", 1)[1]),
+        record("response", http, "application/http; msgtype=response", b"hello"),
+    ]
+    changed = parts[1].replace(b"<p>", b"<q>", 1)
+    bare = record("response", http, "application/http", b"other", label="sha256")
+    (tmp_path / "a.warc").write_bytes(b"".join([*parts, changed, bare]))
+    rows = warc.read_warc(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "resource", "metadata", "response", "response", None, None]
+    assert [r.gap for r in rows[5:]] == ["block digest", "payload digest"]
+    assert rows[1].payload_digest == hashlib.sha256(PAGE.encode()).hexdigest() and bytes(rows[2].payload) == b"a: b\r\n\r\nc: d"
+
+
+def test_member_of_several_records(spark, tmp_path):
+    one, two = record("resource", b"first", "text/plain"), record("resource", b"second", "text/plain")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one + b"junk" + two) + gzip.compress(two))
+    rows = warc.read_warc(spark, str(tmp_path)).orderBy("start", F.coalesce("inner", F.lit(1))).collect()
+    assert [(bytes(r.payload) if r.payload else None, r.inner) for r in rows if r.gap is None] == [(b"first", 0), (b"second", len(one) + 4), (b"second", None)]
+    gaps = [r.gap for r in rows if r.gap]
+    assert gaps == [f"version line, bytes {len(one)} to {len(one) + 4} of the member"]
+
+
+def test_junk_is_searched_once():
+    junk = (b"WARC/1.1\r\n" + b"\x1f\x8b\x08" + b"x" * 20) * 30_000
+    began = time.perf_counter()
+    got = list(warc.salvage(junk + record("resource", b"late", "text/plain")))
+    assert [g[2] is None for g in got] == [True, False] and time.perf_counter() - began < 20
+
+
 def test_token_file_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().sort_values("doc_id")
     tok, at, want = tokens.tokenizer_for(queries.VOCABULARY), 0, set()
@@ -98,6 +146,21 @@ def test_token_files_odd_rows(spark):
     assert tokenfile.read_token_files(*none).count() == 0
 
 
+def test_end_ids_beyond_two_bytes_and_other_tokenizers(spark, tmp_path):
+    df = spark.createDataFrame([(1, "A b"), (2, "")], "doc_id long, text string")
+    rows = tokenfile.read_token_files(*tokenfile.write_token_files(df, queries.VOCABULARY, 70_000)).orderBy("doc_id").collect()
+    assert [r.ids[-1] for r in rows] == [70_000, 70_000] and rows[1].n_tokens == 1
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(queries.VOCABULARY)
+    other.normalizer = normalizers.NFC()  # without lower-casing
+    path = str(tmp_path / "other.json")
+    other.save(path)
+    assert tokens.tokenizer_for(queries.VOCABULARY).known and not tokens.tokenizer_for(path).known
+    for text in ("A b", "ABC's é", ""):
+        assert tokens.tokenizer_for(path).encode(text) == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=60))
 def test_byte_coding_round_trip(values):
@@ -126,9 +189,45 @@ def test_media_query(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
-        png = media.to_png(payload)
-        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
-        assert r.feature == media.cosine_hash(payload)
+        if len(payload) < 20_000:
+            bits = f"{int(r.feature, 16):064b}"
+            assert len(r.feature) == 16 and all(b in ("?", bits[i]) for i, b in enumerate(plain_hash(payload))), d
+    stored = {r.doc_id: bytes(r.media) for r in media.store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    for d, text in zip(docs.doc_id, docs.text, strict=True):
+        png = stored[d]
+        assert (rows[d].media_bytes, rows[d].media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        if len(text) < 20_000:
+            assert plain_png(png) == text.encode() + b" " * (rows[d].payload_bytes - len(text.encode()))
+
+
+def plain_png(raw):
+    """A decoder of its own: chunks by their lengths, filters one number at a time."""
+    assert raw[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, data, header = 8, b"", None
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        kind, body = raw[at + 4 : at + 8], raw[at + 8 : at + 8 + size]
+        assert int.from_bytes(raw[at + 8 + size : at + 12 + size], "big") == zlib.crc32(raw[at + 4 : at + 8 + size])
+        header, data = (body if kind == b"IHDR" else header), data + (body if kind == b"IDAT" else b"")
+        at += 12 + size
+    assert kind == b"IEND" and header[8:] == bytes([8, 2, 0, 0, 0])
+    width = 3 * int.from_bytes(header[:4], "big")
+    flat = zlib.decompress(data)
+    return bytes(x for row in reference_unfilter([flat[i : i + width + 1] for i in range(0, len(flat), width + 1)]) for x in row)
+
+
+def plain_hash(payload):
+    """The bits of the cosine-transform hash from its definition, ? where rounding decides."""
+    grey = [[sum(payload[192 * y + 3 * x : 192 * y + 3 * x + 3]) for x in range(64)] for y in range(len(payload) // 192)]
+    grey = [[row[2 * x] + row[2 * x + 1] for x in range(32)] for row in grey]
+    n = len(grey)
+    cuts = [i * n // 32 for i in range(32)] + [n]
+    small = [[statistics.fmean(r[x] for r in grey[a : max(b, a + 1)]) for x in range(32)] for a, b in zip(cuts, cuts[1:], strict=False)]
+    wave = [[math.cos(math.pi / 32 * (i + 0.5) * k) for i in range(32)] for k in range(8)]
+    half = [[sum(w[y] * small[y][x] for y in range(32)) for x in range(32)] for w in wave]
+    low = [sum(half[k][x] * w[x] for x in range(32)) for k in range(8) for w in wave]
+    middle = statistics.median(low[1:])
+    return ["?" if abs(v - middle) < 2e-6 else "1" if v > middle else "0" for v in low]
 
 
 def test_media_odd_rows(spark):
