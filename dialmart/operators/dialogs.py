@@ -33,6 +33,56 @@ def talk_shares(segments: DataFrame, keys: Sequence[str], role: str, lo: str, hi
     )
 
 
+def is_uncertain(probabilities: Column, least: float, share: float = 0.3) -> Column:
+    """Whether more than a share of the words of a turn were heard with less than the least probability."""
+    low = F.size(F.filter(probabilities, lambda p: p < least))
+    return (F.size(probabilities) > 0) & (low / F.greatest(F.size(probabilities), F.lit(1)) > share)
+
+
+def transcript_quality(segments: DataFrame, keys: Sequence[str], logprob: str, low: float) -> DataFrame:
+    """keys, segments, mean_logprob and low_confidence_ratio (of all segments, those below low)."""
+    return segments.groupBy(*keys).agg(
+        F.count("*").alias("segments"),
+        F.round(F.avg(logprob), 4).alias("mean_logprob"),
+        F.round(F.count_if(F.col(logprob) < low) / F.count("*"), 4).alias("low_confidence_ratio"),
+    )
+
+
+def part_of(start: Column, end: Column, bounds: Column) -> tuple[Column, Column]:
+    """The number from 1 of the last part [lo, hi) that holds the start, and whether a bound but the last is passed."""
+    held = F.filter(F.transform(bounds, lambda b, i: F.when((b["lo"] <= start) & (start < b["hi"]), i + 1)), lambda i: i.isNotNull())
+    inner = F.slice(bounds, F.lit(1), F.greatest(F.size(bounds) - 1, F.lit(0)))
+    return F.try_element_at(held, F.lit(-1)), F.exists(inner, lambda b: (start < b["hi"]) & (b["hi"] < end))
+
+
+def evidence_pieces(text: Column, quotes: Column) -> Column:
+    """The text as an array of (text, dim): what a quote (quote, dim) cites has its dim, and of overlapping quotes the first counts."""
+
+    @F.pandas_udf("array<struct<text: string, dim: string>>")
+    def cut(texts, cited):
+        import pandas as pd
+
+        def one(t, quotes):
+            taken = [None] * len(t)  # the dimension and the place of the mark that holds each letter
+            for q in quotes:
+                at = t.find(q["quote"]) if q["quote"] else -1
+                while at >= 0:
+                    end = at + len(q["quote"])
+                    if not any(taken[at:end]):
+                        taken[at:end] = [(q["dim"], at)] * (end - at)
+                    at = t.find(q["quote"], at + 1)
+            out, begin = [], 0
+            for i in range(1, len(t) + 1):
+                if i == len(t) or taken[i] != taken[begin]:
+                    out.append({"text": t[begin:i], "dim": taken[begin] and taken[begin][0]})
+                    begin = i
+            return out
+
+        return pd.Series([None if t is None else one(t, q if q is not None else []) for t, q in zip(texts, cited, strict=True)])
+
+    return cut(text, quotes)
+
+
 def clock(seconds: Column) -> Column:
     """Seconds as mm:ss."""
     s = F.floor(seconds).cast("long")

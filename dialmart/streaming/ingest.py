@@ -15,26 +15,36 @@ def watch_folder(spark: SparkSession, folder: str, schema: str, file_format: str
     return spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", per_batch).load(folder)
 
 
-def upsert_by_key(stream: DataFrame, key: str, target: str, checkpoint: str, once: bool = True):
-    """Start a query that writes each batch to a folder of its own below target.
+def _newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    columns = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")).select(key, "_row.*")
+
+
+def upsert_by_key(stream: DataFrame, key: str, target: str, checkpoint: str, once: bool = True, order: str | None = None):
+    """Start a query that writes the newest row of each key of a batch, by order if given, to a folder of its own below target.
 
     A batch that is run again after a failure overwrites its own folder, so nothing is written
-    twice.  latest() reads one row for each key.
+    twice.  latest() reads one row for each key, compact() writes it in the place of all batches.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = _newest(batch, key, [order]) if order else batch
+        rows.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
-def latest(spark: SparkSession, key: str, target: str) -> DataFrame:
-    """The newest row of each key."""
+def latest(spark: SparkSession, key: str, target: str, order: str | None = None) -> DataFrame:
+    """The newest row of each key, by order if given, then by batch."""
+    rows = spark.read.parquet(target).drop("batch")
+    return _newest(rows, key, [*([order] if order else []), "_batch"]).drop("_batch")
+
+
+def compact(spark: SparkSession, key: str, target: str, new_target: str, order: str | None = None) -> None:
+    """Write one row for each key to a new target, from which batches that come later go on."""
     rows = spark.read.parquet(target).drop("batch")
-    columns = [c for c in rows.columns if c not in (key, "_batch")]
-    newest = F.max_by(F.struct(*columns), "_batch").alias("_row")
-    return rows.groupBy(key).agg(newest).select(key, "_row.*")
+    _newest(rows, key, [*([order] if order else []), "_batch"]).write.mode("overwrite").parquet(f"{new_target}/batch=-1")
 
 
 SESSION = "account long, first_at timestamp, last_at timestamp, ops long, banker string"
