@@ -156,9 +156,9 @@ def return_judgements(t: Tables) -> DataFrame:
 
 @query(f"""
     with {JUDGED}, asked as (
-        select *, objective_class = 'content' and interaction_id % 3 > 0 as known from judged
+        select j.*, objective_class = 'content' and o_totalprice < 300000 as known from judged j join orders on o_orderkey = interaction_id
     ), laid as (
-        select objective_class, case when known then case interaction_id % 3 when 1 then 'wrong_answer' else 'new_topic' end else category end as category,
+        select objective_class, case when known then case interaction_id % 2 when 1 then 'wrong_answer' else 'new_topic' end else category end as category,
             case when known then 'model' else decided_by end as decided_by from asked
     )
     select case when objective_class = 'content' and decided_by = 'none' then 'pending' else category end as shown, decided_by, count(*) as n from laid group by 1, 2
@@ -166,10 +166,9 @@ def return_judgements(t: Tables) -> DataFrame:
 def overlaid_judgements(t: Tables) -> DataFrame:
     """P11 and the overlay: a model's answers where content decides, pending where there is none yet."""
     rows = judgements(t)
-    n = F.col("interaction_id") % 3
-    answers = t.orders.select(F.col("o_custkey").alias("story"), F.col("o_orderkey").alias("interaction_id")).where(n > 0)
+    answers = t.orders.where("o_totalprice < 300000").select(F.col("o_custkey").alias("story"), F.col("o_orderkey").alias("interaction_id"))
     answers = answers.withColumns(
-        {"category": F.when(n == 1, "wrong_answer").otherwise("new_topic"), "basis": F.lit("content"), "decided_by": F.lit("model")}
+        {"category": F.when(F.col("interaction_id") % 2 == 1, "wrong_answer").otherwise("new_topic"), "basis": F.lit("content"), "decided_by": F.lit("model")}
     )
     laid = rules.overlay(rows, answers, ["story", "interaction_id"])
     shown = rules.shown_category(F.col("category"), F.col("objective_class"), F.col("decided_by"))

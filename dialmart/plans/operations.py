@@ -13,8 +13,8 @@ from .registry import Tables, query, r6
 
 
 @query("""
-    with results as (select o_orderkey as call_id, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 'failed' else 'success' end as status from orders where o_orderkey % 5 <> 0),
-    cards as (select l_orderkey as call_id, count(*) as dims, round(sum(l_quantity), 2) as points from lineitem where l_orderkey % 3 <> 0 group by 1),
+    with results as (select o_orderkey as call_id, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 'failed' else 'success' end as status from orders where o_orderstatus <> 'P'),
+    cards as (select l_orderkey as call_id, count(*) as dims, round(sum(l_quantity), 2) as points from lineitem where l_linestatus = 'F' group by 1),
     meta as (select o_orderkey as call_id, o_orderpriority as call_type from orders)
     select coalesce(r.call_id, c.call_id) as call_id, r.status, c.dims, c.points, m.call_type, coalesce(r.call_id, c.call_id) % 4 = 0 as text_shown
     from results r full join cards c on r.call_id = c.call_id left join meta m on m.call_id = coalesce(r.call_id, c.call_id)
@@ -23,8 +23,8 @@ def gated_calls(t: Tables) -> DataFrame:
     """All calls with a result or a card, what is known of them, and whether text may be shown."""
     key = F.col("o_orderkey")
     status = F.when(key % 7 == 0, None).when(key % 11 == 0, "failed").otherwise("success")
-    results = t.orders.where(key % 5 != 0).select(key.alias("call_id"), status.alias("status"))
-    cards = t.lineitem.where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("call_id")).agg(
+    results = t.orders.where("o_orderstatus <> 'P'").select(key.alias("call_id"), status.alias("status"))
+    cards = t.lineitem.where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("call_id")).agg(
         F.count("*").alias("dims"), F.round(F.sum("l_quantity"), 2).alias("points")
     )
     meta = t.orders.select(key.alias("call_id"), F.col("o_orderpriority").alias("call_type"))
@@ -33,7 +33,7 @@ def gated_calls(t: Tables) -> DataFrame:
 
 
 @query("""
-    with results as (select o_orderkey as call_id, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 'failed' else 'success' end as status from orders where o_orderkey % 5 <> 0)
+    with results as (select o_orderkey as call_id, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 'failed' else 'success' end as status from orders where o_orderstatus <> 'P')
     select l.l_suppkey as agent, count(*) as cards from lineitem l left join results r on r.call_id = l.l_orderkey
     where coalesce(r.status, 'success') = 'success' group by 1
 """)
@@ -41,7 +41,7 @@ def published_cards(t: Tables) -> DataFrame:
     """Cards of calls that ended well or have no result."""
     key = F.col("o_orderkey")
     status = F.when(key % 7 == 0, None).when(key % 11 == 0, "failed").otherwise("success")
-    results = t.orders.where(key % 5 != 0).select(key.alias("call_id"), status.alias("status"))
+    results = t.orders.where("o_orderstatus <> 'P'").select(key.alias("call_id"), status.alias("status"))
     cards = t.lineitem.select(F.col("l_orderkey").alias("call_id"), F.col("l_suppkey").alias("agent"))
     return artifacts.published(cards, results).groupBy("agent").agg(F.count("*").alias("cards"))
 
