@@ -50,8 +50,16 @@ def number_groups(rows: DataFrame, key: str, at: str, name: str = "story_no") ->
     range and of the ranges before.
     """
     first = rows.groupBy(key).agg(F.min(at).alias("first_at"))
-    placed = ranges.running_totals(first, [], ["first_at", key], F.lit(1))
-    return placed.select(key, "first_at", (F.col("before") + 1).cast("long").alias(name))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.repartitionByRange(n, "first_at", key).withColumn("_range", F.spark_partition_id())
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("first_at", key))
+    sizes = dealt.groupBy("_range").count()  # of the same exchange, which is planned once
+    before = sizes.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))
+    return (
+        dealt.withColumn("_inside", inside)
+        .join(F.broadcast(before), "_range")  # a row for each range
+        .select(key, "first_at", (F.col("_before") + F.col("_inside")).alias(name))
+    )
 
 
 def changed_set(rows: DataFrame, keys: Keys, order: Keys, members: str) -> DataFrame:
