@@ -24,6 +24,8 @@ from .components import connected_components
 
 #: Vectors of a list, or visitors of it, in one block.
 BLOCK = 4_096
+#: Lists whose sizes, a row each, are sent to all tasks; those of more lists are joined.
+FEW_LISTS = 1 << 16
 #: Pairs whose cosine is taken at once.
 PAIRS = 1 << 18
 
@@ -166,7 +168,7 @@ def _assign(reps: DataFrame, index: Index, s: Settings) -> DataFrame:
     return reps.select("id", "n", "embedding").mapInArrow(run, schema)
 
 
-def _meet(assigned: DataFrame) -> DataFrame:
+def _meet(assigned: DataFrame, n_lists: int) -> DataFrame:
     """Members (role 0) and visitors (role 1) of each list, dealt into pairs of blocks."""
     visits = assigned.select("home", F.explode("probes").alias("list"))
     sizes = visits.groupBy("list").agg(F.sum((F.col("home") == F.col("list")).cast("long")).alias("m"), F.count("*").alias("v"))
@@ -175,7 +177,7 @@ def _meet(assigned: DataFrame) -> DataFrame:
         F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"),
         F.ceil(F.col("v") / BLOCK).cast("int").alias("vb"),
     )
-    rows = assigned.withColumn("list", F.explode("probes")).join(lists, "list")
+    rows = assigned.withColumn("list", F.explode("probes")).join(F.broadcast(lists) if n_lists <= FEW_LISTS else lists, "list")
     spread = F.xxhash64("id")
     members = (
         rows.where("home = list")
@@ -346,6 +348,6 @@ def _links(reps: DataFrame, n: int, s: Settings) -> DataFrame:
     index = _fit(_units(sample.toArrow()["embedding"].combine_chunks()), n, s)
     assigned = materialize(_assign(reps, index, s), "codes")
     known = spark.sparkContext.broadcast(index)
-    met = _meet(assigned).repartition(n_partitions(spark), "list", "a", "b").sortWithinPartitions("list", "a", "b", "role")
+    met = _meet(assigned, len(index.lists) * len(index.parts)).repartition(n_partitions(spark), "list", "a", "b").sortWithinPartitions("list", "a", "b", "role")
     found = met.mapInArrow(_compare(lambda: known.value, s.threshold), "u long, v long, is_count boolean")
     return materialize(found, "links")
