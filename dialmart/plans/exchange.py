@@ -156,7 +156,7 @@ def recorded_history(t: Tables) -> DataFrame:
     for batch, part in (("a", "month <= 6"), ("b", "month > 6"), ("b", "month > 6")):
         artifacts.append_history(figures.where(part), folder, batch)
     got = t.spark.read.schema("month int, calls long, total double").json(folder)
-    return got.select(F.col("month").alias("batch"), "calls", F.round("total", 2).alias("total"))
+    return got.select(F.col("month").cast("long").alias("batch"), "calls", F.round("total", 2).alias("total"))
 
 
 @query(f"""
