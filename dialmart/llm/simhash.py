@@ -39,7 +39,7 @@ def _majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fingerprint (a long of 64 bits) of each row.
+    """The columns of docs before text (doc_id, or others too) and fingerprint (a long of 64 bits) of each row.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; shingles of so many words,
     joined by a space, count each time they occur.  A text with fewer words is one shingle, a null
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                 hashes.clear()
                 rows.clear()
 
-            texts = pc.cast(batch.column(1), pa.large_binary())
+            texts = pc.cast(batch.column(batch.num_columns - 1), pa.large_binary())
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
                 w = text.lower().split() if text else ()
@@ -78,12 +78,11 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
                     flush()
                     held = 0
             flush()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*keys, "fingerprint"])
 
-    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return cols.mapInArrow(run, "doc_id long, fingerprint long")
+    keys = [c for c in ("doc_id", "text_key") if c in docs.columns]
+    cols = docs.select(*[F.col(c).cast("long") for c in keys], F.col("text").cast("string"))
+    return cols.mapInArrow(run, ", ".join(f"{c} long" for c in [*keys, "fingerprint"]))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -197,39 +196,57 @@ def near_links(prints: DataFrame, radius: int = 3, blocks: int | None = None) ->
     return dealt.mapInArrow(_place_links(radius), "u long, v long")
 
 
+def _components(docs: DataFrame, words: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, text_key and fingerprint, and for each fingerprint its group and, of its rows that have an id, the first (id, text_key).
+
+    Fingerprints, not doc_ids, are what links join, so unlike texts that share a doc_id stay apart.
+    """
+    rows = keyed_rows(docs)
+    prints = materialize(fingerprints(rows, words, seed), "simhash")
+    same = prints.groupBy("fingerprint").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first"))
+    same = materialize(same, "fingerprints")
+    found = connected_components(near_links(same.where("first is not null").select(F.col("fingerprint").alias("id"), "fingerprint"), radius))
+    groups = same.join(found, F.col("fingerprint") == F.col("node"), "left")
+    return prints, groups.select("fingerprint", F.coalesce("component", "fingerprint").alias("group"), "first")
+
+
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (long) and component_id, the smallest doc_id that links reach.
 
     Links join fingerprints at radius or fewer differing bits; blank texts all have fingerprint 0
     and are linked like any other.  Rows without a doc_id keep their fingerprint and get a null
-    component unless a document with an id shares it.  No rows give no rows.
+    component unless a document with an id shares it.  Unlike texts that share a doc_id are
+    documents of their own.  No rows give no rows.
     """
-    prints = materialize(fingerprints(docs, words, seed), "simhash")
-    same = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("id")), "fingerprints")
-    found = connected_components(near_links(same.where("id is not null"), radius))
-    roots = same.join(found, same["id"] == found["node"], "left").select(
-        F.col("fingerprint").alias("_f"), F.coalesce("component", "id").alias("component_id")
-    )
-    return prints.join(roots, prints["fingerprint"] == roots["_f"]).drop("_f")
+    prints, groups = _components(docs, words, radius, seed)
+    groups = materialize(groups, "groups")
+    least = groups.groupBy("group").agg(F.min("first.doc_id").alias("component_id"))
+    roots = groups.join(least, "group").select(F.col("fingerprint").alias("_f"), "component_id")
+    return prints.join(roots, prints["fingerprint"] == roots["_f"]).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, kept: DataFrame, how: str) -> DataFrame:
-    """Rows of docs without a doc_id, and one row of each doc_id that a join with kept (node) leaves.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (a hash of the text, null as empty) and text: together what tells documents apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text"))
 
-    Of rows that share a doc_id the smallest text stays.
-    """
-    rows = docs.select(carried(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = rows.where("id is not null").join(kept, F.col("id") == F.col("node"), how)
-    one = named.groupBy("id").agg(F.min_by("row", "text").alias("row")).select("row")
-    return returned(one.unionAll(rows.where("id is null").select("row")), docs.columns)
+
+def only_these(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs without a doc_id, and one row of each (doc_id, text_key) in kept, with all their columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(carried(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    named = rows.where("doc_id is not null").join(kept.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi")
+    one = named.groupBy("doc_id", "text_key").agg(F.first("row").alias("row")).select("row")
+    return returned(one.unionAll(rows.where("doc_id is null").select("row")), docs.columns)
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """docs without near-duplicates: of each component only the document with its smallest doc_id.
+    """docs without near-duplicates: of each component only one document, of those with its smallest doc_id.
 
-    Null and empty texts have fingerprint 0 and are alike.  Rows that repeat that doc_id are copies
-    too, and one of them stays (the smallest text).  Rows without a doc_id can't be told apart and
-    stay as they are.  All columns go through, whatever they are called.  No rows give no rows.
+    Null and empty texts have fingerprint 0 and are alike.  Rows that repeat a doc_id and are alike are
+    copies too; unlike texts that share a doc_id are documents of their own.  Rows without a doc_id
+    can't be told apart and stay as they are.  All columns go through, whatever they are called.  No
+    rows give no rows.
     """
-    found = simhash_components(docs, words, radius, seed).where("doc_id = component_id")
-    return one_of_each(docs, found.select(F.col("doc_id").alias("node")).distinct(), "left_semi")
+    _, groups = _components(docs, words, radius, seed)
+    return only_these(docs, groups.groupBy("group").agg(F.min("first").alias("first")).where("first is not null").select("first.*"))

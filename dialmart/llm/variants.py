@@ -131,7 +131,7 @@ def _near(a: Table, i: np.ndarray, b: Table, j: np.ndarray) -> np.ndarray:
         out[k] = is_near(a.words[i[k]], b.words[j[k]])
     k = np.flatnonzero((np.maximum(size, other) <= WIDE) & (abs(size - other) <= 1))
     if len(k):
-        width = int(np.maximum(size, other)[k].max())
+        width = max(1, int(np.maximum(size, other)[k].max()))
         differs = a.left[i[k], :width] != b.left[j[k], :width]
         same = ~differs.any(1)
         prefix = np.where(same, width, differs.argmax(1))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dialmart.llm import lines, media, mixing, packing, queries, repeats, similar, simhash, tokenfile, toxicity, vectors, warc
+from dialmart.llm import fertility, lines, media, merkle, mixing, packing, queries, repeats, similar, simhash, tokenfile, toxicity, variants, vectors, warc
 from dialmart.llm.common import named
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -56,6 +56,7 @@ CARRY = {
     "drop_repeated_lines": (lambda d, m: lines.drop_repeated_lines(d, 2, 50), set()),
     "simhash_keep_one": (lambda d, m: simhash.keep_one(d), set()),
     "similar_keep_one": (lambda d, m: similar.keep_one(d), set()),
+    "keep_good": (lambda d, m: fertility.keep_good(d.withColumn("text", F.concat("text", F.lit(" " + " ".join(f"kept{i}" for i in range(60))))), queries.RANKS, queries.PIECES), {"text"}),
 }
 #: Operators that give rows of their own.
 OWN = {
@@ -65,6 +66,9 @@ OWN = {
     "media": lambda d, m: media.media_features(media.store_media(d)),
     "token_files": lambda d, m: tokenfile.read_token_files(*tokenfile.write_token_files(d, queries.VOCABULARY, 2, 1000)),
     "simhash": lambda d, m: simhash.simhash_components(d),
+    "quality": lambda d, m: fertility.quality(d, queries.RANKS, queries.PIECES),
+    "manifest": lambda d, m: merkle.manifest(d, ["doc_id", "source", "lang", "n_chars", "text"]).proofs(),
+    "variants": lambda d, m: variants.variants(d, 2, 1),
 }
 
 
@@ -111,6 +115,19 @@ def test_pages_and_vectors_with_clashing_columns(spark):
     assert toxicity.scored(clashing(docs), clashing(labels)).count() == 3
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    """A copy goes where its text is alike, whatever doc_id the other rows share."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "s", 1), (1, a, "en", "s", 1), (4, a + " iota", "en", "s", 1)]
+    df = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    assert sorted((r.doc_id, r.text) for r in stage(spark, df, "").collect()) == [(1, a), (1, b)]
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect()) == [(1, a), (1, b), (4, a + " iota")]
+    # both texts of id 1 reach 0 through other rows, but not each other
+    far = spark.createDataFrame([(1, a), (1, b), (0, a), (2, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.simhash_components(far).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages(spark, sf_dir, odd, name):
     stage = dict(corpus_pipeline.STAGES)[name]
@@ -132,4 +149,7 @@ def test_stages(spark, sf_dir, odd, name):
     if name == "simhash_near_dedup":
         assert sorted(i for i in ids if i is not None) == [1, 2, 6, 7] and ids.count(None) == 2
     if name == "mix_sources":
-        assert set(ids) <= {r[0] for r in ODD}
+        # 30,000 of all words are in one document, so its source's target is near all of them and it comes once at least
+        size = {r[0]: len((r[1] or "").split()) for r in ODD}
+        assert set(ids) <= {r[0] for r in ODD} and 1 <= ids.count(6) <= 3
+        assert abs(sum(size[i] for i in ids) - sum(len((r[1] or "").split()) for r in ODD)) <= 30_000
