@@ -1,4 +1,4 @@
-"""Dialog assembly: stereo merge, roles, numbered views, redaction across turns, and media kernels."""
+"""Dialog assembly: stereo merge, roles and numbered views."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
-
-from ..functions.text import SHAPES
 
 
 def merge_channels(agent: DataFrame, customer: DataFrame, keys: Sequence[str], lo: str, hi: str) -> DataFrame:
@@ -145,47 +142,3 @@ def first_direction(contacts: DataFrame, messages: DataFrame, key: str, at: str,
     """contacts whose unknown direction is that of their first message."""
     first = messages.where(F.col(direction).isNotNull()).groupBy(key).agg(F.min_by(direction, at).alias("_d"))
     return contacts.join(first, key, "left").withColumn(direction, F.coalesce(direction, "_d")).drop("_d")
-
-
-def merge_judgements(rows: DataFrame, keys: Sequence[str], dim: str, score: str) -> DataFrame:
-    """keys, dim and the lower median of several judgements' scores."""
-    sorted_ = F.array_sort(F.collect_list(score))
-    return rows.where(F.col(score).isNotNull()).groupBy(*keys, dim).agg(
-        F.element_at(sorted_, F.floor((F.size(sorted_) + 1) / 2).cast("int")).alias(score)
-    )
-
-
-def redact_turns(turns: DataFrame, keys: Sequence[str], order: str, text: str, names: Sequence[str] = ()) -> DataFrame:
-    """turns with masked text, also where a long number goes on in the next turn; names are masked as words.
-
-    A call's turns are one group: a call is bounded, and its turns have to be read together.
-    """
-    import pandas as pd
-
-    schema = StructType([*turns.schema.fields, StructField("masked", StringType())])
-    shapes, known = dict(SHAPES), list(names)
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        group = group.sort_values(order)
-        texts = [t or "" for t in group[text]]
-        out = []
-        for i, t in enumerate(texts):
-            masked = t
-            before = re.search(r"([0-9][0-9 -]*)$", texts[i - 1]) if i else None
-            after = re.match(r"([0-9 -]*[0-9])", texts[i + 1]) if i + 1 < len(texts) else None
-            size = lambda m: len(re.sub("[^0-9]", "", m[1])) if m else 0
-            head, tail = re.match(r"([0-9 -]*[0-9])", t), re.search(r"([0-9][0-9 -]*)$", t)
-            if head and before and size(head) + size(before) >= 7:
-                masked = "<LONG_NUMBER>" + masked[head.end() :]
-            if tail and after and size(tail) + size(after) >= 7:
-                masked = re.sub(r"[0-9][0-9 -]*$", "<LONG_NUMBER>", masked)
-            for name, shape in shapes.items():
-                masked = re.sub(shape, f"<{name}>", masked)
-            for n in known:
-                masked = re.sub(rf"\b{re.escape(n)}\b", "<NAME>", masked, flags=re.IGNORECASE)
-            out.append(masked)
-        return group.assign(masked=out)
-
-    return turns.groupBy(*keys).applyInPandas(one, schema)

@@ -74,7 +74,7 @@ def messages(t: Tables) -> DataFrame:
 """)
 def redacted_messages(t: Tables) -> DataFrame:
     """Messages with ids, phones, accounts, addresses, birth dates and dictated numbers masked; prices stay."""
-    return messages(t).select("o_orderkey", redaction.redacted(F.col("text")).getField("masked").alias("masked"))
+    return messages(t).select("o_orderkey", redaction.redacted(F.col("text")).alias("masked"))
 
 
 @query(f"""
@@ -82,8 +82,8 @@ def redacted_messages(t: Tables) -> DataFrame:
 """)
 def redaction_totals(t: Tables) -> DataFrame:
     """A29 and the merge of counts: masks of each kind over all messages."""
-    counts = messages(t).select(F.explode(redaction.redacted(F.col("text")).getField("counts")).alias("kind", "n"))
-    return counts.groupBy("kind").agg(F.sum("n").alias("n"))
+    counts = messages(t).select(F.explode(redaction.spans(F.col("text"))).alias("span"))
+    return counts.groupBy(F.col("span.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -107,7 +107,7 @@ def safe_errors(t: Tables) -> DataFrame:
 def redaction_scores(t: Tables) -> DataFrame:
     """How much of what was said is found, and how much of what is found was said (a number read back in part is not)."""
     wanted = F.when(F.col("said").isNotNull(), F.array("said")).otherwise(F.array().cast("array<string>"))
-    rows = messages(t).select((F.col("o_orderkey") % 5).alias("part"), redaction.redaction_counts(F.col("text"), wanted).alias("c"))
+    rows = messages(t).select((F.col("o_orderkey") % 5).alias("part"), redaction.detection_counts(redaction.spans(F.col("text")), redaction.places(F.col("text"), wanted)).alias("c"))
     total = {c: F.sum(f"c.{c}") for c in ("gold", "detected", "recalled", "precise")}
     share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(1.0), 4)
     return rows.groupBy("part").agg(
@@ -118,17 +118,59 @@ def redaction_scores(t: Tables) -> DataFrame:
     )
 
 
+#: Runs of digits in DuckDB, the pattern of RUN in text that holds no Hebrew and no invisible signs.
+_DUCK_RUN = r"[0-9](?:[\s,\-./‐‑‒–—]{0,3}[0-9])*"
+_DUCK_MAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+#: d: the digits of a run.  National ids and cards add up to tens with every second digit doubled and cast out by nines.
+_DUCK_ID = "length(d) in (8, 9) and list_sum([case when i % 2 = 1 then cast(lpad(d, 9, '0')[i] as int) else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(lpad(d, 9, '0')[i] as int) + 1] end for i in range(1, 10)]) % 10 = 0"
+_DUCK_CARD = "length(d) between 13 and 19 and list_sum([case when i % 2 = 1 then cast(reverse(d)[i] as int) else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][cast(reverse(d)[i] as int) + 1] end for i in range(1, length(d) + 1)]) % 10 = 0"
+_DUCK_PHONE = "regexp_matches(regexp_replace(d, '^9720*', '0'), '^(0[57][0-9]{8}|0[234689][0-9]{7})$')"
+
+
+@query(f"""
+    with cut as (
+        select doc_id, text, string_split_regex(coalesce(text, ''), '{_DUCK_MAIL}') as gaps, regexp_extract_all(coalesce(text, ''), '{_DUCK_MAIL}') as mails from documents
+    ), parts as (  -- what stands between two addresses holds no part of one
+        select doc_id, unnest(range(1, len(gaps) + 1)) as part, unnest(gaps) as gap, len(mails) as n_mails from cut
+    ), runs as (
+        select doc_id, part, unnest(regexp_extract_all(gap, '{_DUCK_RUN}')) as run, unnest(string_split_regex(gap, '{_DUCK_RUN}')[:-2]) as before from parts
+    ), kinds as (
+        select doc_id, regexp_replace(run, '[^0-9]', '', 'g') as d, before, run, regexp_matches(run, '[0-9][^0-9./‐‑‒–—-]+[0-9]') as loose from runs
+    ), found as (
+        select doc_id, case when ends_with(before, '*') and regexp_matches(run, '^[0-9]{{3,5}}([^0-9]|$)') then 'PHONE' when length(d) < 4 then null
+            when {_DUCK_PHONE} then 'PHONE' when {_DUCK_ID} then 'ISRAELI_ID' when {_DUCK_CARD} then 'CREDIT_CARD' when length(d) >= 6 and not loose then 'ACCOUNT_LIKE' end as kind, d, before, run
+        from kinds
+    ), whole as (
+        select doc_id, list(d) as ds from found where kind is not null and not ends_with(before, '*') and length(d) >= 6 group by 1
+    ), marked as (
+        select f.doc_id, coalesce(kind, case when length(d) in (4, 5) and len(list_filter(coalesce(ds, []), lambda x: ends_with(x, d))) > 0 then 'ACCOUNT_LIKE' end) as kind
+        from found f left join whole using (doc_id)
+    ), counted as (
+        select doc_id, count(*) filter (kind = 'PHONE') as phones, count(*) filter (kind = 'ISRAELI_ID') as ids, count(*) filter (kind = 'CREDIT_CARD') as cards,
+            count(*) filter (kind = 'ACCOUNT_LIKE') as accounts from marked group by 1
+    )
+    select doc_id, len(mails) as emails, coalesce(phones, 0) as phones, coalesce(ids, 0) as ids, coalesce(cards, 0) as cards, coalesce(accounts, 0) as accounts
+    from cut left join counted using (doc_id)
+""")
+def personal_data_in_documents(t: Tables) -> DataFrame:
+    """Personal data of each kind in every document."""
+    found = t.documents.select("doc_id", F.coalesce(redaction.spans(F.col("text")), F.array()).alias("found"))
+    n = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", n("EMAIL").alias("emails"), n("PHONE").alias("phones"), n("ISRAELI_ID").alias("ids"), n("CREDIT_CARD").alias("cards"), n("ACCOUNT_LIKE").alias("accounts"))
+
+
 @query(f"""
-    with n as (
-        select conv_id, turn, regexp_replace(text, '[0-9]', '', 'g') as text, cast(10000 + conv_id % 90000 as varchar) as five from conversations
-    ), t as (select *, max(turn) over (partition by conv_id) as last_turn from n)
-    select conv_id, md5(string_agg(case turn when 0 then 'first ' || case when last_turn > 0 then '{_MASK["ACCOUNT_LIKE"]}' else '77-' || five end
-        when 1 then '{_MASK["ACCOUNT_LIKE"]}' || ' and on' else '' end, '|' order by turn)) as masked_md5 from t group by 1
+    with t as (
+        select conv_id, turn, text, cast(10000 + conv_id % 90000 as varchar) as five, max(turn) over (partition by conv_id) as last_turn from conversations
+    )
+    select conv_id, md5(string_agg(text || case turn when 0 then ' first ' || case when last_turn > 0 then '{_MASK["ACCOUNT_LIKE"]}' else '77-' || five end else '' end, '|' order by turn)
+        ) as masked_md5 from (select conv_id, turn, case when turn = 1 then '{_MASK["ACCOUNT_LIKE"]} and on ' || text else text end as text, five, last_turn from t) group by 1
 """)
 def redacted_calls(t: Tables) -> DataFrame:
-    """Calls read as one text, so that a number that two turns share is masked in both."""
+    """Calls read as one text, so that a number that two turns share is masked in both; the turns' own texts stay."""
     five = (10000 + F.col("conv_id") % 90000).cast("string")
-    said = F.when(F.col("turn") == 0, F.concat(F.lit("first 77-"), five)).when(F.col("turn") == 1, F.concat(F.lit("-"), five, F.lit(" and on"))).otherwise("")
+    said = F.when(F.col("turn") == 0, F.concat("text", F.lit(" first 77-"), five)).when(F.col("turn") == 1, F.concat(F.lit("-"), five, F.lit(" and on "), "text")).otherwise(F.col("text"))
     calls = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("turns"))
-    masked = redaction.redacted_turns(F.transform("turns", lambda x: x["said"])).getField("masked")
+    calls = calls.select("conv_id", F.transform("turns", lambda x: x["said"]).alias("turns"))
+    masked = redaction.masked_turns(F.col("turns"), redaction.spans(F.array_join("turns", "\n")))
     return calls.select("conv_id", F.md5(F.encode(F.array_join(masked, "|"), "UTF-8")).alias("masked_md5"))

@@ -38,14 +38,6 @@ def test_ids_directions_and_judgements(spark):
     contacts = spark.createDataFrame([("k", None), ("m", "O")], "id string, d string")
     messages = spark.createDataFrame([("k", 2, "O"), ("k", 1, "I"), ("m", 1, "I")], "id string, at int, d string")
     assert sorted((r.id, r.d) for r in dialogs.first_direction(contacts, messages, "id", "at", "d").collect()) == [("k", "I"), ("m", "O")]
-    scores = spark.createDataFrame([(1, "x", s) for s in (5, 2, 4, 3)], "c int, dim string, score int")
-    assert dialogs.merge_judgements(scores, ["c"], "dim", "score").first().score == 3
-
-
-def test_redaction_over_turns(spark):
-    df = turns(spark, [("a", "my number is 052 123", 0.0, 0.0), ("b", "45 67 ok dana", 0.0, 0.0), ("a", "write a@b.com in 2024", 0.0, 0.0)])
-    got = dialogs.redact_turns(df, ["call"], "n", "text", ["Dana"]).orderBy("n").collect()
-    assert [r.masked for r in got] == ["my number is <LONG_NUMBER>", "<LONG_NUMBER> ok <NAME>", "write <EMAIL> in 2024"]
 
 
 def test_spans_frames_and_gates(spark):
