@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,36 +262,58 @@ def macro_f1(pairs: DataFrame, truth: str, given: str) -> DataFrame:
     return by_truth.join(by_given, "label", "full").agg(F.avg(f1).alias("macro_f1"))
 
 
-def cluster_share(clusters: DataFrame, key: str, k: str, n: str, reps: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """share, clusters, low and high of a share whose cases come in clusters.
+#: A prime just below 2^31: draws are of whole numbers below it, so that any engine can make them.
+DRAWS = 2_147_483_647
 
-    The interval is a bootstrap by clusters: every cluster counts a Poisson number of times in each
-    repetition, drawn from its own hash, so the resample is two sums a repetition and needs neither
-    all clusters in one place nor an order.  key tells the clusters apart, so that equal ones draw on their own.
-    Fewer than five clusters have no interval.
-    """
-    row = F.xxhash64(key, F.lit(seed))
+
+def poisson_steps(most: int = 12) -> list[float]:
+    """The probabilities that a Poisson number of mean one is at most 0, 1, ..."""
     steps, p, total = [], math.exp(-1.0), 0.0
-    for i in range(12):
+    for i in range(most):
         total += p
         steps.append(total)
         p /= i + 1
+    return steps
 
-    def times(rep: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.col("_row"), rep), F.lit(1 << 52)) / float(1 << 52)
-        return sum((u > s).cast("int") for s in steps)
-
-    drawn = clusters.withColumn("_row", row).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    drawn = drawn.withColumn("_times", times(F.col("_rep")))
-    shares = (
-        drawn.groupBy("_rep")
-        .agg(F.sum(F.col(k) * F.col("_times")).alias("k"), F.sum(F.col(n) * F.col("_times")).alias("n"))
-        .where("n > 0")
-        .agg(F.percentile(F.col("k") / F.col("n"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("ends"))
-    )
+
+def resampled_sums(clusters: DataFrame, key: str, values: Sequence[str], reps: int, seed: int = 7) -> DataFrame:
+    """rep (from 1) and the sum of each of the values in that repetition of a bootstrap by clusters.
+
+    Every cluster counts a Poisson number of times in each repetition, drawn from a hash of its key, so a resample needs
+    neither all clusters in one place nor an order.  A task adds up all repetitions of its clusters as arrays and passes one row on.
+    key tells the clusters apart, so that equal ones draw on their own.
+    """
+    steps = np.array(poisson_steps())
+    rep = np.arange(1, reps + 1, dtype=np.int64)
+
+    def run(batches):
+        total = np.zeros((len(values), reps))
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
+            for at in range(0, len(own), 1024):
+                x = (own[at : at + 1024, None] * 48271 + rep * 69621 + seed) % DRAWS
+                x = (x * x + 16807 * rep) % DRAWS
+                x = (x * 48271 + own[at : at + 1024, None]) % DRAWS
+                times = (x[:, :, None] / DRAWS > steps).sum(2)
+                total += rows[:, at : at + 1024] @ times
+        yield pa.RecordBatch.from_arrays([pa.array([t.tolist()], pa.list_(pa.float64())) for t in total], [f"s{i}" for i in range(len(values))])
+
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long")
+    parts = clusters.select(number.alias("_key"), *[F.col(v).cast("double") for v in values])
+    sums = parts.mapInArrow(run, ", ".join(f"s{i} array<double>" for i in range(len(values))))
+    each = sums.select(F.posexplode(F.arrays_zip(*sums.columns)).alias("pos", "s"))
+    return each.groupBy((F.col("pos") + 1).alias("rep")).agg(*[F.sum(f"s.s{i}").alias(v) for i, v in enumerate(values)])
+
+
+def cluster_share(clusters: DataFrame, key: str, k: str, n: str, reps: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """share, clusters, low and high of a share whose cases come in clusters; fewer than five clusters have no interval."""
+    sums = resampled_sums(clusters, key, [k, n], reps, seed)
+    ends = F.percentile(F.col(k) / F.col(n), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    shares = sums.where(F.col(n) > 0).agg(ends.alias("ends"))
     point = clusters.agg((F.sum(k) / F.sum(n)).alias("share"), F.count("*").alias("clusters"))
     ok = F.col("clusters") >= 5
-    return point.crossJoin(shares).select(
+    return point.crossJoin(F.broadcast(shares)).select(  # one row each
         "share", "clusters", F.when(ok, F.col("ends")[0]).alias("low"), F.when(ok, F.col("ends")[1]).alias("high")
     )
 
@@ -375,37 +397,6 @@ def span_scores(gold: DataFrame, found: DataFrame, keys: Sequence[str], lo: str,
     )
 
 
-def frame_errors(reference: DataFrame, given: DataFrame, keys: Sequence[str], lo: str, hi: str, speaker: str, frame: float = 0.01) -> DataFrame:
-    """keys, speech, missed, false_alarm and confused frames, under the best pairing of two speakers.
-
-    Times are cut into frames; of the pairings of the given speakers with the reference's, the one
-    with most shared frames counts.
-    """
-    def frames(df: DataFrame, name: str) -> DataFrame:
-        first, last = F.round(F.col(lo) / frame).cast("long"), F.round(F.col(hi) / frame).cast("long") - 1
-        cut = df.where(last >= first).select(*keys, F.explode(F.sequence(first, last)).alias("_f"), F.col(speaker).alias("_s"))
-        return cut.groupBy(*keys, "_f").agg(F.min("_s").alias(name))
-
-    both = frames(reference, "ref").join(frames(given, "hyp"), [*keys, "_f"], "full")
-    counts = both.groupBy(*keys, "ref", "hyp").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    shared = counts.where("ref is not null and hyp is not null")
-    # of two speakers a side, straight or crossed: the larger sum of shared frames
-    first_r, first_h = F.min("ref").over(w), F.min("hyp").over(w)
-    straight = F.when((F.col("ref") == first_r) == (F.col("hyp") == first_h), F.col("n")).otherwise(0)
-    best = shared.select(*keys, "n", straight.alias("_straight")).groupBy(*keys).agg(
-        F.greatest(F.sum("_straight"), F.sum("n") - F.sum("_straight")).alias("right"), F.sum("n").alias("both")
-    )
-    total = counts.groupBy(*keys).agg(
-        F.sum(F.when(F.col("ref").isNotNull(), F.col("n")).otherwise(0)).alias("speech"),
-        F.sum(F.when(F.col("hyp").isNull(), F.col("n")).otherwise(0)).alias("missed"),
-        F.sum(F.when(F.col("ref").isNull(), F.col("n")).otherwise(0)).alias("false_alarm"),
-    )
-    return total.join(best, list(keys), "left").select(
-        *keys, "speech", "missed", "false_alarm", (F.coalesce("both", F.lit(0)) - F.coalesce("right", F.lit(0))).alias("confused")
-    )
-
-
 def regression_gates(now: DataFrame, base: DataFrame, key: str, value: str, tolerance: float = 0.02) -> DataFrame:
     """key, both values and worse: below the baseline by more than the tolerance, or missing now."""
     b = base.select(key, F.col(value).alias("baseline"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import re
 from collections.abc import Sequence
@@ -151,45 +150,6 @@ def fenced_json(answer: Column) -> Column:
     return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
-_SPACES = re.compile(r"\s+")
-
-
-def _folded(text: str) -> str:
-    return _SPACES.sub(" ", re.sub(r"[^\w\s]", " ", text.lower())).strip()
-
-
-def verify_quote(text: Column, quote: Column, least: float = 0.9) -> Column:
-    """Whether the quote stands in the text, letter by letter or nearly so.
-
-    Near quotes need a similarity of `least`, the same digits and the same negations.
-    """
-
-    @F.pandas_udf("boolean")
-    def check(texts, quotes):
-        import pandas as pd
-
-        out = []
-        for t, q in zip(texts, quotes, strict=True):
-            a, b = _folded(t or "").split(), _folded(q or "").split()
-            if not b:
-                out.append(False)
-                continue
-            keep = lambda ws: [w for w in ws if any(c.isdigit() for c in w) or w in ("not", "no", "never", "without")]
-            joined = " ".join(b)
-            ok = f" {joined} " in f" {' '.join(a)} "
-            for i in range(0, 0 if ok else len(a) - len(b) + 1):
-                part = a[i : i + len(b)]
-                if keep(part) == keep(b):
-                    m = difflib.SequenceMatcher(None, " ".join(part), joined, autojunk=False)
-                    if m.quick_ratio() >= least and m.ratio() >= least:
-                        ok = True
-                        break
-            out.append(ok)
-        return pd.Series(out, dtype=bool)
-
-    return check(text, quote)
-
-
 def content_hash(parts: Column) -> Column:
     """SHA-256 of the sorted strings of an array, a line each."""
     return F.sha2(F.array_join(F.array_sort(parts), "\n"), 256)

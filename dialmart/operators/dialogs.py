@@ -106,32 +106,6 @@ def transcript(turns: DataFrame, keys: Sequence[str], order: str, role: str, tex
     return rows.groupBy(*keys).agg(F.transform(parts, lambda p: p["_line"]).alias("lines"), F.max("_all").alias("n_lines"))
 
 
-def infer_roles(segments: DataFrame, keys: Sequence[str], speaker: str, lo: str, hi: str, text: str, signals: dict[str, tuple[str, float]]) -> DataFrame:
-    """keys, the speaker who is the agent, and a confidence from 0 to 1.
-
-    signals names patterns with weights, positive for agents; speaking first and most count as well.
-    """
-    hits = [F.sum(F.regexp_count(F.lower(text), F.lit(p))).cast("double") * w for p, w in signals.values()]
-    by = segments.groupBy(*keys, speaker).agg(
-        F.sum(F.col(hi) - F.col(lo)).alias("_spoken"), F.min(lo).alias("_first"), sum(hits, F.lit(0.0)).alias("_cues")
-    )
-    w = Window.partitionBy(*keys)
-    points = (
-        F.col("_cues")
-        + F.when(F.col("_first") == F.min("_first").over(w), 1.5).otherwise(0.0)
-        + F.when(F.col("_spoken") == F.max("_spoken").over(w), 1.0).otherwise(0.0)
-    )
-    scored = by.withColumn("_points", points)
-    gap = F.abs(F.max("_points").over(w) - F.min("_points").over(w))
-    most = sum(abs(x) for _, x in signals.values()) + 2.5
-    order = w.orderBy(F.desc("_points"), "_first", speaker)
-    return (
-        scored.withColumns({"_n": F.row_number().over(order), "confidence": F.least(gap / most, F.lit(1.0))})
-        .where("_n = 1")
-        .select(*keys, F.col(speaker).alias("agent"), "confidence")
-    )
-
-
 def unique_ids(rows: DataFrame, base: str, order: str, name: str = "unique_id") -> DataFrame:
     """rows with ids of which the second and later uses carry -2, -3, ... by order."""
     n = F.row_number().over(Window.partitionBy(base).orderBy(order))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..operators import dialogs, ranges
+from ..operators import dialogs, diarization, ranges, roles
 from ..sources import artifacts
 from . import dialog, journey, quality
 from .registry import Tables, query, r6
@@ -136,19 +136,161 @@ def transcript_views(t: Tables) -> DataFrame:
     return view.select("conv_id", F.col("n_lines").cast("long").alias("n_lines"), F.md5(F.encode(body, "UTF-8")).alias("view_md5"))
 
 
-@query()
+#: The calls' own words, and what is said in them by script: who greets, asks, supplies a number, helps and closes.
+SCRIPTED = f"""
+    {dialog.SEGMENTS}, sides as (
+        select *, role = 'assistant' as is_agent, max(turn) over (partition by conv_id) as last_turn from segments where role <> 'system'
+    ), scripted as (
+        select conv_id, turn, start_s, end_s, case when is_agent then 'S2' else 'S1' end as speaker, coalesce(text, '')
+            || case when turn < 2 and is_agent = (conv_id % 5 <> 0) then ' הגעתם למוקד שירות לקוחות' else '' end
+            || case when turn = 2 and is_agent = (conv_id % 3 <> 0) then ' מה תעודת הזהות שלך?' else '' end
+            || case when turn in (3, 4) then ' ' || cast(10000 + conv_id as varchar) else '' end
+            || case when turn % 5 = 4 and is_agent = (conv_id % 7 <> 0) then ' אבדוק. רגע אחד?' else '' end
+            || case when turn = last_turn and is_agent then ' יום נעים' else '' end as text from sides
+    )
+"""
+_CUES = roles.HEBREW
+
+
+def scripted_calls(t: Tables) -> DataFrame:
+    rows = dialog.segments(t).where("role <> 'system'").withColumn("last_turn", F.max("turn").over(Window.partitionBy("conv_id")))
+    agent, turn, conv = F.col("role") == "assistant", F.col("turn"), F.col("conv_id")
+    says = lambda cond, what: F.when(cond, what).otherwise(F.lit(""))
+    text = F.concat(
+        F.coalesce("text", F.lit("")),
+        says((turn < 2) & (agent == (conv % 5 != 0)), F.lit(" הגעתם למוקד שירות לקוחות")),
+        says((turn == 2) & (agent == (conv % 3 != 0)), F.lit(" מה תעודת הזהות שלך?")),
+        says(turn.isin(3, 4), F.concat(F.lit(" "), (conv + 10000).cast("string"))),
+        says((turn % 5 == 4) & (agent == (conv % 7 != 0)), F.lit(" אבדוק. רגע אחד?")),
+        says((turn == F.col("last_turn")) & agent, F.lit(" יום נעים")),
+    )
+    return rows.select("conv_id", "turn", "start_s", "end_s", F.when(agent, "S2").otherwise("S1").alias("speaker"), text.alias("text"))
+
+
+def _count_sql(phrases) -> str:
+    return " + ".join(f"(length(text) - length(replace(text, '{p}', ''))) / {len(p)}" for p in phrases)
+
+
+def _any_sql(phrases) -> str:
+    return " or ".join(f"contains(text, '{p}')" for p in phrases)
+
+
+def _roles_sql(turns: str, keys: str) -> str:
+    """CTEs that end in roles (keys, agent, confidence) of the CTE `turns`."""
+    ks = keys.split(", ")
+    on = lambda a, b: " and ".join(f"{a}.{k} = {b}.{k}" for k in ks)
+    return f"""
+    timed as (select *, max(end_s) over (partition by {keys}) as call_end from {turns}
+    ), parts_said as (select {keys}, speaker, unnest(string_split(regexp_replace(string_agg(text, ' ' order by turn), '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1))) as sentence from timed group by {keys}, speaker
+    ), asked as (select {keys}, speaker, count(*) filter (trim(sentence) like '%?') as asked from parts_said group by {keys}, speaker
+    ), numbers as (select {keys}, speaker, turn, unnest(regexp_extract_all(text, '[0-9]+')) as number from timed
+    ), supplied as (select {keys}, speaker, count(*) as n from (select {keys}, number, arg_min(speaker, turn) as speaker from numbers where length(number) >= 5 group by {keys}, number) group by {keys}, speaker
+    ), by_side as (
+        select {", ".join(f"t.{k}" for k in ks)}, t.speaker, sum(case when start_s <= 45 then {_count_sql(_CUES.opening)} else 0 end) as opening,
+            count(*) filter ({_any_sql(_CUES.identity_actions)} or (({_any_sql(_CUES.identity_fields)}) and ({_any_sql(_CUES.request)}))) as identity_request,
+            sum({_count_sql(_CUES.service)}) as service_language, sum(case when end_s >= call_end - 45 then {_count_sql(_CUES.closing)} else 0 end) as closing,
+            sum(len(regexp_extract_all(text, '[^\\s]+'))) as words, min(turn) as first_turn
+        from timed t group by {", ".join(f"t.{k}" for k in ks)}, t.speaker
+    ), every_side as (
+        select b.*, round(coalesce(asked, 0) / greatest(words, 1) * 100, 2) as question_rate, coalesce(n, 0) as identity_supply
+        from by_side b left join asked a on {on("a", "b")} and a.speaker = b.speaker left join supplied s on {on("s", "b")} and s.speaker = b.speaker
+    ), both_sides as (
+        select {", ".join(f"coalesce(x.{k}, y.{k}) as {k}" for k in ks)}, x.speaker is not null and y.speaker is not null as two, case when x.speaker is null then 'S2' else 'S1' end as a,
+            3.0 * sign(x.opening - y.opening) + 2.5 * sign(x.identity_request - y.identity_request) - 2.0 * sign(x.identity_supply - y.identity_supply) + 1.5 * sign(x.question_rate - y.question_rate)
+                + 1.0 * sign(x.service_language - y.service_language) + 1.0 * sign(x.closing - y.closing) + 0.5 * sign(y.first_turn - x.first_turn) as lead_of_a
+        from (select * from every_side where speaker = 'S1') x full join (select * from every_side where speaker = 'S2') y on {on("x", "y")}
+    ), roles as (select {keys}, case when two and lead_of_a < 0 then 'S2' else a end as agent, case when two then round(abs(lead_of_a)::double / 11.5, 3) else 0 end as confidence from both_sides)
+    """
+
+
+@query(f"with {SCRIPTED}, {_roles_sql('scripted', 'conv_id')} select conv_id, agent, confidence from roles")
 def agent_roles(t: Tables) -> DataFrame:
-    """Which speaker of a call is the agent."""
-    signals = {"opens": (r"\b(the|la|die)\b", 0.5), "thanks": (r"\b(and|et|und)\b", -0.25)}
-    return dialogs.infer_roles(dialog.segments(t), ["conv_id"], "role", "start_s", "end_s", "text", signals)
+    """Which speaker of a call is the agent, by seven signals."""
+    return roles.infer_roles(scripted_calls(t), ["conv_id"], "speaker", "start_s", "end_s", "turn", "text", _CUES).select("conv_id", "agent", "confidence")
+
+
+@query(f"""
+    with {SCRIPTED}, halves as (select *, case when start_s < 60 then 1 else 2 end as part from scripted), {_roles_sql('halves', 'conv_id, part').replace("roles as (", "part_roles as (")},
+    whole as (select * from ({f"with {_roles_sql('scripted', 'conv_id')} select * from roles"}))
+    select p.conv_id, p.part, p.agent, p.confidence from part_roles p join whole w using (conv_id) where p.agent <> w.agent and p.confidence >= 0.3
+""")
+def role_conflicts(t: Tables) -> DataFrame:
+    """parts of calls whose own words name the other speaker as the agent."""
+    calls = scripted_calls(t)
+    one = calls.select("conv_id").distinct()
+    parts = one.select("conv_id", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), F.lit(a).alias("begin"), F.lit(b).alias("end")) for n, a, b in ((1, -1e9, 60.0), (2, 60.0, 1e9))])).alias("p")).select("conv_id", "p.*")
+    return roles.part_conflicts(calls, parts, ["conv_id"], "part", "speaker", "start_s", "end_s", "turn", "text", _CUES)
+
+
+#: Turns by three speakers, and the same as a diarizer might give them: late, some lost, some too long, other names, every seventh by another speaker.
+DIARIZED = f"""
+    {dialog.SEGMENTS}, ref as (
+        select conv_id, turn, role as speaker, start_s as lo, end_s as hi from segments
+    ), hyp as (
+        select conv_id, turn, case when turn % 7 = 3 then 'B' when role = 'user' then 'A' when role = 'assistant' then 'B' else 'C' end as speaker,
+            start_s + 0.31 as lo, end_s + 0.31 + case when turn % 4 = 1 then 2.5 else 0 end as hi from segments where turn % 6 <> 5
+    )
+"""
+
 
+def diarized(t: Tables) -> tuple[DataFrame, DataFrame]:
+    rows = dialog.segments(t)
+    ref = rows.select("conv_id", F.col("role").alias("speaker"), F.col("start_s").alias("lo"), F.col("end_s").alias("hi"))
+    name = F.when(F.col("turn") % 7 == 3, "B").when(F.col("role") == "user", "A").when(F.col("role") == "assistant", "B").otherwise("C")
+    late = F.col("end_s") + 0.31 + F.when(F.col("turn") % 4 == 1, 2.5).otherwise(0.0)
+    hyp = rows.where("turn % 6 <> 5").select("conv_id", name.alias("speaker"), (F.col("start_s") + 0.31).alias("lo"), late.alias("hi"))
+    return ref, hyp
 
-@query()
+
+@query(f"""
+    with {DIARIZED}, turns as (
+        select conv_id, speaker, greatest(cast(floor(lo / 0.01) as bigint), 0) as lo, cast(round_even(hi / 0.01, 0) as bigint) as hi, lo as at_s, hi as to_s, 0 as side from ref
+        union all select conv_id, speaker, greatest(cast(floor(lo / 0.01) as bigint), 0), cast(round_even(hi / 0.01, 0) as bigint), lo, hi, 1 from hyp
+    ), edges as (
+        select conv_id, unnest([cast(floor(at_s / 0.01) as bigint), cast(floor(to_s / 0.01) as bigint)]) as c from turns where side = 0
+    ), hidden as (select conv_id, greatest(c - 25, 0) as lo, c + 26 as hi from edges
+    ), points as (
+        select conv_id, lo as p from turns where hi > lo union select conv_id, hi from turns where hi > lo union select conv_id, lo from hidden union select conv_id, hi from hidden
+    ), parts as (select * from (select conv_id, p as lo, lead(p) over (partition by conv_id order by p) as hi from points) where hi is not null
+    ), scored as (select p.* from parts p where not exists (select 1 from hidden h where h.conv_id = p.conv_id and h.lo <= p.lo and p.hi <= h.hi)
+    ), floor_of as (
+        select p.conv_id, p.lo, p.hi - p.lo as n, arg_max(t.speaker, (t.lo, t.at_s, t.to_s, t.speaker)) filter (side = 0) as ref, arg_max(t.speaker, (t.lo, t.at_s, t.to_s, t.speaker)) filter (side = 1) as hyp
+        from scored p join turns t on t.conv_id = p.conv_id and t.lo <= p.lo and p.hi <= t.hi group by 1, 2, 3
+    ), pairs as (select conv_id, ref, hyp, sum(n)::bigint as n from floor_of group by 1, 2, 3
+    ), pairings as (
+        select conv_id, sum(n) filter (list_position(hyp_of, hyp) = list_position(ref_names, ref)) as shared
+        from pairs, (select ['user', 'assistant', 'system'] as ref_names), (select unnest([['A','B','C'],['A','C','B'],['B','A','C'],['B','C','A'],['C','A','B'],['C','B','A']]) as hyp_of)
+        where ref is not null and hyp is not null group by conv_id, hyp_of
+    ), best as (select conv_id, max(coalesce(shared, 0)) as shared from pairings group by 1
+    ), totals as (
+        select conv_id, coalesce(sum(n) filter (ref is not null), 0)::bigint as speech, coalesce(sum(n) filter (ref is not null and hyp is null), 0)::bigint as missed,
+            coalesce(sum(n) filter (ref is null), 0)::bigint as false_alarm, coalesce(sum(n) filter (ref is not null and hyp is not null), 0)::bigint as confused from pairs group by 1
+    ) select conv_id, speech, missed, false_alarm, confused, case when speech > 0 then round((missed + false_alarm + confused) / speech, 4) else 0 end as der,
+        case when speech > 0 then round((missed + false_alarm + confused - coalesce(shared, 0)) / speech, 4) else 0 end as der_best, cast(null as double) as role_accuracy
+    from totals left join best using (conv_id)
+""")
 def diarisation_errors(t: Tables) -> DataFrame:
-    """Frames missed, added and confused when all turns are heard half a second late."""
-    rows = dialog.segments(t).where("role <> 'system'").select("conv_id", "role", "start_s", "end_s")
-    late = rows.withColumns({"start_s": F.col("start_s") + 0.5, "end_s": F.col("end_s") + 0.5})
-    return stats.frame_errors(rows, late, ["conv_id"], "start_s", "end_s", "role", 0.1)
+    """Speech missed, added and confused, with a collar, under other names and under the best pairing of three speakers."""
+    ref, hyp = diarized(t)
+    return diarization.diarization_errors(ref, hyp, ["conv_id"], "lo", "hi", "speaker")
+
+
+@query(f"""
+    with {DIARIZED}, points as (
+        select conv_id, unnest([greatest(cast(floor(start_s / 0.01) as bigint), 0), cast(round_even(end_s / 0.01, 0) as bigint)]) as p from segments where role <> 'system' and end_s > 0 and start_s < end_s
+    ), parts as (select * from (select conv_id, p as lo, lead(p) over (partition by conv_id order by p) as hi from (select distinct * from points)) where hi is not null
+    ), held as (
+        select p.conv_id, p.hi - p.lo as n, p.lo, arg_max(s.role, (start_s, end_s, role)) as ref, arg_max(case when s.turn % 3 = 2 then 'user' else s.role end, (start_s, end_s, case when s.turn % 3 = 2 then 'user' else s.role end)) as hyp
+        from parts p join segments s on s.conv_id = p.conv_id and role <> 'system' and cast(floor(start_s / 0.01) as bigint) <= p.lo and p.hi <= cast(round_even(end_s / 0.01, 0) as bigint) group by 1, 2, 3
+    ) select conv_id, round(sum(n) filter (ref = hyp) / sum(n), 4) as role_accuracy from held group by 1
+""")
+def role_accuracies(t: Tables) -> DataFrame:
+    """The share of speech with the right role, without a collar, where every third turn is given to the customer."""
+    rows = dialog.segments(t).where("role <> 'system'")
+    ref = rows.select("conv_id", F.col("role").alias("speaker"), F.col("start_s").alias("lo"), F.col("end_s").alias("hi"))
+    hyp = rows.select("conv_id", F.when(F.col("turn") % 3 == 2, "user").otherwise(F.col("role")).alias("speaker"), F.col("start_s").alias("lo"), F.col("end_s").alias("hi"))
+    found = diarization.diarization_errors(ref, hyp, ["conv_id"], "lo", "hi", "speaker", 0.0, ("user", "assistant"))
+    return found.select("conv_id", "role_accuracy")
 
 
 @query(f"""

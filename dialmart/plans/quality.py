@@ -441,11 +441,24 @@ def failure_rates(t: Tables) -> DataFrame:
     return c.select("agent", "n", "k", r6(low).alias("low"))
 
 
-@query()
+_DRAW = f"(({{}} * 48271 + rep * 69621 + 7) % {stats.DRAWS})"
+_TIMES = " + ".join(f"cast(u > {p!r} as int)" for p in stats.poisson_steps())
+
+
+@query(f"""
+    with {CARDS}, c as (select agent, count(*) as n, count(*) filter (gates_failed > 0) as k from scored group by 1),
+    draws as (select *, cast('0x' || md5(agent::varchar)[1:7] as bigint) as key from c, unnest(range(1, 501)) as r(rep)),
+    one as (select *, {_DRAW.format("key")} as x from draws), two as (select *, (x * x + 16807 * rep) % {stats.DRAWS} as y from one),
+    three as (select *, ((y * 48271 + key) % {stats.DRAWS}) / {stats.DRAWS}::double as u from two),
+    sums as (select rep, sum(k * ({_TIMES}))::double / sum(n * ({_TIMES})) as share from three group by 1)
+    select (select sum(k) / sum(n) from c) as share, (select count(*) from c) as clusters,
+        case when (select count(*) from c) >= 5 then round(quantile_cont(share, 0.025), 6) end as low, case when (select count(*) from c) >= 5 then round(quantile_cont(share, 0.975), 6) end as high from sums
+""")
 def clustered_failures(t: Tables) -> DataFrame:
     """The share of failed calls, with a bootstrap interval by agents."""
     c = cards(t).groupBy("agent").agg(F.count("*").alias("n"), F.count_if(F.size("failed") > 0).alias("k"))
-    return stats.cluster_share(c, "agent", "k", "n", 500)
+    found = stats.cluster_share(c, "agent", "k", "n", 500)
+    return found.select("share", "clusters", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query(f"""

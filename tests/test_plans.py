@@ -46,9 +46,8 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
-def test_queries_without_sql_give_rows(spark, sf_dir, name):
-    assert plans.QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(plans.QUERIES) == set(plans.ORACLES)
 
 
 def plan_of(df):
