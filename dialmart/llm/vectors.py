@@ -134,13 +134,16 @@ def _fit(x: np.ndarray, n: int, s: Settings) -> Index:
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    x = np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+    return _unit_rows(np.asarray(column.flatten(), np.float64).reshape(len(column), -1))
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # against overflow of the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _assign(reps: DataFrame, index: Index, s: Settings) -> DataFrame:
-    """id, n, unit, home, probes, codes and error of each vector."""
+    """id, n, raw, home, probes, codes and error of each vector; raw are its components as they came, which is all that tasks send on."""
     known = reps.sparkSession.sparkContext.broadcast(index)  # max_lists, max_parts and the codewords bound it
     step = max(16, 1024 // len(index.parts))
 
@@ -156,15 +159,15 @@ def _assign(reps: DataFrame, index: Index, s: Settings) -> DataFrame:
                 arrays = [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([r.tobytes() for r in x], pa.binary()),
+                    pa.array([np.asarray(v.values).tobytes() for v in batch.column(2)], pa.binary()),
                     pa.array(top[:, 0]),
                     pa.ListArray.from_arrays(pa.array(ends * top.shape[1]), pa.array(top.reshape(-1))),
                     pa.array([c.tobytes() for c in codes], pa.binary()),
                     pa.array(error),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "unit", "home", "probes", "codes", "error"])
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "raw", "home", "probes", "codes", "error"])
 
-    schema = "id long, n long, unit binary, home int, probes array<int>, codes binary, error double"
+    schema = "id long, n long, raw binary, home int, probes array<int>, codes binary, error double"
     return reps.select("id", "n", "embedding").mapInArrow(run, schema)
 
 
@@ -177,7 +180,11 @@ def _meet(assigned: DataFrame, n_lists: int) -> DataFrame:
         F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"),
         F.ceil(F.col("v") / BLOCK).cast("int").alias("vb"),
     )
-    rows = assigned.withColumn("list", F.explode("probes")).join(F.broadcast(lists) if n_lists <= FEW_LISTS else lists, "list")
+    rows = assigned.withColumn("list", F.explode("probes"))
+    # of a visitor only its components, its home and its number go to the lists
+    for c in ("codes", "probes", "error"):
+        rows = rows.withColumn(c, F.when(F.col("home") == F.col("list"), F.col(c)))
+    rows = rows.join(F.broadcast(lists) if n_lists <= FEW_LISTS else lists, "list")
     spread = F.xxhash64("id")
     members = (
         rows.where("home = list")
@@ -189,9 +196,9 @@ def _meet(assigned: DataFrame, n_lists: int) -> DataFrame:
         rows.withColumn("b", F.pmod(spread, F.col("vb").cast("long")).cast("int"))
         .withColumn("a", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
         .withColumn("role", F.lit(1))
-        .withColumn("codes", F.lit(None).cast("binary"))
+        .withColumns({"codes": F.lit(None).cast("binary"), "probes": F.lit(None).cast("array<int>"), "error": F.lit(None).cast("double")})
     )
-    columns = ["list", "a", "b", "role", "id", "n", "unit", "home", "probes", "codes", "error"]
+    columns = ["list", "a", "b", "role", "id", "n", "raw", "home", "probes", "codes", "error"]
     return members.select(columns).unionAll(visitors.select(columns))
 
 
@@ -234,7 +241,9 @@ def _links_of_block(ix: Index, which: int, members: dict, visitors: dict, thresh
     return counts, back, links
 
 
-def _compare(index_of, threshold: float):
+def _compare(index_of, threshold: float, kind: type):
+    """kind: the type of the components that are sent."""
+
     def whole(rows: list[pa.RecordBatch]) -> tuple[dict, dict]:
         table = pa.Table.from_batches(rows)
         role = np.asarray(table["role"])
@@ -243,8 +252,10 @@ def _compare(index_of, threshold: float):
             part = table.filter(pa.array(role == want)).combine_chunks()
             n = part.num_rows
             get = lambda c: part[c].to_numpy() if n else np.zeros(0, np.int64)
-            side = {c: get(c) for c in ("id", "n", "home", "error")}
-            side["unit"] = np.frombuffer(b"".join(part["unit"].to_pylist()), np.float64).reshape(n, -1) if n else None
+            side = {c: get(c) for c in ("id", "n", "home")}
+            side["unit"] = _unit_rows(np.frombuffer(b"".join(part["raw"].to_pylist()), kind).astype(np.float64).reshape(n, -1)) if n else None
+            if want == 0:
+                side["error"] = get("error")
             if want == 0 and n:
                 side["codes"] = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(n, -1)
                 side["probes"] = np.asarray(part["probes"].chunk(0).flatten()).reshape(n, -1)
@@ -297,9 +308,8 @@ def near_vectors(vectors: DataFrame, settings: Settings = Settings()) -> DataFra
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
-    )
+    kept = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept).alias("embedding"))
     ok = (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0) & F.col("vec_id").isNotNull()
     rows = rows.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), e).alias("embedding"))
     key = F.coalesce(F.xxhash64("embedding"), F.lit(0))
@@ -349,5 +359,6 @@ def _links(reps: DataFrame, n: int, s: Settings) -> DataFrame:
     assigned = materialize(_assign(reps, index, s), "codes")
     known = spark.sparkContext.broadcast(index)
     met = _meet(assigned, len(index.lists) * len(index.parts)).repartition(n_partitions(spark), "list", "a", "b").sortWithinPartitions("list", "a", "b", "role")
-    found = met.mapInArrow(_compare(lambda: known.value, s.threshold), "u long, v long, is_count boolean")
+    kind = np.float32 if reps.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    found = met.mapInArrow(_compare(lambda: known.value, s.threshold, kind), "u long, v long, is_count boolean")
     return materialize(found, "links")
