@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..sources import artifacts, delimited, scratch
+from ..sources import artifacts, delimited, publication, scratch
 from . import dialog, journey, quality
 from .registry import Tables, query, r6
 
@@ -143,7 +143,7 @@ def recorded_reviews(t: Tables) -> DataFrame:
     good, _ = artifacts.checked_reviews(sent, ["opening", "closing"])
     for _ in range(2):
         artifacts.append_reviews(t.spark, good, folder)
-    return t.spark.read.parquet(folder).groupBy(F.col("rater_id").cast("long").alias("rater_id")).agg(F.count("*").alias("reviews"))
+    return artifacts.reviews(t.spark, folder).groupBy(F.col("rater_id").cast("long").alias("rater_id")).agg(F.count("*").alias("reviews"))
 
 
 @query("""
@@ -197,3 +197,22 @@ def run_manifests(t: Tables) -> DataFrame:
     status = F.when(F.col("l_discount") > 0.08, "failed").otherwise("success")
     rows = t.lineitem.select(F.col("l_suppkey").alias("run"), F.col("l_quantity").alias("seconds"), status.alias("status"))
     return artifacts.run_manifest(rows, "run", 2.5).select("run", "succeeded", "failed", r6(F.round("gpu_hours", 4)).alias("gpu_hours"), r6(F.round("estimated", 4)).alias("estimated"))
+
+
+@query("""
+    with first as (select o_orderkey as call_id, 'r1' as run, round(o_totalprice, 2) as total from orders where o_orderstatus <> 'P'),
+    second as (select o_orderkey as call_id, 'r2' as run, round(o_totalprice + 1, 2) as total from orders where o_orderpriority = '1-URGENT'),
+    newest as (select * from second union all select * from first where call_id not in (select call_id from second))
+    select run, count(*) as calls, round(sum(total), 2) as total, case run when 'r1' then 'rubric 1' else 'rubric 2' end as rubric, case run when 'r1' then (select count(*) from first) else (select count(*) from second) end as published from newest group by 1
+""")
+def published_runs(t: Tables) -> DataFrame:
+    """K1, K8: two runs published whole with the versions that made them; each call's row is that of its newest run."""
+    root = scratch.new_folder(t.spark, "runs")
+    cards = t.orders.select(F.col("o_orderkey").alias("call_id"), "o_totalprice", "o_orderstatus", "o_orderpriority")
+    publication.publish(cards.where("o_orderstatus <> 'P'").select("call_id", F.round("o_totalprice", 2).alias("total")), root, "cards", "r1", {"rubric": "rubric 1"})
+    again = cards.where("o_orderpriority = '1-URGENT'").select("call_id", F.round(F.col("o_totalprice") + 1, 2).alias("total"))
+    publication.publish(again, root, "cards", "r2", {"rubric": "rubric 2"})
+    told = publication.manifests(t.spark, root).select("run", F.col("versions")["rubric"].alias("rubric"), F.col("rows").alias("published"))
+    rows = publication.by_key(t.spark, root, "cards", ["call_id"])
+    by = rows.groupBy("run").agg(F.count("*").alias("calls"), F.round(F.sum("total"), 2).alias("total"))
+    return by.join(told, "run").select("run", "calls", "total", "rubric", "published")

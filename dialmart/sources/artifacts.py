@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import csv_cell
+from . import publication
 
 
 def stage_json(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
@@ -113,14 +114,20 @@ def checked_reviews(reviews: DataFrame, dims: list[str]) -> tuple[DataFrame, Dat
 
 
 def append_reviews(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Append ratings (call_id, rater_id, ...) that aren't there yet."""
-    try:
-        known = spark.read.parquet(path).select("call_id", "rater_id")
-        new = new.join(known, ["call_id", "rater_id"], "left_anti")
-    except Exception as error:  # the first review makes the folder
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    new.write.mode("append").parquet(path)
+    """Append ratings (call_id, rater_id, ...) that aren't there yet.
+
+    Two writers at once may both append the same rating; reviews() gives one of them.
+    """
+    known = publication.every_row(spark, path, "reviews")
+    if known is not None:
+        new = new.join(known.select("call_id", "rater_id"), ["call_id", "rater_id"], "left_anti")
+    publication.publish(new, path, "reviews", "append")
+
+
+def reviews(spark: SparkSession, path: str) -> DataFrame | None:
+    """One rating of each rater for each call, that which was appended first; None where there is none."""
+    found = publication.by_key(spark, path, "reviews", ["call_id", "rater_id"], last=False)
+    return found if found is None else found.drop("run")
 
 
 def expired_files(spark: SparkSession, folder: str, before: str) -> DataFrame:

@@ -11,8 +11,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from dialmart.sources import artifacts, delimited, workbook
-from dialmart.streaming import ingest
+from dialmart.sources import artifacts, delimited, publication, workbook
+from dialmart.streaming import files, ingest
 
 
 def test_encodings_and_delimiters(spark, tmp_path):
@@ -135,7 +135,11 @@ def test_exports(spark, tmp_path):
     reviews = spark.createDataFrame([("c", "r", 5)], "call_id string, rater_id string, score int")
     for _ in range(2):
         artifacts.append_reviews(spark, reviews, str(tmp_path / "reviews"))
-    assert spark.read.parquet(str(tmp_path / "reviews")).count() == 1
+    assert artifacts.reviews(spark, str(tmp_path / "reviews")).count() == 1
+    # a second writer that had not seen the first one's rating appends it too; it counts once
+    publication.publish(reviews.withColumn("score", reviews.score + 1), str(tmp_path / "reviews"), "reviews", "append")
+    assert [r.score for r in artifacts.reviews(spark, str(tmp_path / "reviews")).collect()] == [5]
+    assert artifacts.reviews(spark, str(tmp_path / "nothing")) is None
     for _ in range(2):
         artifacts.append_history(df, str(tmp_path / "history"))
     assert spark.read.json(str(tmp_path / "history")).count() == 4
@@ -196,3 +200,48 @@ def test_retention_and_reproduction(spark, tmp_path):
     a = spark.createDataFrame([(1, 2, "x"), (2, 2, None), (3, 1, "y")], "k int, v int, w string")
     b = spark.createDataFrame([(1, 2, "x"), (2, 3, "z")], "k int, v int, w string")
     assert sorted((r.k, r.differs) for r in artifacts.not_reproduced(a, b, "k").collect()) == [(2, ["v", "w"]), (3, ["missing"])]
+
+
+def test_a_writer_that_dies_before_its_manifest_publishes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "runs")
+    rows = lambda v: spark.createDataFrame([("a", v), ("b", v)], "call_id string, v int")
+    assert publication.newest(spark, root, "cards") is None and publication.manifests(spark, root).count() == 0
+    publication.publish(rows(1), root, "cards", "r1", {"code": "1"})
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(publication, "_announce", dies)
+        with pytest.raises(RuntimeError):
+            publication.publish(rows(2), root, "cards", "r2")
+    assert {r.v for r in publication.newest(spark, root, "cards").collect()} == {1}
+    assert publication.every_row(spark, root, "cards").count() == 2
+    publication.publish(rows(3).limit(1), root, "cards", "r3", {"code": "3"})
+    assert sorted((r.call_id, r.v, r.run) for r in publication.by_key(spark, root, "cards", ["call_id"]).collect()) == [("a", 3, "r3"), ("b", 1, "r1")]
+    assert [(m.run, m.rows, m.versions) for m in publication.manifests(spark, root).orderBy("published_at").collect()] == [("r1", 2, {"code": "1"}), ("r3", 1, {"code": "3"})]
+
+
+def test_files_are_taken_when_settled(spark, tmp_path):
+    inbox, log, target, bad, point = (str(tmp_path / n) for n in ("in", "log", "out", "quarantine", "checkpoint"))
+    (tmp_path / "in").mkdir()
+    put = lambda name, text: (tmp_path / "in" / name).write_text(text)
+    list_at = lambda second: files.record_listing(spark, inbox, log, f"2026-01-01 00:{second // 60:02}:{second % 60:02}")
+
+    def run():
+        files.take_settled(spark, log, "k int", target, bad, point, 60).awaitTermination()
+        names = lambda folder: sorted((r.path if "path" in r else r._path).rpartition("/")[2] for r in spark.read.parquet(folder).collect())
+        return [names(f) if any((tmp_path / f).rglob("*.parquet")) else [] for f in (f"{target}/rows", bad)]
+
+    put("whole.json", '{"k": 1}\n{"k": 2}\n')
+    put("grows.json", '{"k": 3}\n')
+    put("broken.json", '{"k": 4}\n{"k": \n')
+    list_at(0)
+    assert run() == [[], []]
+    put("grows.json", '{"k": 3}\n{"k": 5}\n')
+    list_at(61)  # a new query on the same checkpoint goes on from the state
+    assert run() == [["whole.json"] * 2, ["broken.json"]]
+    list_at(100)
+    assert run() == [["whole.json"] * 2, ["broken.json"]]
+    list_at(122)
+    assert run() == [["grows.json"] * 2 + ["whole.json"] * 2, ["broken.json"]]
