@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.sequences import average_ranks
+from ..operators.ranges import running_totals
+from ..sources import scratch
 
 
 def finite(value: str | Column) -> Column:
@@ -103,13 +104,11 @@ def group_against_rest(rows: DataFrame, key: str, value: str, level: float = 0.9
     g = rows.where(v.isNotNull()).groupBy(key).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("var")
     )
+    g = scratch.written(g, "groups")  # a row a group, read three times
     mean_all = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    # one row, as the next; both meet the groups by a key that is 0 everywhere
-    g = g.withColumn("_key", F.pmod("n", F.lit(1)))
-    whole = g.groupBy("_key").agg(F.sum("n").alias("_n"), mean_all.alias("_mean"))
+    t = g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("_n"), mean_all.alias("_mean"))))  # one row, as the next
     spread = (F.col("n") - 1) * F.col("var") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2))
-    t = g.join(F.broadcast(whole), "_key")
-    t = t.join(F.broadcast(t.groupBy("_key").agg(F.sum(spread).alias("_ss"))), "_key")
+    t = t.crossJoin(F.broadcast(t.agg(F.sum(spread).alias("_ss"))))
     n2 = F.col("_n") - F.col("n")
     mean2 = (F.col("_n") * F.col("_mean") - F.col("n") * F.col("mean")) / n2
     ss2 = (
@@ -148,8 +147,28 @@ def welch(rows: DataFrame, n1: str, m1: str, v1: str, n2: str, m2: str, v2: str,
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, level: float = 0.95) -> DataFrame:
     """keys, n, rho, low and high by ranks and Fisher's z with the Bonett-Wright error; n of 4 at least."""
     full = rows.where(finite(x).isNotNull() & finite(y).isNotNull())
-    ranked = average_ranks(average_ranks(full, keys, x, "_rx"), keys, y, "_ry")
-    c = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    # the rows are read once: all that follows works on counts of equal pairs
+    cells = scratch.written(full.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m")), "cells")
+
+    def ranks(value: str, name: str) -> DataFrame:
+        counts = cells.groupBy(*keys, value).agg(F.sum("_m").alias("_c"))
+        placed = running_totals(counts, keys, [value], F.col("_c"))
+        return placed.select(*[F.col(k).alias(f"{name}{i}") for i, k in enumerate(keys)], F.col(value).alias(f"{name}v"), (F.col("before") + (F.col("_c") + 1) / 2).alias(name))
+
+    def same(name: str, value: str | None) -> Column:
+        met = F.col(f"{name}v") == F.col(value) if value else F.lit(True)
+        for i, k in enumerate(keys):
+            met = met & F.col(f"{name}{i}").eqNullSafe(F.col(k))
+        return met
+
+    totals = cells.groupBy(*keys).agg(F.sum("_m").alias("_all")).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)], "_all")
+    ranked = cells.join(ranks("_x", "_rx"), same("_rx", "_x")).join(ranks("_y", "_ry"), same("_ry", "_y"))
+    ranked = ranked.join(totals, same("_t", None)) if keys else ranked.crossJoin(F.broadcast(totals))  # one row
+    # deviations from the middle rank, which is known, so that no large squares are taken from each other
+    dx, dy = (F.col(c) - (F.col("_all") + 1) / 2 for c in ("_rx", "_ry"))
+    total = lambda v: F.sum(F.col("_m") * v)
+    c = ranked.groupBy(*keys).agg(F.sum("_m").alias("n"), total(dx * dx).alias("_xx"), total(dy * dy).alias("_yy"), total(dx * dy).alias("_xy"))
+    c = c.withColumn("rho", F.when((F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))))
     rho = F.when(F.col("n") >= 4, F.col("rho"))
     se = F.sqrt((1 + rho * rho / 2) / (F.col("n") - 3))
     z = z_crit(level)

@@ -57,13 +57,20 @@ def plan_of(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["flagship", "next_events", "rows_in_sessions", "interruptions", "attributed_turns", "agents_against_rest"])
+@pytest.mark.parametrize("name", ["flagship", "next_events", "rows_in_sessions", "interruptions", "attributed_turns"])
 def test_no_pairing_without_a_key(spark, sf_dir, name):
     plan = plan_of(plans.QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_groups_meet_their_total_as_one_row(spark, sf_dir):
+    """Where groups meet the whole, the side that goes to all tasks is an aggregate without a key."""
+    plan = plan_of(plans.QUERIES["agents_against_rest"](spark, sf_dir))
+    assert "CartesianProduct" not in plan
+    assert plan.count("SinglePartition") >= plan.count("BroadcastNestedLoopJoin") // 2 > 0
+
+
 def test_scans_read_what_is_used(spark, sf_dir):
     plan = plan_of(plans.QUERIES["story_numbers"](spark, sf_dir))
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in plan
