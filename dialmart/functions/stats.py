@@ -144,6 +144,20 @@ def welch(rows: DataFrame, n1: str, m1: str, v1: str, n2: str, m2: str, v2: str,
     ).drop("_half")
 
 
+def period_changes(rows: DataFrame, period: str, value: str, level: float = 0.95, least: int = 8) -> DataFrame:
+    """period, n, mean, change from the period before with its interval (Welch), and last; change is null below `least` values on either side.
+
+    The window is over a row for each period.
+    """
+    v = finite(value)
+    by = rows.where(v.isNotNull()).groupBy(period).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("var"))
+    line = Window.orderBy(period)
+    by = by.withColumns({f"_{c}": F.lag(c).over(line) for c in ("n", "mean", "var")} | {"last": F.lead(period).over(line).isNull()})
+    enough = (F.col("n") >= least) & (F.col("_n") >= least)
+    found = welch(by, "n", "mean", "var", "_n", "_mean", "_var", level)
+    return found.select(period, "n", "mean", *[F.when(enough, F.col(c)).alias(a) for c, a in (("diff", "change"), ("low", "low"), ("high", "high"))], "last")
+
+
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, level: float = 0.95) -> DataFrame:
     """keys, n, rho, low and high by ranks and Fisher's z with the Bonett-Wright error; n of 4 at least."""
     full = rows.where(finite(x).isNotNull() & finite(y).isNotNull())

@@ -40,6 +40,22 @@ def attach_nearest(
     return left.join(best.select(*keys, row, *new), [*keys, row], "left")
 
 
+def attach_known_or_nearest(
+    left: DataFrame, points: DataFrame, keys: Keys, row: str, known: str, at: str, lo: str, hi: str, point_at: str, tie: str
+) -> DataFrame:
+    """left with the columns of the point whose id (tie) its column known names, else of the nearest point as in attach_nearest.
+
+    An id that no point of the row's keys has counts as none.  by_id says which way it was.
+    """
+    new = [c for c in points.columns if c not in keys]
+    named = points.select(*keys, F.col(tie).alias(known), F.struct(*new).alias("_named"))
+    near = attach_nearest(left, points, keys, row, at, lo, hi, point_at, tie).withColumn("_near", F.struct(*new)).drop(*new)
+    both = near.join(named, [*keys, known], "left")
+    picked = F.when(F.col("_named").isNotNull(), F.col("_named")).otherwise(F.col("_near"))
+    out = both.withColumn("_picked", picked).withColumn("by_id", F.col("_named").isNotNull())
+    return out.select(*left.columns, *[F.col(f"_picked.{c}").alias(c) for c in new], "by_id")
+
+
 def nearest_or_all(left: DataFrame, right: DataFrame, key: str, row: str, at: str, other_at: str, seconds: float) -> DataFrame:
     """Pairs by key: the nearest in time if one is within seconds, else all candidates."""
     gap = F.abs(F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col(other_at).cast("timestamp"))) / 1e6
