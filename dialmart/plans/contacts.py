@@ -179,7 +179,7 @@ def overlaid_judgements(t: Tables) -> DataFrame:
     with {PROMISED}, ends as (select *, row_number() over (partition by story order by moment desc, interaction_id desc) as back_no from contacts),
     last_ones as (
         select e.story, e.kind, e.data_end, case when kind in ('recorded_call', 'message') then case topic when '1-URGENT' then 'not_resolved' when '2-HIGH' then 'resolved' end end as outcome,
-            coalesce((select bool_or(p.outcome <> 'kept') from promised p where p.story = e.story and p.made_at >= e.moment), false) as pending,
+            coalesce((select bool_or(p.outcome <> 'kept') from promised p where p.story = e.story and p.made_at >= e.moment - interval 1 second), false) as pending,
             (select max(x.done_at) from executions x where x.story = e.story and x.done_at > e.moment) as executed_at
         from ends e where back_no = 1
     )
@@ -193,7 +193,8 @@ def story_statuses(t: Tables) -> DataFrame:
     ends = contacts(t).groupBy("story").agg(F.max_by(F.struct("at", "kind", "topic", "data_end"), F.struct("at", "interaction_id")).alias("e")).select("story", "e.*")
     outcome = F.when(rules.has_content(F.col("kind")), F.when(F.col("topic") == "1-URGENT", "not_resolved").when(F.col("topic") == "2-HIGH", "resolved"))
     kept = promises(t).select("story", "made_at", (F.col("outcome") != "kept").alias("open"))
-    waiting = ends.join(kept, "story").where(F.col("made_at") >= F.col("at")).groupBy("story").agg(F.max("open").alias("pending"))
+    # a promise may be noted up to a second before the contact's own time
+    waiting = ends.join(kept, "story").where(F.col("made_at") >= F.col("at") - F.expr("INTERVAL 1 SECOND")).groupBy("story").agg(F.max("open").alias("pending"))
     # an execution after the last contact is the last of all, if any is
     done = executions(t).groupBy("story").agg(F.max("done_at").alias("done_at"))
     last = ends.join(waiting, "story", "left").join(done, "story", "left").select(
