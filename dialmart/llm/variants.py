@@ -7,13 +7,13 @@ goes down from the root, spends its surplus or its deficit where a child's count
 verifies the words of the leaves that it reaches letter by letter.
 
 The trie is dealt out by the counts of its first levels, so many that no piece holds more words than a
-task should; a search visits the pieces that its budget reaches.  Words with equal counts in
-all levels that are still too many are dealt by a hash into parts, and a search visits all of these.
+task should; a search visits the pieces that its budget reaches, and of two pieces only the words of one search
+the other.  Words with equal counts in all levels that are still too many are dealt by a hash into parts, and
+a search visits all of these.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +28,7 @@ from .common import materialize, n_partitions
 GROUPS = ["e", "a", "i", "t", "n", "o", "s", "r", "lk", "dw", "hv", "ub", "cg", "mf", "pyjq"]
 LEVELS = len(GROUPS) + 1
 #: Words of one piece of the trie, searches that go down it at once, and candidates that are verified at once.
-PIECE = 20_000
+PIECE = 40_000
 SEARCHES = 4_096
 CANDIDATES = 200_000
 #: Letters of the longest word that is compared as a row of a table; longer ones are compared one by one.
@@ -187,50 +187,77 @@ class Trie:
             at = to
 
 
+#: What a row of a piece does: it is one of its words, or searches it from the same or from another piece.
+HELD, OWN, FOREIGN = 0, 1, 2
+
+
+class Piece:
+    """One piece of the trie while its searches pass: what was found for its own words by searches from other pieces."""
+
+    def __init__(self, words: list[tuple[bytes, int]]):
+        self.trie = Trie([w for w, _ in words])
+        n = dict(words)
+        self.n = [n[w] for w in self.trie.table.words]
+        self.found: dict[int, list] = {}
+
+    def answers(self, asking: list[tuple[bytes, int, int]]) -> list[tuple]:
+        """(word, n_near, form_n, form) of the searches that find some."""
+        asked = Table([w for w, _, _ in asking])
+        words, out = self.trie.table.words, {}
+        for i, j in self.trie.search(asked.words):
+            hit = _near(asked, i, self.trie.table, j)
+            for a, b in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                word, n, role = asking[a]
+                _note(out, a, self.n[b], words[b])
+                if role == FOREIGN:  # the other piece's word is not looked for from here
+                    _note(self.found, b, n, word)
+        return [(asking[a][0], *x) for a, x in out.items()]
+
+    def own(self) -> list[tuple]:
+        return [(self.trie.table.words[b], *x) for b, x in self.found.items()]
+
+
+def _note(found: dict[int, list], at: int, n: int, word: bytes) -> None:
+    """Count a near word of word `at`, and keep the one of largest n, then the smallest."""
+    x = found.setdefault(at, [0, n, word])
+    x[0] += 1
+    if (-n, word) < (-x[1], x[2]):
+        x[1:] = n, word
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (piece, part, asks, word, n) sorted by the first three: the words of a piece, then those that search it.
+    """Over rows (piece, part, role, word, n) sorted by the first three: the words of a piece, then those that search it.
 
-    Gives word, n_near and the best near word (n, then smallest) of each search that finds some.
+    Gives word, n_near and the best near word (n, then smallest) of all that find some or are found from another piece.
     """
-    now, words, sizes, trie, asking = None, [], [], None, []
-
-    def answers():
-        nonlocal trie
-        if trie is None:
-            trie = Trie([w for w, _ in words])
-            by_word = dict(words)
-            sizes[:] = [np.array([by_word[w] for w in trie.table.words], np.int64)]
-        n = sizes[0]
-        asked = Table(asking)
-        near, best = np.zeros(len(asking), np.int64), [None] * len(asking)
-        for i, j in trie.search(asking):
-            hit = _near(asked, i, trie.table, j)
-            i, j = i[hit], j[hit]
-            near += np.bincount(i, minlength=len(asking))
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                key = (-int(n[b]), trie.table.words[b])
-                if best[a] is None or key < best[a]:
-                    best[a] = key
-        got = np.flatnonzero(near)
-        columns = [[asking[k].decode("latin-1") for k in got], near[got], [-best[k][0] for k in got], [best[k][1].decode("latin-1") for k in got]]
+    now, words, piece, asking = None, [], None, []
+
+    def answers() -> list[tuple]:
+        nonlocal piece, asking
+        if not asking:
+            return []
+        piece = piece or Piece(words)
+        got, asking = piece.answers(asking), []
+        return got
+
+    def shown(rows: list[tuple]) -> pa.RecordBatch:
+        word, near, n, form = zip(*rows, strict=True) if rows else ((), (), (), ())
+        columns = [[w.decode("latin-1") for w in word], near, n, [w.decode("latin-1") for w in form]]
         types = [pa.string(), pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["word", "n_near", "form_n", "form"])
 
     for batch in batches:
-        for piece, part, asks, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (piece, part) != now:
-                if asking:
-                    yield answers()
-                now, words, sizes, trie, asking = (piece, part), [], [], None, []
-            if not asks:
+        for key, part, role, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, part) != now:
+                yield shown(answers() + (piece.own() if piece else []))
+                now, words, piece = (key, part), [], None
+            if role == HELD:
                 words.append((word.encode("latin-1"), n))
                 continue
-            asking.append(word.encode("latin-1"))
+            asking.append((word.encode("latin-1"), n, role))
             if len(asking) >= SEARCHES:
-                yield answers()
-                asking = []
-    if asking:
-        yield answers()
+                yield shown(answers())
+    yield shown(answers() + (piece.own() if piece else []))
 
 
 def _vector(word: str) -> F.Column:
@@ -273,10 +300,13 @@ def near_words(words: DataFrame) -> DataFrame:
     pieces = materialize(pieces.select("piece", F.ceil(F.col("size") / PIECE).cast("int").alias("parts")), "pieces")
     held = vectors.select(_key(depth).alias("piece"), "word", "n").join(pieces, "piece")
     part = F.pmod(F.xxhash64("word"), F.col("parts").cast("long")).cast("int")
-    held = held.select("piece", part.alias("part"), F.lit(0).alias("asks"), "word", "n")
-    asking = vectors.select(F.explode(_reached(depth)).alias("piece"), "word", "n").join(pieces, "piece")
-    asking = asking.select("piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "word", "n")
-    dealt = held.unionAll(asking).repartition(n_partitions(spark), "piece", "part").sortWithinPartitions("piece", "part", "asks", "word")
+    held = held.select("piece", part.alias("part"), F.lit(HELD).alias("role"), "word", "n")
+    # of two pieces the words of one search the other, which finds the pairs of both
+    reached = F.filter(_reached(depth), lambda p: p >= _key(depth))
+    asking = vectors.select(F.explode(reached).alias("piece"), _key(depth).alias("own"), "word", "n").join(pieces, "piece")
+    role = F.when(F.col("piece") == F.col("own"), OWN).otherwise(FOREIGN)
+    asking = asking.select("piece", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), role.alias("role"), "word", "n")
+    dealt = held.unionAll(asking).repartition(n_partitions(spark), "piece", "part").sortWithinPartitions("piece", "part", "role", "word")
     found = dealt.mapInArrow(_search, "word string, n_near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("rank"), "form"))
     found = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
