@@ -170,7 +170,7 @@ def encode_media(docs: DataFrame, level: int = 6) -> DataFrame:
 
 
 def media_features(stored: DataFrame, with_payload: bool = False) -> DataFrame:
-    """What is read back from stored media: digests, sizes, the feature and, if asked for, the payload."""
+    """What is read back from stored media: digests, sizes, the feature and, if asked for, the payload.  No rows give no rows."""
     schema = (
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
         " media_bytes long, media_sha256 string, feature string" + (", payload binary" if with_payload else "")

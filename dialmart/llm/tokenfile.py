@@ -183,7 +183,7 @@ def write_token_files(
 
 
 def read_token_files(manifest: DataFrame, ranks: DataFrame, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every document of the files."""
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids of every document of the files.  An empty manifest gives no rows."""
     spark = manifest.sparkSession
     table = ranks.orderBy("rank").select("id").collect()  # bounded by the vocabulary
     known = spark.sparkContext.broadcast(np.array([r.id for r in table], "<u4"))

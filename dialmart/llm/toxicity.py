@@ -150,7 +150,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score, from 0 to 1, of each row's whole text; a null or empty text scores by the intercept."""
+    """doc_id and score, from 0 to 1, of each row's whole text; a null or empty text scores by the intercept.  No rows give no rows."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from 0.5 on) of every row of docs.
 
-    A row without a doc_id is scored like any other and not held out.
+    A row without a doc_id is scored like any other and not held out.  No rows of docs give no rows; without labels all score 0.5.
     """
     model = train(labelled_rows(docs, labels, settings), settings)
     return score(docs, model).select(
@@ -206,7 +206,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """docs whose text scores below the threshold, with their columns as they are.
 
     Texts are judged one by one, so repeated rows go or stay together and null texts stay unless
-    the intercept alone reaches the threshold.
+    the intercept alone reaches the threshold.  No rows give no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 

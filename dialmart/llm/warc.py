@@ -310,7 +310,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     A row is a record, or a gap of quarantined bytes: then gap says what failed and all that a
     record has is null.  payload_bytes and payload_digest (hex SHA-256) are of the full payload: of
-    revisits as their headers give them, of other records as counted and checked here.
+    revisits as their headers give them, of other records as counted and checked here.  An empty manifest gives no rows.
     """
     text, _ = _schema(with_payload)
     paths = manifest.select("file").repartition(4 * n_partitions(manifest.sparkSession), "file")
