@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import redaction
+from ..operators import silences
 from .registry import Tables, query
 
 #: What each kind of message says; {} is a number from the order's key.
@@ -174,3 +175,30 @@ def redacted_calls(t: Tables) -> DataFrame:
     calls = calls.select("conv_id", F.transform("turns", lambda x: x["said"]).alias("turns"))
     masked = redaction.masked_turns(F.col("turns"), redaction.spans(F.array_join("turns", "\n")))
     return calls.select("conv_id", F.md5(F.encode(F.array_join(masked, "|"), "UTF-8")).alias("masked_md5"))
+
+
+@query("""
+    with t as (
+        select conv_id, turn, 1e3 * turn as start_s, max(turn) over (partition by conv_id) as last_turn,
+            len(regexp_extract_all(case turn when 0 then text || ' first 77-12345' when 1 then '-12345 and on ' || text else text end, '[^ \\t\\r\\n]+')) as n, (conv_id + turn) % 5 = 3 as partly from conversations
+    ), w as (
+        select *, 1e3 * turn + 4e-1 * n as end_s, case turn when 0 then n - 1 else 0 end as word from t where turn < 2
+    ), hits as (select conv_id, turn, 1e3 * turn + 4e-1 * word as t0, 1e3 * turn + 4e-1 * word + 4e-1 as t1 from w where not partly or word < 2
+    ), ranges as (
+        select conv_id, min(t0) - 0.15 as b, max(t1) + 0.15 as e from hits group by 1
+        union all select conv_id, start_s - 0.15, end_s + 0.15 from w where partly and word >= 2
+    ), opened as (select *, coalesce(b > max(e) over (partition by conv_id order by b, e rows between unbounded preceding and 1 preceding), true)::int as new from ranges
+    ), islands as (select *, sum(new) over (partition by conv_id order by b, e rows unbounded preceding) as n from opened)
+    select conv_id, round(min(b), 4) as begin_s, round(max(e), 4) as end_s from islands group by conv_id, n
+""")
+def silenced_calls(t: Tables) -> DataFrame:
+    """Where a recording is silent: a number that two turns share, by the times of its words, or the whole turn where these are lost."""
+    said = F.when(F.col("turn") == 0, F.concat("text", F.lit(" first 77-12345"))).when(F.col("turn") == 1, F.concat(F.lit("-12345 and on "), "text")).otherwise(F.col("text"))
+    turns = t.conversations.select("conv_id", "turn", said.alias("text"), (F.col("turn") * 1000.0).alias("start_s"))
+    n = F.regexp_count("text", F.lit(r"[^ \t\r\n]+"))
+    turns = turns.withColumn("end_s", F.col("start_s") + n * 0.4)
+    words = turns.where(n > 0).select("conv_id", "turn", F.explode(F.sequence(F.lit(0), n - 1)).alias("word"))
+    words = words.where(((F.col("conv_id") + F.col("turn")) % 5 != 3) | (F.col("word") < 2))
+    t0 = F.col("turn") * 1000.0 + F.col("word") * 0.4
+    found = silences.masked_times(turns, words.select("*", t0.alias("t0"), (t0 + 0.4).alias("t1")), ["conv_id"])
+    return found.select("conv_id", F.round("begin_s", 4).alias("begin_s"), F.round("end_s", 4).alias("end_s"))
