@@ -139,16 +139,13 @@ def test_silences(spark):
     assert got == [("c", 2.85, 3.65), ("c", 19.85, 30.15)]  # the address has no timed words, so its turn is silent
 
 
-def test_scratch_is_cleared(spark, tmp_path):
+def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     from dialmart.sources import scratch
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert scratch.written(spark.range(3), "x").count() == 3
-        assert list(tmp_path.rglob("*.parquet"))
-        scratch.clear(spark)
-        assert not list(tmp_path.rglob("*.parquet"))
-        scratch.clear(spark)  # nothing to delete is no error
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    assert scratch.new_folder(spark, "x").rpartition("/")[0] == scratch.new_folder(spark, "y").rpartition("/")[0]
+    monkeypatch.setattr(scratch, "_own_folder", lambda spark: f"file://{tmp_path}/own")
+    assert scratch.written(spark.range(3), "x").count() == 3
+    assert list(tmp_path.rglob("*.parquet"))
+    scratch.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+    scratch.clear(spark)  # nothing to delete is no error
