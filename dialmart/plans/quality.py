@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import matching, ranges, scores, sequences
+from ..sources import scratch
+from ..streaming import dashboard
 from .registry import Tables, query, r6
 
 RUBRIC = {"opening": 0.4, "listening": 0.3, "solution": 0.2, "closing": 0.1}
@@ -488,3 +490,21 @@ def distinct_examples(t: Tables) -> DataFrame:
     """The lowest calls, one agent each before any second."""
     rows = sequences.distinct_first(cards(t), "agent", [F.col("total"), F.col("call_id")], 3)
     return rows.select("agent", "call_id", r6("total").alias("total"))
+
+
+@query(f"""
+    with {LONG}, means as (select agent, avg(score) as mean from long group by 1), m as (select median(mean) as group_median from means)
+    select agent, dim, count(*) as n, round(avg(score), 6) as mean, cast(min(score) as double) as least, cast(max(score) as double) as most, round(any_value(group_median), 6) as group_median from long, m group by 1, 2
+""")
+def streamed_dashboard(t: Tables) -> DataFrame:
+    """Averages by agent and dimension and the median agent, as a stream keeps them; equal to those of one batch."""
+    folder, target, point = (scratch.new_folder(t.spark, n) for n in ("scores", "figures", "checkpoint"))
+    rows = long_cards(t).select("agent", "dim", F.col("score").cast("double").alias("score"))
+    rows.repartition(4).write.parquet(folder)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    dashboard.keep_figures(stream, ["agent", "dim"], "score", target, point).awaitTermination()
+    kept = dashboard.figures(t.spark, target, ["agent", "dim"])
+    means = kept.groupBy("agent").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"))
+    middle = ranges.exact_quantiles(means, [], "mean", {"group_median": 0.5})
+    both = kept.crossJoin(F.broadcast(middle))  # one row
+    return both.select("agent", "dim", "n", r6("mean").alias("mean"), "least", "most", r6("group_median").alias("group_median"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dialmart.sources import artifacts, delimited, publication, workbook
-from dialmart.streaming import files, ingest
+from dialmart.streaming import dashboard, files, ingest
 
 
 def test_encodings_and_delimiters(spark, tmp_path):
@@ -245,3 +245,20 @@ def test_files_are_taken_when_settled(spark, tmp_path):
     assert run() == [["whole.json"] * 2, ["broken.json"]]
     list_at(122)
     assert run() == [["grows.json"] * 2 + ["whole.json"] * 2, ["broken.json"]]
+
+
+def test_streamed_figures_count_once(spark, tmp_path):
+    inbox, target, merged, point = (str(tmp_path / n) for n in ("in", "figures", "merged", "checkpoint"))
+    rows = lambda *r: spark.createDataFrame(r, "agent string, v double").coalesce(1).write.mode("append").parquet(inbox)
+    rows(("a", 1.0), ("b", 5.0), ("a", None))
+
+    def kept():
+        stream = spark.readStream.schema("agent string, v double").parquet(inbox)
+        dashboard.keep_figures(stream, ["agent"], "v", target, point).awaitTermination()
+        return sorted(tuple(r) for r in dashboard.figures(spark, target, ["agent"]).collect())
+
+    assert kept() == [("a", 1, 1.0, 1.0, 1.0), ("b", 1, 5.0, 5.0, 5.0)]
+    rows(("a", 4.0))
+    assert kept() == kept() == [("a", 2, 2.5, 1.0, 4.0), ("b", 1, 5.0, 5.0, 5.0)]
+    dashboard.merge_batches(spark, target, merged, ["agent"])
+    assert sorted(tuple(r) for r in dashboard.figures(spark, merged, ["agent"]).collect()) == kept()
