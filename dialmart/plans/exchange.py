@@ -216,3 +216,32 @@ def published_runs(t: Tables) -> DataFrame:
     rows = publication.by_key(t.spark, root, "cards", ["call_id"])
     by = rows.groupBy("run").agg(F.count("*").alias("calls"), F.round(F.sum("total"), 2).alias("total"))
     return by.join(told, "run").select("run", "calls", "total", "rubric", "published")
+
+
+@query(f"""
+    with {dialog.SEGMENTS} select role as speaker, count(*) as turns, round(sum(end_s - start_s), 4) as seconds from segments group by 1
+""")
+def imported_turn_tables(t: Tables) -> DataFrame:
+    """speakers' turns as CSV files."""
+    folder = scratch.new_folder(t.spark, "turns")
+    rows = dialog.segments(t).select(*[F.round(c, 3).cast("string").alias(n) for c, n in (("start_s", "start"), ("end_s", "end"))], F.col("role").alias("speaker"))
+    rows.write.option("header", True).csv(folder)
+    got = artifacts.reference_turns_csv(t.spark, folder)
+    return got.groupBy("speaker").agg(F.count("*").alias("turns"), F.round(F.sum(F.col("end") - F.col("start")), 4).alias("seconds"))
+
+
+@query("""
+    with c as (select o_orderkey, o_orderdate, o_orderpriority = '5-LOW' as unreadable from orders)
+    select 'unreadable_start' as code, count(*) as n from c where unreadable having count(*) > 0 union all select 'missing_columns', 1 union all select 'dropped_columns', 1
+""")
+def contract_issues(t: Tables) -> DataFrame:
+    """S5, 2.12: what an import of a contract folder finds: unreadable starts, a file that lacks required columns, one with others."""
+    folder = scratch.new_folder(t.spark, "contract")
+    shown = F.when(F.col("o_orderpriority") == "5-LOW", "some day").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    rows = t.orders.select(F.col("o_orderkey").alias("interaction_id"), F.col("o_custkey").alias("account_ref"), shown.alias("started_at"), F.lit("call").alias("channel"), F.lit("?").alias("surplus_column"))
+    rows.coalesce(1).write.option("header", True).csv(f"{folder}/interactions.csv")
+    t.nation.select(F.col("n_name").alias("call_key"), F.col("n_name").alias("file_name")).coalesce(1).write.option("header", True).csv(f"{folder}/call_segments.csv")
+    t.nation.select(*[F.col("n_name").alias(c) for c in ("correspondence_id", "message_id")]).coalesce(1).write.option("header", True).csv(f"{folder}/messages.csv")
+    got = delimited.journey_contract(t.spark, folder)
+    dropped = got["dropped"].groupBy().agg(F.count("*").alias("n")).select(F.lit("dropped_columns").alias("code"), "n")
+    return got["issues"].select("code", "n").unionByName(dropped)

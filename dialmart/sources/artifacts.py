@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import csv_cell
-from . import publication
+from . import delimited, publication
 
 
 def stage_json(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
@@ -78,6 +78,13 @@ def reference_turns(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(p[1].alias("call"), start.alias("start"), (start + length).alias("end"), p[7].alias("speaker"))
 
 
+def reference_turns_csv(spark: SparkSession, path: str) -> DataFrame:
+    """call (the file's name without its ending), start, end and speaker of CSV files with these columns."""
+    rows = delimited.typed(delimited.read_any(spark, path), {c: [c] for c in ("start", "end", "speaker")})
+    call = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return rows.select(call.alias("call"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.coalesce("speaker", F.lit("")).alias("speaker"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV parts with CRLF line ends, no cell of which a spreadsheet takes for a formula."""
     safe = df.select(*[csv_cell(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])

@@ -262,3 +262,17 @@ def test_streamed_figures_count_once(spark, tmp_path):
     assert kept() == kept() == [("a", 2, 2.5, 1.0, 4.0), ("b", 1, 5.0, 5.0, 5.0)]
     dashboard.merge_batches(spark, target, merged, ["agent"])
     assert sorted(tuple(r) for r in dashboard.figures(spark, merged, ["agent"]).collect()) == kept()
+
+
+def test_contract_files_need_their_columns(spark, tmp_path):
+    put = lambda name, text: (tmp_path / name).write_text(text, encoding="utf-8")
+    put("interactions.csv", "Interaction_ID,account_ref,started_at,channel,extra\ni1,1/2,2026-01-01 10:00,call,x\n")
+    put("call_segments.csv", "call_key\nk\n")
+    put("messages.csv", "correspondence_id,message_id,sent_at,direction\nc,m,2026-01-01 10:00,inbound\n")
+    got = delimited.journey_contract(spark, str(tmp_path))
+    assert [(r.code, r.n, r.examples) for r in got["issues"].collect()] == [("missing_columns", 1, ["call_segments: file_name"])]
+    assert [tuple(r) for r in got["dropped"].collect()] == [("interactions", "extra")]
+    assert [got[k].count() for k in ("call_segments", "messages")] == [0, 1]
+    put("turns.csv", "start,end,speaker\n1.5,2.5,banker\n3,4,\n")
+    turns = artifacts.reference_turns_csv(spark, str(tmp_path / "turns.csv"))
+    assert sorted(tuple(r) for r in turns.collect()) == [("turns", 1.5, 2.5, "banker"), ("turns", 3.0, 4.0, "")]
