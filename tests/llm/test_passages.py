@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -45,6 +46,26 @@ def test_near_copies_between_080_and_097_go(spark, place, monkeypatch):
     assert got == brute_groups(docs)
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Blocks are SimHashes of samples, and the Hamming distance of the whole fingerprints decides who is compared."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (1, 4, 5, 90)] + [np.zeros(0, np.uint64)]
+    brute = lambda hashes: sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+    assert similar._fingerprints(sets).tolist() == [brute(s) for s in sets]
+    blocks = [b.tolist() for b in similar._blocks(sets)]
+    assert [len(b) for b in blocks] == [similar.BLOCKS] * 4 + [0] and set(blocks[0]) == {int(sets[0][0])}
+    of_five = {brute(c) for c in combinations_with_replacement(sets[2].tolist(), similar.IN_BLOCK)}
+    assert set(blocks[2]) <= of_five and len(set(blocks[3])) > similar.BLOCKS // 2
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [words, [*words[:-1], "end"], [*words, "more"], words]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert kept() == [0]
+    monkeypatch.setattr(similar, "RADIUS", 0)
+    assert kept() == [0, 1, 2]
+
+
 def test_near_copies_odd_rows(spark):
     odd = spark.createDataFrame(ODD, DOCS)
     kept = similar.keep_one(odd)
