@@ -80,3 +80,8 @@ def test_scans_read_what_is_used(spark, sf_dir):
 
 def test_next_event_is_one_sorted_window(spark, sf_dir):
     assert "Join" not in plan_of(plans.QUERIES["next_events"](spark, sf_dir))
+
+
+def test_quotes_are_not_sent_whole_to_the_driver(spark, sf_dir):
+    """Texts and their words are far larger than their files, so their sizes tell nothing."""
+    assert "BroadcastHashJoin" not in plan_of(plans.QUERIES["verified_evidence"](spark, sf_dir))
