@@ -105,6 +105,6 @@ def verified_evidence(t: Tables) -> DataFrame:
 def evidence_problems(t: Tables) -> DataFrame:
     """How many quotes of each dimension are accepted, and why the others are not."""
     asked, _ = quotes(t)
-    told = asked.join(verdicts(t), "quote_id").groupBy((F.col("turn") % 10).alias("dimension"))
+    told = asked.join(verdicts(t).hint("merge"), "quote_id").groupBy((F.col("turn") % 10).alias("dimension"))
     n = lambda *kinds: F.count_if(F.col("verdict").isin(*kinds))
     return told.agg(F.count("*").alias("quotes"), n("verbatim", "near").alias("accepted"), n("changed").alias("changed"), n("absent").alias("absent"), n("short").alias("short"))

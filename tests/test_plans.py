@@ -85,3 +85,7 @@ def test_next_event_is_one_sorted_window(spark, sf_dir):
 def test_quotes_are_not_sent_whole_to_the_driver(spark, sf_dir):
     """Texts and their words are far larger than their files, so their sizes tell nothing."""
     assert "BroadcastHashJoin" not in plan_of(plans.QUERIES["verified_evidence"](spark, sf_dir))
+
+
+def test_counted_quotes_are_not_sent_whole_to_the_driver(spark, sf_dir):
+    assert "BroadcastHashJoin" not in plan_of(plans.QUERIES["evidence_problems"](spark, sf_dir))
