@@ -37,3 +37,7 @@ KEYS = "select * replace (o_orderkey * [1, 100, 10007, 123457, 9000011][o_orderk
 
 def test_labels_with_long_numbers_in_a_word(same_as_sql):
     same_as_sql("call_type_labels", orders=KEYS)
+
+
+def test_agents_with_numbers_of_six_digits(same_as_sql):
+    same_as_sql("shown_agents", orders=KEYS)
