@@ -87,10 +87,14 @@ def question_count(text: Column, openers: Sequence[str]) -> Column:
     return F.coalesce(F.size(asks), F.lit(0))
 
 
+#: What a word is made of.
+WORD_SIGN = r"[\p{L}\p{N}\p{M}_]"
+
+
 def phrase_hits(text: Column, phrases: Sequence[str]) -> Column:
-    """How often the phrases occur in the lower-cased text, as wholes of words."""
+    """How often the phrases occur in the lower-cased text, as wholes of words: of letters, numbers, marks and low lines."""
     found = "|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p)))
-    return F.coalesce(F.regexp_count(F.lower(text), F.lit(rf"(?U)\b(?:{found})\b")), F.lit(0))
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(f"(?<!{WORD_SIGN})(?:{found})(?!{WORD_SIGN})")), F.lit(0))
 
 
 def keyed_pseudonym(value: Column, key: bytes, length: int = 12) -> Column:
@@ -101,9 +105,14 @@ def keyed_pseudonym(value: Column, key: bytes, length: int = 12) -> Column:
     return F.substring(F.sha2(F.concat(outer, first), 256), 1, length)
 
 
+def file_id(value: Column) -> Column:
+    """Whether an id is of letters, digits, dots, dashes and underscores, 64 at most, the first a letter or digit."""
+    return value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$")
+
+
 def safe_id(value: Column) -> Column:
     """Whether an id is of letters, digits, dots, dashes and underscores and no number of seven digits or more."""
-    return value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$") & ~F.regexp_replace(value, r"[ ._/-]", "").rlike(r"[0-9]{7,}")
+    return file_id(value) & ~F.regexp_replace(value, r"[ ._/-]", "").rlike(r"[0-9]{7,}")
 
 
 def account_parts(ref: Column) -> tuple[Column, Column]:

@@ -41,3 +41,10 @@ def test_labels_with_long_numbers_in_a_word(same_as_sql):
 
 def test_agents_with_numbers_of_six_digits(same_as_sql):
     same_as_sql("shown_agents", orders=KEYS)
+
+
+def test_topics_of_copies_and_of_documents_without_words(same_as_sql):
+    odd = ["!!!", "", "la² the", "pas‿y", "no‍ et", "The the_ eĺ EL", "٠ und"]
+    more = " union all ".join(f"select {-1 - i} as doc_id, '{t}' as text, 'zz' as lang" for i, t in enumerate(odd))
+    rows = "select doc_id, text, lang from {table}"
+    same_as_sql("topic_hits", documents=f"{rows} union all {rows} where doc_id % 3 = 0 union all {more} union all select null, 'the', 'fr' union all select 1, null, 'xx'")
