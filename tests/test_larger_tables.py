@@ -48,3 +48,33 @@ def test_topics_of_copies_and_of_documents_without_words(same_as_sql):
     more = " union all ".join(f"select {-1 - i} as doc_id, '{t}' as text, 'zz' as lang" for i, t in enumerate(odd))
     rows = "select doc_id, text, lang from {table}"
     same_as_sql("topic_hits", documents=f"{rows} union all {rows} where doc_id % 3 = 0 union all {more} union all select null, 'the', 'fr' union all select 1, null, 'xx'")
+
+
+#: The keys of the test with orders, and calls of which one segment is missing or stands twice.
+LINES = "select * replace (l_orderkey * [1, 100, 10007, 123457, 9000011][l_orderkey % 5 + 1] as l_orderkey) from {table}"
+
+
+def test_calls_with_ids_of_many_digits(same_as_sql):
+    same_as_sql("imported_calls", lineitem=f"{LINES} union all ({LINES} limit 20)")
+
+
+def test_contract_files_in_parts_are_one_file_each(spark, tmp_path):
+    from dialmart.sources import delimited
+
+    for k, head in {"interactions": "interaction_id,account_ref,started_at,channel,surplus", "call_segments": "call_key,file_name", "messages": "correspondence_id,message_id"}.items():
+        (tmp_path / f"{k}.csv").mkdir()
+        for part in range(3):
+            (tmp_path / f"{k}.csv" / f"part-{part}.csv").write_text(f"{head}\n1,2,never,4,5\n")
+    got = delimited.journey_contract(spark, str(tmp_path))
+    assert sorted((r.code, r.n, r.examples) for r in got["issues"].collect()) == [("missing_columns", 1, ["messages: direction, sent_at"]), ("unreadable_start", 3, ["1"])]
+    assert [tuple(r) for r in got["dropped"].collect()] == [("interactions", "surplus")]
+
+
+def test_quoted_fields_beside_plain_ones(spark, tmp_path):
+    from dialmart.sources import delimited
+
+    (tmp_path / "a.csv").write_text('id,"b c",d,d\n1,x,y,z\n2,"x,1","y ""q""",z\n3\n4,"over\nlines",‏y,z,more,"and, more"\n,,,\n5,,,,,\n', encoding="utf-8")
+    rows = delimited.read_any(spark, str(tmp_path / "a.csv")).orderBy("row_order").collect()
+    assert [(r.fields["id"], r.fields["b c"], r.fields["d"], r.surplus) for r in rows] == [
+        ("1", "x", "z", 0), ("2", "x,1", "z", 0), ("3", "", "", 0), ("4", "over\nlines", "z", 2), ("5", "", "", 2)
+    ]
