@@ -358,8 +358,14 @@ def mcnemar(b: Column, c: Column) -> Column:
     def exact(x, y):
         def p(i, j):
             n, k = int(i + j), int(min(i, j))
-            tail = sum(math.comb(n, m) for m in range(k + 1))
-            return 1.0 if n == 0 else min(1.0, 2 * tail / 2**n)
+            term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+            tail = 0.0
+            # terms fall from k down, so once one is too small to change the sum all others are
+            while k >= 0 and tail + term != tail:
+                tail += term
+                term *= k / (n - k + 1)
+                k -= 1
+            return min(1.0, 2 * tail)
 
         return x.combine(y, p)
 

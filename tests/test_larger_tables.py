@@ -78,3 +78,21 @@ def test_contract_files_in_parts_are_one_file_each(spark, tmp_path):
     got = delimited.journey_contract(spark, str(tmp_path))
     assert sorted((r.code, r.n, r.examples) for r in got["issues"].collect()) == [("missing_columns", 1, ["messages: direction, sent_at"]), ("unreadable_start", 3, ["1"])]
     assert [tuple(r) for r in got["dropped"].collect()] == [("interactions", "surplus")]
+
+
+def test_exact_tests_of_many_pairs_take_seconds(spark):
+    import math
+    import time
+
+    from pyspark.sql import functions as F
+
+    from dialmart.functions import stats
+
+    pairs = [(0, 0), (0, 3), (5, 5), (12, 4), (700, 790)] + [(20_000 + 7 * k, 20_300) for k in range(35)]
+    began = time.perf_counter()
+    got = [r.p for r in spark.createDataFrame(pairs, "b long, c long").repartition(1).select("b", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).orderBy("b", "p").collect()]
+    assert time.perf_counter() - began < 30
+    whole = lambda b, c: min(1.0, 2 * sum(math.comb(b + c, m) for m in range(min(b, c) + 1)) / 2 ** (b + c))
+    logs = lambda b, c: min(1.0, 2 * math.fsum(math.exp(math.lgamma(b + c + 1) - math.lgamma(m + 1) - math.lgamma(b + c - m + 1) - (b + c) * math.log(2)) for m in range(min(b, c) + 1)))
+    want = [p for _, p in sorted((b, (whole if b < 1000 else logs)(b, c)) for b, c in pairs)]
+    assert got == pytest.approx(want, abs=1e-7)
