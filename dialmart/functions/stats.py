@@ -358,6 +358,8 @@ def mcnemar(b: Column, c: Column) -> Column:
     def exact(x, y):
         def p(i, j):
             n, k = int(i + j), int(min(i, j))
+            if n <= 200:  # whole numbers, as only few pairs have figures that end at a rounding's edge
+                return min(1.0, 2 * sum(math.comb(n, m) for m in range(k + 1)) / 2**n)
             term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
             tail = 0.0
             # terms fall from k down, so once one is too small to change the sum all others are
